@@ -64,8 +64,8 @@ def _document_head(subject: Column) -> Column:
     return F.concat(F.lit(f"{BEGIN_THREAD}\n\nSubject: "), shown)
 
 
-def _with_text(attachments: DataFrame) -> DataFrame:
-    return attachments.where(F.coalesce(F.col("text_content"), F.lit("")) != "")
+def _has_text() -> Column:
+    return F.coalesce(F.col("text_content"), F.lit("")) != ""
 
 
 def _owned(attachments: DataFrame, emails: DataFrame) -> DataFrame:
@@ -78,13 +78,14 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
 
     Bodies cross the network once: emails and attachments meet on a hash of the
     thread id, and everything after it (attachments to email, reply to parent,
-    order, concatenation) stays inside that partitioning.
+    order, concatenation, counts) stays inside that partitioning.
     """
-    mail = F.struct("date", "id", "in_reply_to", "subject", strip(F.col("body")).alias("text"), "body").alias("mail")
+    mail = F.struct("date", "id", "in_reply_to", "subject", "sender", strip(F.col("body")).alias("text"), "body").alias("mail")
     if files is None:
         rows = emails.select("thread_id", mail, F.array().cast("array<string>").alias("blocks")).repartition("thread_id")
     else:
-        block = F.struct("filename", "id", _attachment_block(F.col("filename"), F.col("extension"), F.col("text_content")).alias("block"))
+        block = F.when(_has_text(), _attachment_block(F.col("filename"), F.col("extension"), F.col("text_content")))
+        block = F.struct("filename", "id", block.alias("block"))
         parts = emails.select("thread_id", F.col("id").alias("email_id"), mail).unionByName(
             files.select("thread_id", "email_id", block.alias("file")), allowMissingColumns=True,
         )
@@ -111,7 +112,7 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
     replies = replies.withColumn("same", settled(F.col("tail"), F.col("parent"), cfg))
     open_case = F.col("tail").isNotNull() & F.col("same").isNull()
     mails = replies.select("thread_id", F.struct(
-        "mail.date", "mail.id", "mail.subject", "mail.text",
+        "mail.date", "mail.id", "mail.subject", "mail.sender", "mail.text",
         F.when(open_case | F.col("same"), strip(F.col("quote")[0])).alias("own_text"), "same",
         F.when(open_case, F.col("tail")).alias("tail"), F.when(open_case, F.col("parent")).alias("parent"),
         "blocks",
@@ -143,7 +144,17 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
         _document_head(F.col("mails")[0]["subject"]), F.lit("\n\n"),
         F.array_join(F.transform("mails", email_part), "\n\n"), F.lit(f"\n\n{END_THREAD}"),
     )
-    return threads.select("thread_id", F.lit(0).cast("bigint").alias("segment"), remove_links(text).alias("text"))
+    mails = F.col("mails")
+    meta = F.struct(
+        mails[0]["subject"].alias("subject"), mails[0]["sender"].alias("sender"),
+        F.size(mails).cast("bigint").alias("email_count"),
+        F.aggregate(mails, F.lit(0).cast("bigint"), lambda n, m: n + F.size(m["blocks"])).alias("attachments_count"),
+        datetime_text(F.array_min(F.transform(mails, lambda m: m["date"]))).alias("first_email_date"),
+        datetime_text(F.array_max(F.transform(mails, lambda m: m["date"]))).alias("last_email_date"),
+    )
+    return threads.select(
+        "thread_id", F.lit(0).cast("bigint").alias("segment"), remove_links(text).alias("text"), meta.alias("meta"),
+    )
 
 
 def _segmented_documents(emails: DataFrame, files: DataFrame, cfg: MailConfig) -> DataFrame:
@@ -210,25 +221,36 @@ def heavy_threads(emails: DataFrame, attachments: DataFrame | None, cfg: MailCon
     return KeySet(heavy, "thread_id", cfg.small_keys)
 
 
-def thread_documents(
+def document_parts(
     emails: DataFrame, attachments: DataFrame | None = None, cfg: MailConfig = MailConfig(),
-) -> DataFrame:
-    """``(thread_id, segment, text)``: the cleaned document of every thread.
-
-    Threads have one row (segment 0) unless they outgrow a task.
-    """
-    files = None if attachments is None else _owned(_with_text(attachments), emails)
+) -> tuple[DataFrame, DataFrame | None]:
+    """Documents of threads that fit a task, with their metadata, and the
+    segments of those that do not (None when there are none)."""
+    files = None if attachments is None else _owned(attachments, emails)
     heavy = heavy_threads(emails, attachments, cfg)
     light = _whole_documents(heavy.outside(emails), None if files is None else heavy.outside(files), cfg)
     if heavy.empty:
-        return light
+        return light, None
     large = heavy.inside(emails)
     if files is None:
         none = large.limit(0).select("thread_id", "date", F.col("id").alias("email_id"), "id")
         large_files = none.select("*", *[F.lit("").alias(c) for c in ("filename", "extension", "text_content")])
     else:
-        large_files = heavy.inside(files)
-    return light.unionByName(_segmented_documents(large, large_files, cfg))
+        large_files = heavy.inside(files.where(_has_text()))
+    return light, _segmented_documents(large, large_files, cfg)
+
+
+def thread_documents(
+    emails: DataFrame, attachments: DataFrame | None = None, cfg: MailConfig = MailConfig(),
+) -> DataFrame:
+    """``(thread_id, segment, text)``: the cleaned document of every thread.
+
+    Threads have one row (segment 0) unless they outgrow a task; then the
+    document is the concatenation of the segments.
+    """
+    light, large = document_parts(emails, attachments, cfg)
+    light = light.select("thread_id", "segment", "text")
+    return light if large is None else light.unionByName(large)
 
 
 def thread_metadata(emails: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
