@@ -424,7 +424,7 @@ def summarize_threads(spark, sf):
 
 @query
 def summarize_hierarchical(spark, sf):
-    narrow = MailConfig(context_tokens=1000)
+    narrow = MailConfig(context_tokens=1000, summary_sentences=2)
     return summarize.summarize_documents(documents(spark, sf), narrow).select("thread_id", "summary")
 
 

@@ -22,33 +22,36 @@ _LAYOUT = (
 )
 
 
-def parse_mail_date(header: Column) -> Column:
-    """UTC TIMESTAMP_NTZ of a Date header; NULL when it cannot be read.
+_PARTS = 8
 
-    A missing or unknown zone counts as UTC.
-    """
-    def part(group: int) -> Column:
-        return F.nullif(F.regexp_extract(header, _LAYOUT, group), F.lit(""))
 
-    def number(group: int) -> Column:
-        return part(group).cast("int")
+def _timestamp(parts: Column) -> Column:
+    def part(number: int) -> Column:
+        return F.nullif(parts[number - 1], F.lit(""))
+
+    def number(at: int) -> Column:
+        return part(at).cast("int")
 
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2))).cast("int")
-    year = number(3)
-    year = (
-        F.when(F.length(part(3)) == 4, year)
-        .when(year < 69, year + 2000)
-        .otherwise(year + 1900)
-    )
+    short = F.when(number(3) < 69, number(3) + 2000).otherwise(number(3) + 1900)
+    year = F.when(F.length(part(3)) == 4, number(3)).otherwise(short)
     local = F.try_make_timestamp_ntz(
         year, F.nullif(month, F.lit(0)), number(1), number(4), number(5),
         F.coalesce(number(6), F.lit(0)).cast("decimal(16,6)"),
     )
-    offset = number(7)
-    sign = F.signum(offset.cast("double")).cast("int")
-    minutes = sign * (F.floor(F.abs(offset) / 100) * 60 + F.abs(offset) % 100)
-    named = F.lit(None).cast("int")
-    for name, hours in ZONE_HOURS.items():
-        named = F.when(F.upper(part(8)) == name, hours * 60).otherwise(named)
-    shift = F.coalesce(minutes, named, F.lit(0)).cast("int")
+    ahead = F.abs(number(7))
+    minutes = F.signum(number(7).cast("double")).cast("int") * (F.floor(ahead / 100) * 60 + ahead % 100)
+    zones = F.create_map(*[F.lit(v) for name, hours in ZONE_HOURS.items() for v in (name, hours * 60)])
+    shift = F.coalesce(minutes, F.try_element_at(zones, F.upper(part(8))), F.lit(0)).cast("int")
     return (local - F.make_dt_interval(F.lit(0), F.lit(0), shift)).cast("timestamp_ntz")
+
+
+def parse_mail_date(header: Column) -> Column:
+    """UTC TIMESTAMP_NTZ of a Date header; NULL when it cannot be read.
+
+    A missing or unknown zone counts as UTC.
+    """
+    groups = "|".join(f"${number}" for number in range(1, _PARTS + 1))
+    parts = F.when(header.rlike(_LAYOUT), F.split(F.regexp_replace(header, _LAYOUT, groups), r"\|"))
+    # Bound once as a lambda variable, since every part is used several times.
+    return F.transform(F.array(parts), lambda p: F.when(p.isNotNull(), _timestamp(p)))[0]

@@ -31,7 +31,7 @@ def dump_entries(threads: DataFrame) -> DataFrame:
         F.concat(F.lit("Text Block Summarized:\n\n"), indent_block(F.col("summary")), F.lit("\n\n")),
     ).otherwise("")
     return threads.select(F.concat(
-        F.lit(HEADER + "METADATA:\n"), metadata, F.lit("\n\n"), indent_block(F.col("text")), F.lit("\n\n"), summary,
+        F.lit(HEADER + "METADATA:\n"), metadata, F.lit("\n\n"), indent_block(F.coalesce("text", F.lit(""))), F.lit("\n\n"), summary,
     ).alias("value"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from mailspark.config import MailConfig
 from mailspark.functions.text import strip, words
 from mailspark.operators.chunking import chunk_text
+from mailspark.operators.skew import running_sums
+from mailspark.session import stored
 from mailspark.sources.models import context_chars
 
 # What a language model is asked, in front of the text.
@@ -101,29 +103,63 @@ def prompt_budget(cfg: MailConfig) -> int:
     return max(1, context_chars(cfg) - len(PROMPT) - len(_JOINER))
 
 
+def _groups(documents: DataFrame, budget: int, cfg: MailConfig) -> DataFrame:
+    """Documents in groups within the budget, each on its own row."""
+    fits = F.length("text") <= budget
+    pieces = F.when(fits, F.array("text")).otherwise(chunk_text(F.col("text"), budget, cfg.separators))
+    rows = documents.select("thread_id", "segment", F.posexplode_outer(pieces).alias("group_no", "text"))
+    return rows.where(F.col("text").isNotNull())
+
+
+def _rejoined(parts: DataFrame, cfg: MailConfig) -> DataFrame:
+    """Partial summaries of each thread joined in order, again as documents whose
+    segments stay within what a task holds."""
+    size = (F.length("summary") + len(_JOINER)).cast("bigint")
+    placed = running_sums(
+        parts, "thread_id", ["segment", "group_no"], {"upto": size}, cfg.heavy_rows, cfg.small_keys,
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("segment", "group_no", "summary")))
+    placed = placed.withColumn("pack", F.floor((F.col("upto") - size) / cfg.heavy_chars))
+    return placed.groupBy("thread_id", "pack").agg(
+        F.array_join(F.transform(ordered, lambda p: p["summary"]), _JOINER).alias("text")
+    ).select("thread_id", F.col("pack").cast("bigint").alias("segment"), "text")
+
+
 def summarize_documents(documents: DataFrame, cfg: MailConfig, summarizer: Summarizer | None = None) -> DataFrame:
     """``(thread_id, segment, summary)`` of ``(thread_id, segment, text)``.
 
     Texts within the context are summarized in one pass. Longer ones are split
-    into groups that fit, each group on its own row, and the partial summaries
-    are joined and summarized again.
+    into groups that fit, and the joined partial summaries of a thread are
+    summarized again, round after round, until one group is left. If a round does
+    not bring the number of groups down, the joined partial summaries stand as
+    they are; nothing is cut off. Only a thread too large for one task can end up
+    with more than one segment.
+
+    Each round is stored, because a model should not be asked twice and the next
+    round depends on its size.
     """
     summarizer = summarizer or extractive(cfg.summary_sentences)
     budget = prompt_budget(cfg)
-    groups = documents.select(
-        "thread_id", "segment",
-        F.posexplode_outer(
-            F.when(F.length("text") <= budget, F.array("text")).otherwise(chunk_text(F.col("text"), budget, cfg.separators))
-        ).alias("group_no", "text"),
-    ).where(F.col("text").isNotNull())
-    partial = summarizer(groups, PROMPT).groupBy("thread_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("group_no", "summary"))).alias("parts"),
-    )
-    joined = partial.select(
-        "thread_id", "segment", F.size("parts").alias("groups"),
-        F.array_join(F.transform("parts", lambda p: p["summary"]), _JOINER).alias("text"),
-    )
-    single = joined.where(F.col("groups") == 1).select("thread_id", "segment", F.col("text").alias("summary"))
-    several = joined.where(F.col("groups") > 1).select("thread_id", "segment", F.lit(0).alias("group_no"), "text")
-    combined = summarizer(several, COMBINE_PROMPT).select("thread_id", "segment", "summary")
-    return single.unionByName(combined)
+    prompt, before = PROMPT, None
+    finished = []
+    while True:
+        groups = _groups(documents, budget, cfg)
+        parts = stored(summarizer(groups, prompt).select("thread_id", "segment", "group_no", "summary"), "summaries")
+        sizes = parts.groupBy("thread_id").agg(F.count("*").alias("n"))
+        total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+        if (most or 0) <= 1:
+            finished.append(parts.select("thread_id", "segment", "summary"))
+            break
+        counted = parts.join(sizes, "thread_id")
+        single = counted.where("n = 1")
+        finished.append(single.select("thread_id", F.lit(0).cast("bigint").alias("segment"), "summary"))
+        documents = _rejoined(counted.where("n > 1").drop("n"), cfg)
+        if before is not None and total >= before:
+            finished.append(documents.select("thread_id", "segment", F.col("text").alias("summary")))
+            break
+        prompt, before = COMBINE_PROMPT, total
+
+    result = finished[0]
+    for more in finished[1:]:
+        result = result.unionByName(more)
+    return result

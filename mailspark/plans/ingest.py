@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from mailspark.operators.ingest import absent, attachments_from, emails_from, message_rows
 from mailspark.schemas import ATTACHMENTS, EMAILS
-from mailspark.session import scratch_path
+from mailspark.session import stored as saved
 
 
 class MailStore:
@@ -39,9 +39,7 @@ class MailStore:
         # What the same batch wrote in an earlier attempt is not "stored".
         stored = self.emails().where(f"_metadata.file_path NOT LIKE '%/batch={batch}/%'") if self._exists() else self.emails()
         fresh = absent(message_rows(parsed), stored.withColumnRenamed("id", "message_id"), "message_id")
-        path = scratch_path(self.spark, "messages")
-        fresh.write.parquet(path)
-        fresh = self.spark.read.parquet(path)
+        fresh = saved(fresh, "messages")
         attachments_from(fresh).write.mode("overwrite").parquet(f"{self.root}/attachments/batch={batch}")
         emails_from(fresh, ingest_time).write.mode("overwrite").parquet(f"{self.root}/emails/batch={batch}")
 

@@ -12,8 +12,8 @@ from mailspark.operators.chunking import chunk_text
 from mailspark.operators.embedding import Embedder, hashed_terms
 from mailspark.operators.summarize import Summarizer, summarize_documents
 from mailspark.operators.threads import document_parts, rebuild_scope, thread_metadata
-from mailspark.session import scratch_path
 from mailspark.schemas import METADATA
+from mailspark.session import stored
 from mailspark.sources.models import chunk_chars, model
 
 
@@ -28,47 +28,53 @@ class ThreadRun:
 
 
 def chunked_documents(emails: DataFrame, attachments: DataFrame | None, cfg: MailConfig) -> DataFrame:
-    """``(thread_id, segment, text, chunk_count, meta)``; the count is of the
-    whole thread."""
+    """``(thread_id, segment, text, chunk_count, meta, whole)``; the count is of
+    the whole thread, and ``whole`` says that the row is the whole document."""
     size = chunk_chars(cfg)
     count = F.size(chunk_text(F.col("text"), size, cfg.separators)).cast("bigint")
     light, large = document_parts(emails, attachments, cfg)
-    light = light.select("thread_id", "segment", "text", count.alias("chunk_count"), "meta")
+    light = light.select("thread_id", "segment", "text", count.alias("chunk_count"), "meta", F.lit(True).alias("whole"))
     if large is None:
         return light
     counts = large.groupBy("thread_id").agg(F.sum(count).alias("chunk_count"))
     meta = thread_metadata(emails, attachments)
     meta = meta.select("thread_id", F.struct(*light.schema["meta"].dataType.names).alias("meta"))
-    joined = large.join(counts, "thread_id").join(meta, "thread_id")
+    joined = large.join(counts, "thread_id").join(meta, "thread_id").withColumn("whole", F.lit(False))
     return light.unionByName(joined)
 
 
-def _final_texts(documents: DataFrame, cfg: MailConfig, summarizer: Summarizer | None) -> DataFrame:
-    """Adds ``summary`` and ``final``; only threads over the limit meet the
-    summarizer."""
+def _metadata(length, summarized):
+    return F.struct(
+        F.lit("email").alias("type"), F.col("thread_id"),
+        *[F.col(f"meta.{name}").alias(name) for name in METADATA.names[2:8]],
+        length.alias("text_block_len"), F.col("chunk_count").alias("chunk_size_original"),
+        summarized.alias("is_summarized"),
+    ).alias("metadata")
+
+
+def _finals(documents: DataFrame, summaries: DataFrame, cfg: MailConfig) -> DataFrame:
+    """``(thread_id, segment, text, summary, final, metadata)`` of whole
+    documents: one row per thread, and only summarized ones are joined."""
     over = F.col("chunk_count") > cfg.max_chunks
     plain = documents.where(~over).withColumn("summary", F.lit(None).cast("string"))
-    gated = documents.where(over)
-    summaries = summarize_documents(gated.select("thread_id", "segment", "text"), cfg, summarizer)
-    gated = gated.join(summaries, ["thread_id", "segment"], "left")
-    texts = plain.unionByName(gated)
-    final = F.coalesce(F.nullif("summary", F.lit("")), "text")
-    return texts.select("*", final.alias("final"), over.alias("is_summarized"))
+    texts = plain.unionByName(documents.where(over).join(summaries, "thread_id", "left"))
+    texts = texts.withColumn("final", F.coalesce(F.nullif("summary", F.lit("")), "text"))
+    length = F.length("final").cast("bigint")
+    return texts.select("thread_id", "segment", "text", "summary", "final", _metadata(length, over))
 
 
-def _with_metadata(texts: DataFrame, segmented: bool) -> DataFrame:
-    length = F.length("final").cast("bigint")
-    if segmented:
-        totals = texts.groupBy("thread_id").agg(F.sum(length).alias("text_block_len"))
-        texts = texts.join(totals, "thread_id")
-    else:
-        texts = texts.withColumn("text_block_len", length)
-    metadata = F.struct(
-        F.lit("email").alias("type"), "thread_id",
-        *[F.col(f"meta.{name}").alias(name) for name in METADATA.names[2:8]],
-        "text_block_len", F.col("chunk_count").alias("chunk_size_original"), "is_summarized",
-    )
-    return texts.select("thread_id", "segment", "text", "summary", "final", metadata.alias("metadata"))
+def _segmented_finals(documents: DataFrame, summaries: DataFrame, cfg: MailConfig) -> DataFrame:
+    """The same for documents in segments. The summary of a thread stands in for
+    all its segments; text and summary meet by segment number for the dump."""
+    over = F.col("chunk_count") > cfg.max_chunks
+    short = summaries.where(F.col("summary") != "").select("thread_id").distinct().withColumn("has_summary", F.lit(True))
+    texts = documents.select("thread_id", "segment", "text").join(summaries, ["thread_id", "segment"], "full_outer")
+    texts = texts.join(short, "thread_id", "left")
+    texts = texts.withColumn("final", F.when(F.col("has_summary"), F.col("summary")).otherwise(F.col("text")))
+    facts = documents.groupBy("thread_id").agg(F.max("meta").alias("meta"), F.max("chunk_count").alias("chunk_count"))
+    totals = texts.groupBy("thread_id").agg(F.sum(F.length("final")).cast("bigint").alias("total"))
+    joined = texts.join(facts.join(totals, "thread_id"), "thread_id")
+    return joined.select("thread_id", "segment", "text", "summary", "final", _metadata(F.col("total"), over))
 
 
 def build_threads(
@@ -78,16 +84,25 @@ def build_threads(
     """Rebuilds every pending thread: document, chunks, summary if there are too
     many, embedding, metadata.
 
-    Documents are written to the shared scratch folder once, because three steps
-    read them and their assembly holds the wide shuffle and the diff.
+    Documents are stored once, because several steps read them and their assembly
+    holds the wide shuffle and the diff.
     """
     embedder = embedder or hashed_terms(model(cfg.embed_model)[2])
     scope = rebuild_scope(emails, cfg)
-    path = scratch_path(emails.sparkSession, "documents")
-    chunked_documents(scope, attachments, cfg).write.parquet(path)
-    documents = emails.sparkSession.read.parquet(path)
-    segmented = not documents.where(F.col("segment") > 0).isEmpty()
-    threads = _with_metadata(_final_texts(documents, cfg, summarizer), segmented)
+    documents = stored(chunked_documents(scope, attachments, cfg), "documents")
+    gated = documents.where(F.col("chunk_count") > cfg.max_chunks)
+    summaries = summarize_documents(gated.select("thread_id", "segment", "text"), cfg, summarizer)
+
+    segments = documents.where(~F.col("whole"))
+    if segments.isEmpty():
+        threads = _finals(documents, summaries.select("thread_id", "summary"), cfg)
+    else:
+        whole = documents.where("whole")
+        of_whole = summaries.join(whole.select("thread_id"), "thread_id", "left_semi")
+        of_segments = summaries.join(segments.select("thread_id").distinct(), "thread_id", "left_semi")
+        threads = _finals(whole, of_whole.select("thread_id", "summary"), cfg).unionByName(
+            _segmented_finals(segments, of_segments, cfg)
+        )
 
     pieces = threads.select(
         "thread_id", "segment", "metadata",
