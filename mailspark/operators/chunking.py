@@ -11,31 +11,56 @@ from mailspark.config import SEPARATORS
 from mailspark.functions.text import strip
 
 
-def _level_regex(separator: str, size: int) -> str:
-    """A regex whose successive matches are the pieces of one level.
+def _overlaps_itself(separator: str) -> bool:
+    return any(separator.startswith(separator[k:]) for k in range(1, len(separator)))
+
+
+def _by_regex(separator: str, size: int):
+    """Pieces of one level as the successive matches of a regex.
 
     Each match ends where the separator starts again (it stays at the head of the
     next piece) and is the longest such stretch within ``size`` characters; a
     single stretch that is longer comes whole and is left to the next level.
     """
-    if separator == "":
-        return f"(?s).{{1,{size}}}"
     ahead = rf"(?={re.escape(separator)}|\z)"
-    return f"(?s).{{1,{size}}}{ahead}|.+?{ahead}"
+    regex = f"(?s).{{1,{size}}}{ahead}|.+?{ahead}" if separator else f"(?s).{{1,{size}}}"
+    return lambda text: F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+
+
+def _by_fold(separator: str, size: int):
+    """The same for a separator that can overlap itself, such as two line feeds
+    in a run of three: occurrences are taken from the left, which a look-ahead
+    cannot tell."""
+    def add(packed: Column, piece: Column) -> Column:
+        last = F.element_at(packed, -1)
+        fits = F.length(last) + F.length(piece) <= size
+        return (
+            F.when(F.size(packed) == 0, F.array(piece))
+            .when(fits, F.concat(F.slice(packed, 1, F.size(packed) - 1), F.array(F.concat(last, piece))))
+            .otherwise(F.concat(packed, F.array(piece)))
+        )
+
+    def split(text: Column) -> Column:
+        between = F.split(text, re.escape(separator))
+        headed = F.transform(between, lambda part, i: F.when(i > 0, F.concat(F.lit(separator), part)).otherwise(part))
+        pieces = F.filter(headed, lambda part: part != "")
+        return F.aggregate(pieces, F.array().cast("array<string>"), add)
+
+    return split
 
 
 def chunk_text(text: Column, size: int, separators: tuple[str, ...] = SEPARATORS) -> Column:
     """``text`` as an array of stripped chunks, none longer than ``size``.
 
-    Pieces that are still too long are split again by the next separator; the
-    work per level is one pass of a compiled regex.
+    Pieces that are still too long are split again by the next separator; a piece
+    without it, or short enough, is passed on as it is.
     """
     def split_level(pieces: Column, separator: str) -> Column:
-        regex = F.lit(_level_regex(separator, size))
+        split = (_by_fold if _overlaps_itself(separator) else _by_regex)(separator, size)
 
         def split_long(piece: Column) -> Column:
             done = (F.length(piece) <= size) | ~piece.contains(separator)
-            return F.when(done, F.array(piece)).otherwise(F.regexp_extract_all(piece, regex, F.lit(0)))
+            return F.when(done, F.array(piece)).otherwise(split(piece))
 
         return F.flatten(F.transform(pieces, split_long))
 

@@ -15,24 +15,24 @@ ENVELOPE = b"From "
 _SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 
-def _with_position(lines: DataFrame) -> DataFrame:
+def _records(lines: DataFrame) -> DataFrame:
     return lines.select(
-        F.struct(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("input_order"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.col("value").cast("binary").alias("value"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("file_size"), F.col("value").cast("binary").alias("value"),
     )
 
 
+def _input_order():
+    return F.struct("path", "block", F.monotonically_increasing_id().alias("row"))
+
+
 def read_mbox(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Raw records of mbox files with their place in the input.
+    """Raw records of mbox files with the file and block they come from.
 
     ``limit`` takes the first records in input order, before any filter.
     """
-    records = _with_position(spark.read.schema(_SCHEMA).option("lineSep", LINE_SEPARATOR).text(path))
-    return records if limit is None else records.orderBy("input_order").limit(limit)
+    records = _records(spark.read.schema(_SCHEMA).option("lineSep", LINE_SEPARATOR).text(path))
+    return records if limit is None else records.orderBy(_input_order()).limit(limit)
 
 
 def stream_mbox(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -41,7 +41,7 @@ def stream_mbox(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
         spark.readStream.schema(_SCHEMA).option("lineSep", LINE_SEPARATOR)
         .option("maxFilesPerTrigger", files_per_batch).text(folder)
     )
-    return _with_position(lines)
+    return _records(lines)
 
 
 def _record_parser():
@@ -66,8 +66,10 @@ def _record_parser():
 
 
 def parse_mbox(records: DataFrame) -> DataFrame:
-    """Parsed messages of ``read_mbox`` with their ``input_order``."""
-    return parse_messages(records, ("value",), _record_parser, ("input_order",))
+    """Parsed messages of records, with their ``input_order``: file, block and
+    place within it, which is the order of the messages in the file."""
+    ordered = records.select(_input_order().alias("input_order"), "file_size", "value")
+    return parse_messages(ordered, ("value",), _record_parser, ("input_order",))
 
 
 def render_mbox(emails: DataFrame) -> DataFrame:
