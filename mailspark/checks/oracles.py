@@ -46,7 +46,7 @@ attachments AS (
     CASE WHEN doc_id % 8 = 0 THEN '.txt' ELSE '.csv' END AS extension,
     CAST(n_chars AS INT) AS size,
     CASE WHEN lang <> 'es' THEN text END AS text_content
-  FROM documents WHERE doc_id % 4 = 0)"""
+  FROM documents)"""
 
 LINKS = r"https?://\S+|www\.\S+|ftp://\S+"
 

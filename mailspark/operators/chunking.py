@@ -67,6 +67,7 @@ def chunk_text(text: Column, size: int, separators: tuple[str, ...] = SEPARATORS
     pieces = F.array(text)
     for separator in separators:
         pieces = split_level(pieces, separator)
+    pieces = F.when(F.length(text) <= size, F.array(text)).otherwise(pieces)
     return F.filter(F.transform(pieces, strip), lambda piece: piece != "")
 
 

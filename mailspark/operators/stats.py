@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailspark.session import stored
+
 BINS = 80
 
 
@@ -35,8 +37,11 @@ def length_stats(lengths: DataFrame, column: str = "text_block_len") -> DataFram
 
 def length_histogram(lengths: DataFrame, column: str = "text_block_len", bins: int = BINS) -> DataFrame:
     """Equal-width bins of the lengths up to the 95th percentile; the last bin is
-    closed. Bins without threads are left out."""
-    counts = _counts(lengths, column)
+    closed. Bins without threads are left out.
+
+    The counts per length are stored, since the bounds need them before the bins.
+    """
+    counts = stored(_counts(lengths, column), "lengths")
     p95 = counts.agg(F.percentile("length", 0.95, F.col("n"))).scalar()
     kept = counts.where(F.col("length") <= p95)
     low, high = kept.agg(F.min("length")).scalar(), kept.agg(F.max("length")).scalar()

@@ -70,7 +70,7 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_conv = table(spark, sf_dir, "conversations").agg(F.max("conv_id") + 1).scalar()
     doc = F.col("doc_id")
     is_text = doc % 8 == 0
-    docs = table(spark, sf_dir, "documents").where(doc % 4 == 0)
+    docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.concat(F.lit("a"), doc.cast("string")).alias("id"),
         F.concat(F.lit("m"), (F.floor(doc / 4) % n_conv).cast("string"), F.lit("-0")).alias("email_id"),
