@@ -318,7 +318,7 @@ def _resources(spark, sf):
     resource = F.struct(
         F.col("id"), F.col("thread_id").alias("threadId"),
         F.when(F.col("is_embedded"), F.array(F.lit("INBOX"), F.lit("UNREAD"))).otherwise(F.array(F.lit("SENT"))).alias("labelIds"),
-        (F.unix_micros(F.col("date").cast("timestamp")) / 1000).cast("bigint").cast("string").alias("internalDate"),
+        F.timestamp_diff("MILLISECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), "date").cast("string").alias("internalDate"),
         F.struct(
             F.lit("multipart/mixed").alias("mimeType"),
             F.array(

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailspark.config import MailConfig
 from mailspark.functions.dates import parse_mail_date
 from mailspark.functions.files import attachment_text
 from mailspark.functions.html import html_to_text
 from mailspark.functions.mime import detect_mime
 from mailspark.functions.text import choose_body, file_extension, split_references, thread_root
+from mailspark.operators.skew import small_keys
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
@@ -35,9 +37,17 @@ def message_rows(parsed: DataFrame) -> DataFrame:
     return first_per_key(usable, ["message_id"], "input_order")
 
 
-def absent(rows: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose key is not stored yet."""
-    return rows.join(stored.select(key), key, "left_anti")
+def absent(rows: DataFrame, stored: DataFrame, key: str = "id", small: int = MailConfig.small_keys) -> DataFrame:
+    """Rows whose key is not stored yet.
+
+    The keys of a small batch are broadcast to the stored table, which is then
+    scanned for them without a shuffle; a large batch is joined.
+    """
+    stored = stored.select(key)
+    batch, _ = small_keys(rows, key, small)
+    if batch is not None:
+        stored = stored.join(F.broadcast(batch), key, "left_semi")
+    return rows.join(stored, key, "left_anti")
 
 
 def emails_from(messages: DataFrame, ingest_time: Column | None = None) -> DataFrame:

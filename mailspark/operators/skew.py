@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from mailspark.session import checkpointed
 
 
+def small_keys(df: DataFrame, name: str, limit: int) -> tuple[DataFrame | None, int]:
+    """The keys as a local table to broadcast and their number; no table if there
+    are more than ``limit``."""
+    found = df.select(name).limit(limit + 1).collect()
+    if len(found) > limit:
+        return None, len(found)
+    return df.sparkSession.createDataFrame(found, df.select(name).schema), len(found)
+
+
 class KeySet:
     """A set of keys, broadcast only when it was counted and found small."""
 
     def __init__(self, keys: DataFrame, name: str, limit: int):
         self.name = name
-        found = keys.select(name).limit(limit + 1).collect()
-        self.small = len(found) <= limit
-        self.empty = not found
-        if self.small:
-            schema = keys.select(name).schema
-            self.frame = F.broadcast(keys.sparkSession.createDataFrame(found, schema))
-        else:
-            self.frame = checkpointed(keys.select(name))
+        local, number = small_keys(keys, name, limit)
+        self.empty = number == 0
+        self.frame = checkpointed(keys.select(name)) if local is None else F.broadcast(local)
 
     def _matched(self, df: DataFrame, how: str) -> DataFrame:
         keys = self.frame.withColumnRenamed(self.name, "_key")

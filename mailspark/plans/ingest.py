@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailspark.operators.ingest import absent, attachments_from, emails_from, message_rows
 from mailspark.schemas import ATTACHMENTS, EMAILS
-from mailspark.session import stored as saved
+from mailspark.session import stored
 
 
 class MailStore:
@@ -33,15 +34,14 @@ class MailStore:
         """Stores the messages whose ids are new.
 
         Each batch owns its folder, attachments first: an email that can be seen
-        has its attachments, and a repeated batch overwrites itself. The new
-        messages are written down once, since both tables derive from them.
+        has its attachments, and a repeated batch overwrites itself. The parsed
+        messages are written down once, since three steps read them.
         """
-        # What the same batch wrote in an earlier attempt is not "stored".
-        stored = self.emails().where(f"_metadata.file_path NOT LIKE '%/batch={batch}/%'") if self._exists() else self.emails()
-        fresh = absent(message_rows(parsed), stored.withColumnRenamed("id", "message_id"), "message_id")
-        fresh = saved(fresh, "messages")
+        known = self.emails()
+        if known.inputFiles():
+            # What this batch wrote in an earlier attempt does not count.
+            known = known.where(~F.col("_metadata.file_path").contains(f"/batch={batch}/"))
+        messages = stored(message_rows(parsed), "messages")
+        fresh = absent(messages, known.select(F.col("id").alias("message_id")), "message_id")
         attachments_from(fresh).write.mode("overwrite").parquet(f"{self.root}/attachments/batch={batch}")
         emails_from(fresh, ingest_time).write.mode("overwrite").parquet(f"{self.root}/emails/batch={batch}")
-
-    def _exists(self) -> bool:
-        return bool(self.emails().inputFiles())

@@ -40,7 +40,7 @@ def _envelope(lines: DataFrame) -> DataFrame:
     return parsed.select(
         F.col("m.id").alias("resource_id"), F.col("m.threadId").alias("thread_id"),
         F.coalesce("m.labelIds", F.array().cast("array<string>")).alias("label_ids"),
-        F.coalesce(F.col("m.internalDate").cast("bigint"), F.lit(0).cast("bigint")).alias("internal_date"),
+        F.coalesce(F.col("m.internalDate").try_cast("bigint"), F.lit(0).cast("bigint")).alias("internal_date"),
         header_map(F.coalesce("m.payload.headers", F.array().cast(_ENVELOPE["payload"].dataType["headers"].dataType))).alias("headers"),
         "raw",
     )
