@@ -1,10 +1,11 @@
 """The vector collection and the ledger of embedded emails, as parquet tables.
 
-A batch writes its chunks under ``batch=<n>`` and after that the threads it
-rebuilt under ``live``. The second write makes the first one visible: readers
-take of each thread only the chunks of its latest live batch. Nothing is deleted
-or rewritten, so a failed or repeated batch leaves no trace, and the cost of an
-update is the changed threads alone. ``compact`` folds the batches.
+Every batch adds a ``batch=<n>`` folder to each table and, last of all, a row to
+``commits``; readers see committed batches only. ``replaced`` names the chunks a
+batch makes obsolete, so a reader filters by a short list instead of looking up
+the state of every chunk. Nothing is deleted or rewritten: a failed or repeated
+batch leaves no trace, and an update costs the changed threads alone.
+``compact`` folds the batches and empties the list.
 """
 
 from __future__ import annotations
@@ -14,15 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailspark.config import MailConfig
+from mailspark.operators.skew import KeySet
 from mailspark.schemas import COLLECTION
 from mailspark.sources.models import model
 
+_THREAD = T.StructField("thread_id", T.StringType())
 _BATCH = T.StructField("batch", T.LongType())
-_THREADS = T.StructType([T.StructField("thread_id", T.StringType()), _BATCH])
-_EMBEDDED = T.StructType([T.StructField("thread_id", T.StringType()), T.StructField("id", T.StringType()), _BATCH])
-_MANIFEST = T.StructType([
-    T.StructField("name", T.StringType()), T.StructField("embed_model", T.StringType()), T.StructField("dim", T.IntegerType()),
-])
+_PARTS = {
+    "manifest": T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("embed_model", T.StringType()), T.StructField("dim", T.IntegerType()),
+    ]),
+    "commits": T.StructType([_BATCH]),
+    "chunks": T.StructType([*COLLECTION.fields, _BATCH]),
+    "live": T.StructType([_THREAD, _BATCH]),
+    # Chunks of (thread_id, obsolete) do not count any more.
+    "replaced": T.StructType([_THREAD, T.StructField("obsolete", T.LongType()), _BATCH]),
+    "failed": T.StructType([_THREAD, _BATCH]),
+    "embedded": T.StructType([_THREAD, T.StructField("id", T.StringType()), _BATCH]),
+}
 
 
 def replace_threads(stored: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
@@ -47,40 +58,74 @@ class Collection:
 
     def create(self, embed_model: str) -> None:
         """Records the model; a second call must name the same one."""
-        found = self._read("manifest", _MANIFEST).collect()
+        found = self._read("manifest").collect()
         if not found:
             row = [(self.name, embed_model, model(embed_model)[2])]
-            self.spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest")
+            frame = self.spark.createDataFrame(row, _PARTS["manifest"])
+            frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest")
         elif found[0]["embed_model"] != embed_model:
             raise ValueError(f"collection {self.name} was made with {found[0]['embed_model']}")
 
-    def _read(self, part: str, schema: T.StructType) -> DataFrame:
+    def _read(self, part: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+            return self.spark.read.schema(_PARTS[part]).parquet(f"{self.path}/{part}")
         except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], _PARTS[part])
 
     def _write(self, df: DataFrame, part: str, batch: int) -> None:
         # Overwriting its own folder makes a repeated batch harmless.
         df.write.mode("overwrite").parquet(f"{self.path}/{part}/batch={batch}")
 
-    def write_batch(self, batch: int, chunks: DataFrame, changed: DataFrame, embedded: DataFrame) -> None:
+    def _committed(self, part: str, but: int | None = None) -> DataFrame:
+        """Rows of committed batches: a partition filter, one number per batch."""
+        batches = [r["batch"] for r in self._read("commits").select("batch").distinct().collect() if r["batch"] != but]
+        return self._read(part).where(F.col("batch").isin(batches))
+
+    def write_batch(
+        self, batch: int, chunks: DataFrame, changed: DataFrame, embedded: DataFrame, small: int = MailConfig.small_keys,
+    ) -> None:
         """Replaces the changed threads by ``chunks`` (a thread may have none)
-        and records the emails that went into them."""
+        and records the emails that went into them.
+
+        A thread with a chunk that got no embedding keeps its old chunks and
+        stays pending; the others go on.
+        """
         self._write(chunks.select(*COLLECTION.names), "chunks", batch)
-        self._write(changed.select("thread_id").distinct(), "live", batch)
-        self._write(embedded.select("thread_id", "id"), "embedded", batch)
+        # Read back, since computing them again would ask the model again.
+        written = self._read("chunks").where(F.col("batch") == batch)
+        self._write(written.where(F.col("embedding").isNull()).select("thread_id").distinct(), "failed", batch)
+        failed = KeySet(self._read("failed").where(F.col("batch") == batch), "thread_id", small)
+        done = failed.outside(changed.select("thread_id").distinct())
+        self._write(done, "live", batch)
+        now = KeySet(self._read("live").where(F.col("batch") == batch), "thread_id", small)
+        before = now.inside(self._committed("live", but=batch)).select("thread_id", F.col("batch").alias("obsolete"))
+        this = failed.inside(changed.select("thread_id").distinct()).select("thread_id", F.lit(batch).cast("bigint").alias("obsolete"))
+        self._write(before.unionByName(this).distinct(), "replaced", batch)
+        self._write(failed.outside(embedded.select("thread_id", "id")), "embedded", batch)
+        self._write(self.spark.range(1).select(F.lit(1).alias("done")).coalesce(1), "commits", batch)
 
     def embedded(self) -> DataFrame:
-        return self._read("embedded", _EMBEDDED).select("thread_id", "id")
-
-    def read(self) -> DataFrame:
-        """The current chunks."""
-        latest = self._read("live", _THREADS).groupBy("thread_id").agg(F.max("batch").alias("batch"))
-        chunks = self._read("chunks", T.StructType([*COLLECTION.fields, _BATCH]))
-        return chunks.join(latest, ["thread_id", "batch"], "left_semi").select(*COLLECTION.names)
+        return self._committed("embedded").select("thread_id", "id")
+
+    def failed_threads(self) -> DataFrame:
+        """Threads whose last attempt failed."""
+        lost = self._committed("failed").groupBy("thread_id").agg(F.max("batch").alias("lost"))
+        won = self._committed("live").groupBy("thread_id").agg(F.max("batch").alias("won"))
+        return lost.join(won, "thread_id", "left").where(F.col("won").isNull() | (F.col("won") < F.col("lost"))).select("thread_id")
+
+    def read(self, small: int = MailConfig.small_keys) -> DataFrame:
+        """The current chunks: one scan while few have been replaced since the
+        last compaction, a join when there are many."""
+        chunks = self._committed("chunks")
+        replaced = self._committed("replaced").select("thread_id", F.col("obsolete").alias("batch"))
+        few = replaced.limit(small + 1).collect()
+        if not few:
+            return chunks.select(*COLLECTION.names)
+        if len(few) <= small:
+            replaced = F.broadcast(self.spark.createDataFrame(few, replaced.schema))
+        return chunks.join(replaced, ["thread_id", "batch"], "left_anti").select(*COLLECTION.names)
 
     def compact(self, target: Collection, batch: int = 0) -> None:
         """Writes the current state into another collection as one batch."""
         current = self.read()
-        target.write_batch(batch, current, current.select("thread_id"), self.embedded())
+        target.write_batch(batch, current, self._committed("live"), self.embedded())

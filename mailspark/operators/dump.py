@@ -36,7 +36,8 @@ def dump_entries(threads: DataFrame) -> DataFrame:
 
 
 def write_dump(threads: DataFrame, path: str) -> None:
-    dump_entries(threads).write.mode("append").text(path)
+    """Writes a dump folder; a repeated run replaces it."""
+    dump_entries(threads).write.mode("overwrite").text(path)
 
 
 def read_dump_lengths(spark: SparkSession, path: str) -> DataFrame:

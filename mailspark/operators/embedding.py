@@ -43,14 +43,26 @@ def hashed_terms(dim: int, hash_token: Callable[[Column], Column] = fast_hash) -
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], list]], batch: int = 64) -> Embedder:
-    """An embedder around a real model, loaded once per Python worker task."""
+    """An embedder around a real model, loaded once per task.
+
+    A text the model fails on gets NULL, which keeps its thread pending.
+    """
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
+
+        def attempt(texts: list[str]) -> list:
+            try:
+                return [np.asarray(vector, dtype=np.float32) for vector in model(texts)]
+            except Exception:
+                if len(texts) == 1:
+                    return [None]
+                return [vector for text in texts for vector in attempt([text])]
+
         for texts in batches:
             vectors = []
             for start in range(0, len(texts), batch):
-                vectors.extend(model(list(texts.iloc[start:start + batch])))
-            yield pd.Series([np.asarray(v, dtype=np.float32) for v in vectors])
+                vectors.extend(attempt(list(texts.iloc[start:start + batch])))
+            yield pd.Series(vectors, dtype="object")
 
     # The evaluated hints, since the module's annotations are strings.
     embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

@@ -23,9 +23,17 @@ def pending_threads(emails: DataFrame) -> DataFrame:
     return emails.where(~F.col("is_embedded")).select("thread_id").distinct()
 
 
-def rebuild_scope(emails: DataFrame, cfg: MailConfig = MailConfig()) -> DataFrame:
-    """All emails of the pending threads."""
-    return KeySet(pending_threads(emails), "thread_id", cfg.small_keys).inside(emails)
+def rebuild_scope(emails: DataFrame, cfg: MailConfig = MailConfig(), pending: DataFrame | None = None) -> DataFrame:
+    """All emails of the pending threads.
+
+    Few threads are broadcast to the scan. In a first load nothing is embedded
+    yet, and the emails are taken as they are instead of joined.
+    """
+    if pending is None:
+        if emails.where(F.coalesce("is_embedded", F.lit(True))).isEmpty():
+            return emails
+        pending = pending_threads(emails)
+    return KeySet(pending, "thread_id", cfg.small_keys).inside(emails)
 
 
 def email_positions(emails: DataFrame, cfg: MailConfig = MailConfig()) -> DataFrame:

@@ -79,16 +79,17 @@ def _segmented_finals(documents: DataFrame, summaries: DataFrame, cfg: MailConfi
 
 def build_threads(
     emails: DataFrame, attachments: DataFrame | None = None, cfg: MailConfig = MailConfig(),
-    embedder: Embedder | None = None, summarizer: Summarizer | None = None,
+    embedder: Embedder | None = None, summarizer: Summarizer | None = None, pending: DataFrame | None = None,
 ) -> ThreadRun:
     """Rebuilds every pending thread: document, chunks, summary if there are too
-    many, embedding, metadata.
+    many, embedding, metadata. Pending are the given threads, else those with an
+    email that is marked as not embedded.
 
     Documents are stored once, because several steps read them and their assembly
     holds the wide shuffle and the diff.
     """
     embedder = embedder or hashed_terms(model(cfg.embed_model)[2])
-    scope = rebuild_scope(emails, cfg)
+    scope = rebuild_scope(emails, cfg, pending)
     documents = stored(chunked_documents(scope, attachments, cfg), "documents")
     gated = documents.where(F.col("chunk_count") > cfg.max_chunks)
     summaries = summarize_documents(gated.select("thread_id", "segment", "text"), cfg, summarizer)

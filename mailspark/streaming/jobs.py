@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailspark.config import MailConfig
-from mailspark.operators.collection import Collection, mark_embedded
+from mailspark.operators.collection import Collection
 from mailspark.operators.dump import write_dump
 from mailspark.operators.embedding import Embedder
 from mailspark.operators.summarize import Summarizer
@@ -46,10 +46,20 @@ def ingest_stream(
 def embed_pending(
     store: MailStore, collection: Collection, batch: int, cfg: MailConfig = MailConfig(),
     embedder: Embedder | None = None, summarizer: Summarizer | None = None, dump: str | None = None,
+    touched: DataFrame | None = None,
 ) -> None:
-    """Rebuilds the threads that have emails the ledger does not know."""
-    emails = mark_embedded(store.emails(), collection.embedded())
-    run = build_threads(emails, store.attachments(), cfg, embedder, summarizer)
+    """Rebuilds the touched threads and those whose last attempt failed; without
+    ``touched``, all threads with an email the ledger does not know.
+
+    Which threads are pending is found on ids alone; texts are read only for them.
+    """
+    emails = store.emails()
+    if touched is None:
+        waiting = emails.where(~F.col("is_embedded")).select("id", "thread_id")
+        pending = waiting.join(collection.embedded().select("id"), "id", "left_anti").select("thread_id")
+    else:
+        pending = touched.select("thread_id").unionByName(collection.failed_threads())
+    run = build_threads(emails, store.attachments(), cfg, embedder, summarizer, pending.distinct())
     collection.write_batch(batch, run.chunks, run.changed, run.embedded)
     if dump:
         write_dump(run.threads, f"{dump}/batch={batch}")
@@ -60,16 +70,15 @@ def embed_stream(
     cfg: MailConfig = MailConfig(), once: bool = False, interval: str = EMBED_INTERVAL,
     embedder: Embedder | None = None, summarizer: Summarizer | None = None, dump: str | None = None,
 ) -> StreamingQuery:
-    """Embeds pending threads whenever new rows reach the ``emails`` table.
+    """Rebuilds the threads of the rows that reach the ``emails`` table.
 
-    ``emails`` is a stream of that table and only wakes the job: what is pending
-    follows from the table and the ledger, so a thread whose batch failed is
-    picked up by the next one.
+    ``emails`` is a stream of that table. A batch that fails is run again by the
+    stream; a thread that fails inside a batch is taken along by the next one.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
-        embed_pending(store, collection, batch_id, cfg, embedder, summarizer, dump)
+        embed_pending(store, collection, batch_id, cfg, embedder, summarizer, dump, batch)
 
-    return _start(emails.select("id"), body, checkpoint, once, interval)
+    return _start(emails.select("thread_id"), body, checkpoint, once, interval)
 
 
 def live_metadata(emails: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailspark.config import MailConfig
 from mailspark.operators.collection import Collection, mark_embedded, replace_threads
 from mailspark.operators.dump import read_dump_lengths
+from mailspark.operators.embedding import model_embedder
 from mailspark.plans.ingest import MailStore
 from mailspark.plans.threads import build_threads
 from mailspark.schemas import COLLECTION, EMAILS
@@ -74,23 +75,58 @@ def test_streams_equal_batch(spark, tmp_path):
     assert read_dump_lengths(spark, str(tmp_path / "dump" / "batch=*")).count() == 5
 
 
-def test_repeated_and_failed_batches(spark, tmp_path):
+class Mails:
+    """A store of six emails in three threads."""
+
+    def __init__(self, spark):
+        rows = [(str(i), f"t{i % 3}", "s", [], None, datetime(2024, 1, 1), "a", [], f"text {i}", False) for i in range(6)]
+        self.frame = spark.createDataFrame(rows, EMAILS)
+
+    def emails(self):
+        return self.frame
+
+    def attachments(self):
+        return None
+
+
+def test_failed_batch_leaves_no_trace(spark, tmp_path):
     collection = Collection(spark, str(tmp_path), "c")
-    emails = spark.createDataFrame([(i, f"t{i % 3}", "s", [], None, datetime(2024, 1, 1), "a", [], f"text {i}", False) for i in "012345" for i in [int(i)]],
-                                   EMAILS.add("x", "int") if False else "id int, thread_id string, subject string, references array<string>, in_reply_to string, date timestamp_ntz, sender string, recipients array<string>, body string, is_embedded boolean").withColumn("id", F.col("id").cast("string"))
-    store = type("Store", (), {"emails": lambda self: emails, "attachments": lambda self: None})()
 
     def broken(text):
         return F.raise_error(F.lit("model is down")).cast("array<float>")
 
     with pytest.raises(Exception, match="model is down"):
-        jobs.embed_pending(store, collection, 0, CFG, broken)
+        jobs.embed_pending(Mails(spark), collection, 0, CFG, broken)
     assert collection.read().count() == 0 and collection.embedded().count() == 0
-    jobs.embed_pending(store, collection, 0, CFG)
-    first = by_thread(collection.read())
-    assert set(first) == {"t0", "t1", "t2"}
-    jobs.embed_pending(store, collection, 0, CFG)
-    assert collection.embedded().count() in (0, 6)
+    for _ in range(2):
+        jobs.embed_pending(Mails(spark), collection, 0, CFG, touched=Mails(spark).emails())
+        assert set(by_thread(collection.read())) == {"t0", "t1", "t2"} and collection.embedded().count() == 6
+    jobs.embed_pending(Mails(spark), collection, 1, CFG)
+    assert set(by_thread(collection.read())) == {"t0", "t1", "t2"} and collection.embedded().count() == 6
+
+
+def test_failed_thread_stays_pending(spark, tmp_path):
+    collection = Collection(spark, str(tmp_path), "c")
+
+    def load():
+        def vectors(texts):
+            if any("text 1" in t for t in texts):
+                raise RuntimeError("bad text")
+            return [[1.0] for _ in texts]
+        return vectors
+
+    jobs.embed_pending(Mails(spark), collection, 0, CFG, model_embedder(load))
+    assert set(by_thread(collection.read())) == {"t0", "t2"} and collection.embedded().count() == 4
+    assert [r.thread_id for r in collection.failed_threads().collect()] == ["t1"]
+    none = Mails(spark).emails().limit(0)
+    jobs.embed_pending(Mails(spark), collection, 1, CFG, touched=none)
+    assert set(by_thread(collection.read())) == {"t0", "t1", "t2"} and collection.embedded().count() == 6
+    assert collection.failed_threads().count() == 0
+    # A failure of a thread that has chunks leaves the old ones in place.
+    old = by_thread(collection.read())
+    jobs.embed_pending(Mails(spark), collection, 2, CFG, model_embedder(load), touched=Mails(spark).emails())
+    assert by_thread(collection.read()) == old
+    assert by_thread(collection.read(small=0)) == old
 
 
 def test_empty_thread_loses_its_chunks(spark, tmp_path):
