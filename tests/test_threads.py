@@ -29,32 +29,34 @@ def frames(spark, emails, attachments=()):
     return spark.createDataFrame(emails, EMAILS), spark.createDataFrame(list(attachments), ATTACHMENTS)
 
 
-def expected_document(emails, attachments, threshold=0.8):
-    """The document by the plain procedure, as a check on small threads."""
-    emails = sorted(emails, key=lambda e: (e[5], e[0]))
-    parts = []
-    for i, e in enumerate(emails):
-        body = e[8]
-        parent = next((p for p in emails if p[0] == e[4]), None)
-        if i and parent:
-            for pattern in QUOTE_PATTERNS:
-                found = re.search(pattern, body, re.IGNORECASE)
-                if found:
-                    ratio = difflib.SequenceMatcher(None, body[found.end():].strip(), parent[8].strip()).ratio()
-                    body = body[:found.start()] if ratio >= threshold else body
-                    break
-        body = body.strip()
-        if not body:
-            continue
-        part = f"--- Email {i + 1} ---\nDate: {e[5]}\n\n{body}"
-        for a in sorted((a for a in attachments if a[1] == e[0] and a[6]), key=lambda a: (a[2], a[0])):
-            part += f"\n\n--- Begin Attachment: {a[2]} ({a[4]}) ---\n{a[6].strip()}\n--- End Attachment ---"
-        parts.append(part + "\n--- End Email ---")
-    if not parts:
+def shown_text(mail, original, threshold=0.8):
+    """What remains of a body once it turned out to quote ``original``."""
+    marks = (re.compile(pattern, re.IGNORECASE).search(mail[8]) for pattern in QUOTE_PATTERNS)
+    mark = next((m for m in marks if m), None) if original is not None else None
+    if mark is None:
+        return mail[8].strip()
+    before, after = (part.strip() for part in (mail[8][:mark.start()], mail[8][mark.end():]))
+    close = difflib.SequenceMatcher(a=after, b=original.strip()).ratio() >= threshold
+    return before if close else mail[8].strip()
+
+
+def expected_document(emails, attachments):
+    """The document of a small thread, put together row by row."""
+    ordered = sorted(emails, key=lambda mail: (mail[5], mail[0]))
+    bodies = {mail[0]: mail[8] for mail in ordered}
+    lines = ["===== Begin Email Thread =====", "", "Subject: " + (ordered[0][2].strip() if ordered[0][2] else "(no subject)"), ""]
+    start = len(lines)
+    for number, mail in enumerate(ordered, 1):
+        text = shown_text(mail, bodies.get(mail[4]) if number > 1 else None)
+        if text:
+            lines += [f"--- Email {number} ---", f"Date: {mail[5]}", "", text]
+            own = (a for a in attachments if a[1] == mail[0] and a[6])
+            for a in sorted(own, key=lambda a: (a[2], a[0])):
+                lines += ["", f"--- Begin Attachment: {a[2]} ({a[4]}) ---", a[6].strip(), "--- End Attachment ---"]
+            lines += ["--- End Email ---", ""]
+    if len(lines) == start:
         return None
-    subject = emails[0][2].strip() if emails[0][2] else "(no subject)"
-    whole = f"===== Begin Email Thread =====\n\nSubject: {subject}\n\n" + "\n\n".join(parts) + "\n\n===== End Email Thread ====="
-    return re.sub(r"https?://\S+|www\.\S+|ftp://\S+", "", whole)
+    return re.sub(r"https?://\S+|www\.\S+|ftp://\S+", "", "\n".join([*lines, "===== End Email Thread ====="]))
 
 
 def random_mail(seed, n_threads=12):
