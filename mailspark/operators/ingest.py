@@ -50,17 +50,21 @@ def absent(rows: DataFrame, stored: DataFrame, key: str = "id", small: int = Mai
     return rows.join(stored, key, "left_anti")
 
 
+def message_thread() -> Column:
+    """The thread of a parsed message."""
+    own = thread_root(split_references(F.col("references_header")), F.col("in_reply_to"), F.col("message_id"))
+    return F.coalesce("thread_key", own)
+
+
 def emails_from(messages: DataFrame, ingest_time: Column | None = None) -> DataFrame:
     """``emails`` rows; a missing or unreadable date becomes the ingest time."""
     now = F.current_timestamp().cast("timestamp_ntz") if ingest_time is None else ingest_time
-    references = split_references(F.col("references_header"))
-    own_thread = thread_root(references, F.col("in_reply_to"), F.col("message_id"))
     html = html_to_text(F.when(F.col("html") != "", F.col("html")))
     return messages.select(
         F.col("message_id").alias("id"),
-        F.coalesce("thread_key", own_thread).alias("thread_id"),
+        message_thread().alias("thread_id"),
         "subject",
-        references.alias("references"),
+        split_references(F.col("references_header")).alias("references"),
         "in_reply_to",
         F.coalesce(parse_mail_date(F.col("date_header")), now).alias("date"),
         "sender",
@@ -80,9 +84,9 @@ def dedup_attachments(files: DataFrame) -> DataFrame:
     return last_per_key(files, ["email_id", "filename"], "part_no")
 
 
-def attachments_from(messages: DataFrame, extra=None) -> DataFrame:
-    """``attachments`` rows of messages."""
-    files = messages.select(F.col("message_id").alias("email_id"), F.inline("files"))
+def attachments_from(messages: DataFrame, extra=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``attachments`` rows of messages, with the ``keep`` columns of these."""
+    files = messages.select(F.col("message_id").alias("email_id"), *keep, F.inline("files"))
     files = dedup_attachments(files)
     typed = files.withColumn("mime_type", detect_mime(F.col("content"), F.col("declared_type"), F.col("filename")))
     return typed.select(
@@ -91,4 +95,5 @@ def attachments_from(messages: DataFrame, extra=None) -> DataFrame:
         file_extension(F.col("filename")).alias("extension"),
         F.length("content").cast("int").alias("size"),
         attachment_text(F.col("mime_type"), F.col("content"), extra).alias("text_content"),
+        *keep,
     )

@@ -47,7 +47,8 @@ def heavy_keys(df: DataFrame, key: str, weight: Column, limit: int, small: int)
     return KeySet(heavy, key, small)
 
 
-def _sums_in_task(df: DataFrame, key: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+def sums_in_task(df: DataFrame, key: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Running sums per key, for keys that fit a task."""
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.select("*", *[F.sum(value).over(upto).alias(name) for name, value in sums.items()])
 
@@ -83,7 +84,7 @@ def running_sums(
 ) -> DataFrame:
     """Running sums in order within each key; ``{"n": lit(1)}`` gives positions."""
     heavy = heavy_keys(df, key, F.lit(1), heavy_rows, small)
-    light = _sums_in_task(heavy.outside(df), key, order, sums)
+    light = sums_in_task(heavy.outside(df), key, order, sums)
     if heavy.empty:
         return light
     return light.unionByName(sums_by_range(heavy.inside(df), key, order, sums))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailspark.config import MailConfig
 from mailspark.functions.text import datetime_text, remove_links, strip
 from mailspark.operators.quotes import diff_verdicts, quote_split, quoted_part, settled, strip_quotes
-from mailspark.operators.skew import KeySet, running_sums, sums_by_range
+from mailspark.operators.skew import KeySet, heavy_keys, sums_by_range, sums_in_task
 
 # The marks of the document layout.
 BEGIN_THREAD = "===== Begin Email Thread ====="
@@ -16,6 +16,8 @@ END_THREAD = "===== End Email Thread ====="
 END_EMAIL = "\n--- End Email ---"
 END_ATTACHMENT = "\n--- End Attachment ---"
 NO_SUBJECT = "(no subject)"
+# About what the marks around a piece add to its length.
+_MARKS = 64
 
 
 def pending_threads(emails: DataFrame) -> DataFrame:
@@ -38,10 +40,15 @@ def rebuild_scope(emails: DataFrame, cfg: MailConfig = MailConfig(), pending: Da
 
 def email_positions(emails: DataFrame, cfg: MailConfig = MailConfig()) -> DataFrame:
     """Adds ``position``, 1-based by date inside the thread."""
-    return running_sums(
-        emails, "thread_id", ["date", "id"], {"position": F.lit(1).cast("bigint")},
-        cfg.heavy_rows, cfg.small_keys,
-    )
+    order, count = ["date", "id"], {"position": F.lit(1).cast("bigint")}
+    heavy = heavy_keys(emails, "thread_id", F.lit(1), cfg.heavy_rows, cfg.small_keys)
+    light = sums_in_task(heavy.outside(emails), "thread_id", order, count)
+    if heavy.empty:
+        return light
+    # Large threads are ranked on their keys alone and meet their texts by id.
+    large = heavy.inside(emails)
+    ranks = sums_by_range(large.select("thread_id", *order), "thread_id", order, count).select("id", "position")
+    return light.unionByName(large.join(ranks, "id"))
 
 
 def email_attachments(emails: DataFrame, attachments: DataFrame) -> DataFrame:
@@ -72,6 +79,10 @@ def _document_head(subject: Column) -> Column:
     return F.concat(F.lit(f"{BEGIN_THREAD}\n\nSubject: "), shown)
 
 
+def _weight(text: str) -> Column:
+    return F.coalesce(F.length(text), F.lit(0)).cast("bigint") + _MARKS
+
+
 def _has_text() -> Column:
     return F.coalesce(F.col("text_content"), F.lit("")) != ""
 
@@ -88,7 +99,7 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
     thread id, and everything after it (attachments to email, reply to parent,
     order, concatenation, counts) stays inside that partitioning.
     """
-    mail = F.struct("date", "id", "in_reply_to", "subject", "sender", strip(F.col("body")).alias("text"), "body").alias("mail")
+    mail = F.struct("date", "id", "in_reply_to", "subject", "sender", "body").alias("mail")
     if files is None:
         rows = emails.select("thread_id", mail, F.array().cast("array<string>").alias("blocks")).repartition("thread_id")
     else:
@@ -106,7 +117,7 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
     # Each email is there as a possible parent under its id and as a reply under
     # the id it answers, so the parent is the first row of a group.
     roles = rows.select("thread_id", F.explode(F.array(
-        F.struct(F.col("mail.id").alias("key"), F.lit(0).alias("role"), F.col("mail.text").alias("parent"),
+        F.struct(F.col("mail.id").alias("key"), F.lit(0).alias("role"), strip(F.col("mail.body")).alias("parent"),
                  F.lit(None).cast(rows.schema["mail"].dataType).alias("mail"),
                  F.lit(None).cast("array<string>").alias("blocks")),
         F.struct(F.col("mail.in_reply_to").alias("key"), F.lit(1).alias("role"), F.lit(None).cast("string").alias("parent"),
@@ -120,7 +131,7 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
     replies = replies.withColumn("same", settled(F.col("tail"), F.col("parent"), cfg))
     open_case = F.col("tail").isNotNull() & F.col("same").isNull()
     mails = replies.select("thread_id", F.struct(
-        "mail.date", "mail.id", "mail.subject", "mail.sender", "mail.text",
+        "mail.date", "mail.id", "mail.subject", "mail.sender", strip(F.col("mail.body")).alias("text"),
         F.when(open_case | F.col("same"), strip(F.col("quote")[0])).alias("own_text"), "same",
         F.when(open_case, F.col("tail")).alias("tail"), F.when(open_case, F.col("parent")).alias("parent"),
         "blocks",
@@ -174,9 +185,9 @@ def _segmented_documents(emails: DataFrame, files: DataFrame, cfg: MailConfig) -
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     keys = (
         emails.select("thread_id", "date", F.col("id").alias("email_id"), F.lit(0).alias("kind"),
-                      F.lit("").alias("filename"), F.lit("").alias("file_id"), F.length("body").cast("bigint").alias("weight"))
+                      F.lit("").alias("filename"), F.lit("").alias("file_id"), _weight("body").alias("weight"))
         .unionByName(files.select("thread_id", "date", "email_id", F.lit(1).alias("kind"), "filename",
-                                  F.col("id").alias("file_id"), F.length("text_content").cast("bigint").alias("weight")))
+                                  F.col("id").alias("file_id"), _weight("text_content").alias("weight")))
         .unionByName(emails.select("thread_id", "date", F.col("id").alias("email_id"), F.lit(2).alias("kind"),
                                    F.lit("").alias("filename"), F.lit("").alias("file_id"), zero.alias("weight")))
     )
@@ -219,9 +230,9 @@ def _segmented_documents(emails: DataFrame, files: DataFrame, cfg: MailConfig) -
 
 def heavy_threads(emails: DataFrame, attachments: DataFrame | None, cfg: MailConfig) -> KeySet:
     """Threads whose texts together exceed ``heavy_chars`` or ``heavy_rows``."""
-    rows = emails.select("thread_id", F.length("body").cast("bigint").alias("chars"))
+    rows = emails.select("thread_id", _weight("body").alias("chars"))
     if attachments is not None:
-        sizes = attachments.select("email_id", F.length("text_content").cast("bigint").alias("chars"))
+        sizes = attachments.select("email_id", _weight("text_content").alias("chars"))
         owners = emails.select(F.col("id").alias("email_id"), "thread_id")
         rows = rows.unionByName(sizes.join(owners, "email_id").select("thread_id", "chars"))
     sums = rows.groupBy("thread_id").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))

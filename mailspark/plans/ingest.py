@@ -1,34 +1,65 @@
-"""From raw messages to appended ``emails`` and ``attachments`` rows."""
+"""From raw messages to stored ``emails`` and ``attachments`` rows."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mailspark.operators.ingest import absent, attachments_from, emails_from, message_rows
+from mailspark.config import MailConfig
+from mailspark.operators.ingest import absent, attachments_from, emails_from, message_rows, message_thread
+from mailspark.operators.skew import small_keys
 from mailspark.schemas import ATTACHMENTS, EMAILS
 from mailspark.session import stored
 
+_SCHEMAS = {"emails": EMAILS, "attachments": ATTACHMENTS}
+_LAYOUT = [T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())]
+
 
 class MailStore:
-    """The two tables below a root folder all executors share."""
+    """The two tables below a root folder all executors share.
+
+    Both are laid out by batch and by a hash bucket of the thread, so the rows of
+    a few threads are found by partition filters instead of a full scan.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 1024):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
+
+    def _bucket(self, thread_id: Column) -> Column:
+        return F.pmod(F.xxhash64(thread_id), F.lit(self.buckets)).cast("int")
 
-    def _read(self, name, schema) -> DataFrame:
+    def _table(self, name: str) -> DataFrame:
+        schema = T.StructType([*_SCHEMAS[name].fields, *_LAYOUT])
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").select(*schema.names)
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
     def emails(self) -> DataFrame:
-        return self._read("emails", EMAILS)
+        return self._table("emails").select(*EMAILS.names)
 
     def attachments(self) -> DataFrame:
-        return self._read("attachments", ATTACHMENTS)
+        return self._table("attachments").select(*ATTACHMENTS.names)
+
+    def near_threads(self, threads: DataFrame, small: int = MailConfig.small_keys) -> tuple[DataFrame, DataFrame]:
+        """Emails and attachments of the buckets the threads fall into; all of
+        them if the threads are many."""
+        local, _ = small_keys(threads, "thread_id", small)
+        if local is None:
+            return self.emails(), self.attachments()
+        buckets = [row[0] for row in local.select(self._bucket(F.col("thread_id"))).distinct().collect()]
+        hit = F.col("bucket").isin(buckets)
+        emails, attachments = self._table("emails").where(hit), self._table("attachments").where(hit)
+        return emails.select(*EMAILS.names), attachments.select(*ATTACHMENTS.names)
+
+    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
+        # Rebalancing gathers each bucket into few files and splits a hot one.
+        balanced = rows.hint("rebalance", "bucket")
+        balanced.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch}")
 
     def insert_new(self, parsed: DataFrame, batch: int, ingest_time: Column | None = None) -> None:
         """Stores the messages whose ids are new.
@@ -37,11 +68,10 @@ class MailStore:
         has its attachments, and a repeated batch overwrites itself. The parsed
         messages are written down once, since three steps read them.
         """
-        known = self.emails()
-        if known.inputFiles():
-            # What this batch wrote in an earlier attempt does not count.
-            known = known.where(~F.col("_metadata.file_path").contains(f"/batch={batch}/"))
-        messages = stored(message_rows(parsed), "messages")
+        # What this batch wrote in an earlier attempt does not count.
+        known = self._table("emails").where(F.col("batch") != batch)
+        messages = stored(message_rows(parsed), "messages").withColumn("bucket", self._bucket(message_thread()))
         fresh = absent(messages, known.select(F.col("id").alias("message_id")), "message_id")
-        attachments_from(fresh).write.mode("overwrite").parquet(f"{self.root}/attachments/batch={batch}")
-        emails_from(fresh, ingest_time).write.mode("overwrite").parquet(f"{self.root}/emails/batch={batch}")
+        self._write(attachments_from(fresh, keep=("bucket",)), "attachments", batch)
+        emails = emails_from(fresh, ingest_time)
+        self._write(emails.withColumn("bucket", self._bucket(F.col("thread_id"))), "emails", batch)

@@ -53,13 +53,14 @@ def embed_pending(
 
     Which threads are pending is found on ids alone; texts are read only for them.
     """
-    emails = store.emails()
     if touched is None:
-        waiting = emails.where(~F.col("is_embedded")).select("id", "thread_id")
+        waiting = store.emails().where(~F.col("is_embedded")).select("id", "thread_id")
         pending = waiting.join(collection.embedded().select("id"), "id", "left_anti").select("thread_id")
     else:
         pending = touched.select("thread_id").unionByName(collection.failed_threads())
-    run = build_threads(emails, store.attachments(), cfg, embedder, summarizer, pending.distinct())
+    pending = pending.distinct()
+    emails, attachments = store.near_threads(pending, cfg.small_keys)
+    run = build_threads(emails, attachments, cfg, embedder, summarizer, pending)
     collection.write_batch(batch, run.chunks, run.changed, run.embedded)
     if dump:
         write_dump(run.threads, f"{dump}/batch={batch}")

@@ -72,6 +72,10 @@ def test_streams_equal_batch(spark, tmp_path):
     run = build_threads(batch.emails(), batch.attachments(), CFG)
     assert by_thread(run.chunks) == after
     assert build_threads(mark_embedded(store.emails(), collection.embedded()), store.attachments(), CFG).changed.count() == 0
+    few = spark.createDataFrame([("<r3@x>",)], "thread_id string")
+    emails, _ = store.near_threads(few)
+    assert "<r3@x>" in {r.thread_id for r in emails.collect()} and emails.count() < store.emails().count()
+    assert store.near_threads(few, 0)[0].count() == store.emails().count()
     assert read_dump_lengths(spark, str(tmp_path / "dump" / "batch=*")).count() == 5
 
 
@@ -85,8 +89,8 @@ class Mails:
     def emails(self):
         return self.frame
 
-    def attachments(self):
-        return None
+    def near_threads(self, threads, small):
+        return self.frame, None
 
 
 def test_failed_batch_leaves_no_trace(spark, tmp_path):
