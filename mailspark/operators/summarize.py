@@ -79,21 +79,20 @@ def extractive(top: int) -> Summarizer:
     group = ["thread_id", "segment", "group_no"]
 
     def run(groups: DataFrame, prompt: str) -> DataFrame:
-        parts = groups.repartition(*group).select(*group, F.posexplode(sentences(F.col("text"))).alias("at", "sentence"))
-        tokens = parts.select(*group, "at", "sentence", F.explode_outer(words(F.col("sentence"))).alias("word"))
+        rows = groups.repartition(*group).select(*group, sentences(F.col("text")).alias("lines"))
+        parts = rows.select(*group, F.posexplode("lines").alias("at", "line"))
+        tokens = parts.select(*group, "at", F.explode_outer(words(F.col("line"))).alias("word"))
         per_word = Window.partitionBy(*group, "word")
         counted = tokens.withColumn("n", F.when(F.col("word").isNotNull(), F.count("*").over(per_word)).otherwise(0))
-        scored = counted.groupBy(*group, "at").agg(
-            F.first("sentence").alias("sentence"), F.sum("n").alias("total"), F.count("*").alias("length"),
-        )
+        scored = counted.groupBy(*group, "at").agg(F.sum("n").alias("total"), F.count("*").alias("length"))
         # Sentences of a few words do not win by being short.
         score = F.col("total") / F.greatest("length", F.lit(_FULL_SENTENCE))
         best = Window.partitionBy(*group).orderBy(F.desc(score), "at")
         chosen = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-        return chosen.groupBy(*group).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sentence"))), lambda s: s["sentence"]), "\n")
-            .alias("summary")
-        )
+        places = chosen.groupBy(*group).agg(F.array_sort(F.collect_list("at")).alias("places"))
+        # Both sides are partitioned by group already; only places were sorted.
+        picked = F.transform("places", lambda at: F.get(F.col("lines"), at))
+        return rows.join(places, group).select(*group, F.array_join(picked, "\n").alias("summary"))
 
     return run
 
