@@ -5,13 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mailspark.llm.common import table
+from mailspark.llm.decontamination import contaminated
+from mailspark.llm.embeddings import embedding_duplicates
+from mailspark.llm.html_text import main_text
 from mailspark.llm.minhash import near_duplicates
+from mailspark.llm.mixing import mixed_sizes
+from mailspark.llm.sharding import shard_documents
+from mailspark.llm.substrings import documents_with_repeats
+
+
+def long_texts(spark: SparkSession) -> None:
+    """Arrow batches of a thousand rows: a batch of whole documents is large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_texts(spark)
+    return documents_with_repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_texts(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_texts(spark)
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_sharding": op3_sharding,
+    "op4_mixing": op4_mixing,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_decontamination": op7_decontamination,
 }
