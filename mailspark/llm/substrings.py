@@ -14,7 +14,8 @@ The first document, by doc_id, keeps a passage; the others can drop it.
 
 Cases: null and empty texts have no chunks. Rows that share a doc_id are one
 document, so they repeat nothing of each other; a row without doc_id is known by
-its text. A text without any border is one chunk.
+its text. A text without any border is one chunk; in a stretch that repeats itself at
+short intervals every interval has a border.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from mailspark.llm.textbytes import mix, word_bounds
 from mailspark.session import stored
 
 REACH = 24
+_LONG = 8 * REACH
 MIN_WORDS = 24
 
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
@@ -62,13 +64,31 @@ def borders(data: np.ndarray, reach: int = REACH) -> np.ndarray:
     if n > 2 * reach:
         hashes = gear_hashes(data)
         highest = _window_max(hashes, reach)
-        here = hashes[reach:n - reach]
+        before, here, after = highest[:n - 2 * reach], hashes[reach:n - reach], highest[reach + 1:]
         # Above all before and not below any after: in a run of equal bytes no place is.
-        peak = (here > highest[:n - 2 * reach]) & (here >= highest[reach + 1:])
-        inner = np.flatnonzero(peak) + reach + 1
+        inner = np.flatnonzero((here > before) & (here >= after)) + reach + 1
+        long_ = np.flatnonzero(np.diff(np.concatenate([[0], inner, [n]])) > _LONG)
+        if len(long_):
+            inner = _in_periods(inner, long_, np.flatnonzero((here >= before) & (here >= after)) + reach + 1, n, reach)
         for _ in range(3):  # not inside a character
-            inner = inner + ((data[inner] & 0xC0) == 0x80)
-    return np.concatenate([[0], np.unique(inner), [n]]).astype(np.int64)
+            inner = inner + ((data[np.minimum(inner, n - 1)] & 0xC0) == 0x80)
+        inner = np.unique(inner[inner < n])
+    return np.concatenate([[0], inner, [n]]).astype(np.int64)
+
+
+def _in_periods(inner: np.ndarray, long_: np.ndarray, level: np.ndarray, n: int, reach: int) -> np.ndarray:
+    """Adds borders to stretches without a peak. They are periodic, with a highest
+    place in every period; every one that is ``reach`` after the last becomes a
+    border, so that equal periods give equal chunks."""
+    ends = np.concatenate([[0], inner, [n]])
+    more = []
+    for k in long_:
+        at, stop = ends[k], ends[k + 1]
+        places = level[np.searchsorted(level, at + reach):np.searchsorted(level, stop)]
+        while len(places):
+            more.append(places[0])
+            places = places[np.searchsorted(places, places[0] + reach):]
+    return np.unique(np.concatenate([inner, np.array(more, dtype=np.int64)]))
 
 
 def _digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
