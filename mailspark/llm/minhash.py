@@ -60,25 +60,27 @@ def _digest(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, set size ``n``, digest ``d0 d1`` and packed signature per row."""
-    names = ["doc_id", "n", "d0", "d1", *_PACKED]
+    """``doc_id``, a hash of the text as ``mark``, set size ``n``, digest ``d0 d1`` and
+    packed signature per row."""
+    names = ["doc_id", "mark", "n", "d0", "d1", *_PACKED]
 
     def run(batches):
         for batch in batches:
             rows = batch.num_rows
             numbers = np.zeros((rows, 3 + len(_PACKED)), dtype=np.uint64)
-            for r, text in enumerate(batch.column(1)):
+            for r, text in enumerate(batch.column(2)):
                 shingles = shingle_set(text.as_py(), width)
                 if len(shingles):
                     minima = _signature(shingles)
                     numbers[r, 0] = len(shingles)
                     numbers[r, 1:3] = _digest(shingles)
                     numbers[r, 3:] = (minima[0::2] << np.uint64(32)) | minima[1::2]
-            columns = [batch.column(0), *[pa.array(c.view(np.int64)) for c in numbers.T.copy()]]
+            columns = [batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in numbers.T.copy()]]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ", ".join(f"{name} bigint" for name in names)
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, schema)
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary"))
+    return texts.mapInArrow(run, schema)
 
 
 def _minima(columns: list[np.ndarray]) -> np.ndarray:
@@ -311,7 +313,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, strip:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, mark`` for every row of ``docs``.
 
     Documents link if their sets of ``width``-word shingles have a Jaccard
     similarity of at least ``percent`` in a hundred; ``component_id`` is the
@@ -339,9 +341,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, matches:
 
     of_class = classes.select(*digests, "node").join(found, F.col("node") == F.col("of"), "left")
     of_class = of_class.select(*digests, F.coalesce("component", "node").alias("component"))
-    joined = prints.select("doc_id", "n", *digests).join(of_class, digests, "left")
+    joined = prints.select("doc_id", "mark", "n", *digests).join(of_class, digests, "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "mark",
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates; rows that repeat both
+    doc_id and text are one."""
+    found = stored(near_duplicates(docs, width, percent), "groups")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_text")).distinct()
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_text"))
+    left = marked.join(sized(dropped), same, "left_anti")
+    if not found.where("kept").groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "_mark"])
+    return left.drop("_mark")

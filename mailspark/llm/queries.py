@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailspark.llm import language, toxicity
+from mailspark.llm.chat import TOOLS, format_chat, tool_exchanges
 from mailspark.llm.common import table
 from mailspark.llm.decontamination import contaminated
 from mailspark.llm.embeddings import embedding_duplicates
@@ -38,7 +40,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_texts(spark)
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("mark")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +52,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(tool_exchanges(table(spark, sf_dir, "conversations")), TOOLS)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_texts(spark)
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_texts(spark)
+    documents = table(spark, sf_dir, "documents")
+    return language.identify(documents, language.fit(documents))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -58,4 +76,7 @@ QUERIES = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_decontamination": op7_decontamination,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
 }

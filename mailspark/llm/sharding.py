@@ -158,34 +158,58 @@ def _split(points: DataFrame, nodes: dict[int, _Node], names: list[str]) -> list
     return cuts
 
 
-def shard_points(points: DataFrame, names: list[str], shards: int) -> DataFrame:
-    """Adds ``shard`` to narrow points with ``size`` and the dimensions ``names``."""
-    nodes = {0: _Node(0, shards)}
+def _advance(node: Column, cuts: list[tuple], at: dict[str, Column], names: list[str]) -> Column:
+    """The node a row is in after ``cuts``, which are literals of the expression."""
+    moved = node
+    for number, dim, value, place, length, right in cuts:
+        key = F.struct(at[names[dim]].alias("v"), at["place"].alias("p"), at["length"].alias("l"))
+        cut = F.struct(F.lit(value).cast("bigint").alias("v"), F.lit(place).cast("bigint").alias("p"), F.lit(length).cast("bigint").alias("l"))
+        moved = F.when((node == number) & (key > cut), F.lit(right)).otherwise(moved)
+    return moved
+
+
+def k_d_tree(points: DataFrame, names: list[str], shards: int) -> list[list[tuple]]:
+    """The cuts of every level, ``(node, dim, value, place, length, right)`` each:
+    rows of ``node`` above the key (value, place, length) go to node ``right``."""
+    nodes, levels = {0: _Node(0, shards)}, []
     points = points.withColumn("node", F.lit(0))
+    at = {n: F.col(n) for n in points.columns}
     while any(n.shards > 1 for n in nodes.values()):
-        open_ = {k: n for k, n in nodes.items() if n.shards > 1}
         # Nodes are named after their first shard, so closed ones keep their name.
-        active = points.where(F.col("node").isin(list(open_))) if len(open_) < len(nodes) else points
-        cuts = _split(active, nodes, names)
+        open_ = [k for k, n in nodes.items() if n.shards > 1]
+        active = points.where(F.col("node").isin(open_)) if len(open_) < len(nodes) else points
+        cuts = [(*c, nodes[c[0]].first + nodes[c[0]].shards // 2) for c in _split(active, nodes, names)]
         if not cuts:
             break
-        table = small_table(
-            points.sparkSession, [(*c, nodes[c[0]].first + nodes[c[0]].shards // 2) for c in cuts],
-            {"node": "int", "cut_dim": "int", "cut_value": "bigint", "cut_place": "bigint", "cut_length": "bigint", "right": "int"})
-        joined = points.join(F.broadcast(table), "node", "left")
-        value = F.get(F.array(*[F.col(n) for n in names]), F.col("cut_dim"))
-        key, cut = F.struct(value, "place", "length"), F.struct("cut_value", "cut_place", "cut_length")
-        node = F.when(F.col("right").isNull() | (key <= cut), F.col("node")).otherwise(F.col("right"))
-        points = checkpointed(joined.withColumn("node", node).select(*points.columns))
+        levels.append(cuts)
+        points = checkpointed(points.withColumn("node", _advance(F.col("node"), cuts, at, names)))
         after = {}
         for k, n in nodes.items():
-            if n.shards > 1:
-                half = n.shards // 2
-                after[n.first], after[n.first + half] = _Node(n.first, half), _Node(n.first + half, n.shards - half)
-            else:
-                after[k] = n
+            half = n.shards // 2
+            if half:
+                after[n.first + half] = _Node(n.first + half, n.shards - half)
+            after[k] = _Node(n.first, half or n.shards)
         nodes = after
-    return points.withColumnRenamed("node", "shard")
+    return levels
+
+
+def _shard(at: dict[str, Column], levels: list[list[tuple]], names: list[str]) -> Column:
+    node = F.lit(0)
+    for cuts in levels:
+        node = _advance(node, cuts, at, names)
+    return node.cast("int")
+
+
+# Dimensions in the order in which equal widths are resolved.
+DIMENSIONS = ["source", "lang", "length", "place"]
+
+
+def _points(docs: DataFrame) -> DataFrame:
+    """Narrow rows: id, checksum, dimensions and size."""
+    at = metadata(docs)
+    return stored(docs.select(
+        F.col("doc_id").cast("bigint"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"),
+        *[c.alias(n) for n, c in at.items()]).withColumn("size", F.col("length")), "points")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -193,16 +217,21 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     ``slot`` counts the rows of a shard from 0, in order of doc_id.
     """
-    at = metadata(docs)
-    points = stored(docs.select(
-        F.col("doc_id").cast("bigint"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"),
-        *[c.alias(n) for n, c in at.items()]).withColumn("size", F.col("length")), "points")
-    # Dimensions that vary most by themselves come last; the place breaks all ties.
-    placed = shard_points(points, ["source", "lang", "length", "place"], shards)
+    points = _points(docs)
+    levels = k_d_tree(points, DIMENSIONS, shards)
+    placed = points.withColumn("shard", _shard({n: F.col(n) for n in DIMENSIONS}, levels, DIMENSIONS))
     counted = sums_by_range(placed, "shard", ["place", "size", "text_crc32"], {"slot": F.lit(1).cast("bigint")})
     return counted.select(
-        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int"),
-        (F.col("slot") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("slot") - 1).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def with_shard(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """``docs`` with ``size`` and ``shard``. The tree is found on narrow rows and
+    then an expression, so texts are not moved."""
+    levels = k_d_tree(_points(docs), DIMENSIONS, shards)
+    shard = _shard(metadata(docs), levels, DIMENSIONS)
+    return docs.withColumns({"size": text_size(F.col("text")), "shard": shard})
 
 
 def shards_for(docs: DataFrame, target_bytes: int) -> int:
