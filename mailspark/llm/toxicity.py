@@ -9,10 +9,9 @@ it matches, with the weight of the insults in it. A document's score is a logist
 function of its matched clauses; words outside of a match count nothing.
 
 Lexicon and weights are learned from labelled documents: a word, or a stem that
-several words share, is an insult if it occurs in toxic documents in so many different
-contexts, and in so few clean ones, that chance would not do it. Contexts are
-counted instead of documents, because all words of a copied toxic document would
-pass otherwise. A short list of insults and threats is there from the start, and how
+several words share, is an insult if it occurs in so many different toxic documents,
+and in so few clean ones, that chance would not do it. Near copies count once, since
+all words of a copied toxic document would pass otherwise. A short list of insults and threats is there from the start, and how
 much negated, reported or undirected matches count is up to the fitted weights.
 
 The model is fitted on about ``SAMPLE`` labelled documents (at most twice that).
@@ -25,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailspark.llm.language import bounded_sample, held_out
+from mailspark.llm.textbytes import mix, shingle_set
 
 SAMPLE = 4000
 # How unlikely chance must be for a word to become an insult.
@@ -112,6 +113,7 @@ def _negated(state: int, symbol: int) -> tuple[int, int]:
 # What a clause can match.
 PATTERNS = ("insult", "directed", "negated", "reported", "threat", "mock threat")
 _NONE = len(PATTERNS)
+_FEATURES = len(PATTERNS) + 3
 
 
 def _matched(state: int, symbol: int) -> tuple[int, int]:
@@ -200,10 +202,12 @@ class ToxicityModel:
         return found
 
     def features(self, text: str | None) -> np.ndarray:
-        """Sums of weights per pattern (each damped), and matched clauses."""
-        out = np.zeros(len(PATTERNS) + 2)
+        """Sums of weights per pattern (each damped), whether there are two matches
+        or more, matched clauses, and 1."""
+        out = np.zeros(_FEATURES)
         out[-1] = 1.0
         found = self.matches(text) if text else []
+        out[-3] = float(sum(len(patterns) for _, _, patterns in found) > 1)
         for _, _, patterns in found:
             for pattern, weight in patterns:
                 out[pattern] += weight
@@ -217,7 +221,7 @@ class ToxicityModel:
 
 def _prior() -> ToxicityModel:
     words = {w: (c, 1.0) for c, listed in _SEED.items() for w in listed.split()}
-    return ToxicityModel(words, {}, np.array([3.0, 4.0, 0.5, 0.5, 3.0, 0.5, 1.0, -3.0]))
+    return ToxicityModel(words, {}, np.array([3.0, 4.0, 0.5, 0.5, 3.0, 0.5, 0.5, 1.0, -3.0]))
 
 
 def _tail(toxic: int, total: int, share: float) -> float:
@@ -231,6 +235,27 @@ def _tail(toxic: int, total: int, share: float) -> float:
     return math.exp(-total * divergence)
 
 
+def _families(texts: list[str]) -> list[int]:
+    """A number for each text, the same for near copies: texts that share one of
+    eight MinHash values of their three-word shingles."""
+    parent = list(range(len(texts)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    first: dict[tuple[int, int], int] = {}
+    for number, text in enumerate(texts):
+        shingles = shingle_set(text.encode("utf-8", "surrogatepass"), 3)
+        for coordinate in range(8 if len(shingles) else 0):
+            least = int(mix(shingles ^ np.uint64(coordinate * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min())
+            other = first.setdefault((coordinate, least), number)
+            parent[root(number)] = root(other)
+    return [root(k) for k in range(len(texts))]
+
+
 def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict, dict]:
     """Words and stems that mark toxic texts, with weights."""
     toxic = [t for t, y in zip(texts, labels) if y == 1]
@@ -238,22 +263,21 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict, dict]:
     if not toxic or not clean:
         return {}, {}
     share = len(toxic) / (len(toxic) + len(clean))
-    contexts: dict[str, set] = defaultdict(set)
     forms: dict[str, set] = defaultdict(set)
-    for text in dict.fromkeys(toxic):
-        tokens = [t for t in _TOKEN.findall(text.lower()) if t not in _QUOTES]
-        for before, word, after in zip(["", *tokens], tokens, [*tokens[1:], ""]):
+    holders: dict[str, set] = defaultdict(set)
+    for text, family in zip(toxic, _families(toxic)):
+        for word in set(_TOKEN.findall(text.lower())) - _QUOTES:
             if len(word) < 3:
                 continue
-            around = hash((before, after))
-            contexts[word].add(around)
+            holders[word].add(family)
             for n in STEMS:
                 if n < len(word):
-                    contexts[word[:n] + "*"].add(around)
+                    holders[word[:n] + "*"].add(family)
                     forms[word[:n] + "*"].add(word)
-    # As often as they would be expected if chance dealt them.
-    able = {w for w, c in contexts.items() if share ** len(c) < CHANCE and (not w.endswith("*") or len(forms[w]) >= 3)}
-    del forms
+    able = {
+        w: len(f) for w, f in holders.items()
+        if share ** len(f) < CHANCE and (not w.endswith("*") or len(forms[w]) >= 3)}
+    del forms, holders
     in_clean: Counter = Counter()
     for text in dict.fromkeys(clean):
         seen = set()
@@ -266,7 +290,7 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict, dict]:
         in_clean.update(seen)
     ranked = []
     for entry in able:
-        a, b = len(contexts[entry]), in_clean[entry]
+        a, b = able[entry], in_clean[entry]
         odds = math.log((a + 0.5) / len(toxic)) - math.log((b + 0.5) / len(clean))
         if _tail(a, a + b, share) < CHANCE and odds > 2.5 and b <= 0.05 * a:
             ranked.append((odds, entry))
@@ -281,38 +305,52 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict, dict]:
     return words, stems
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, steps: int = 3000) -> np.ndarray:
-    """Weights by gradient descent, held near ``start`` where data say nothing; both
-    labels weigh the same."""
+def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, share: float, steps: int = 3000) -> np.ndarray:
+    """Weights by gradient descent, held near ``start`` where data say nothing. Toxic
+    rows weigh ``share`` together."""
     weights = start.copy()
-    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    balance = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         weights -= 0.5 * (x.T @ (balance * (p - y)) + 2e-4 * (weights - start))
     return weights
 
 
-def train(texts: list[str], labels: list[int]) -> ToxicityModel:
-    """A model from labelled texts."""
+def train(texts: list[str], labels: list[int], share: float | None = None) -> ToxicityModel:
+    """A model from labelled texts; ``share`` of all documents are toxic.
+
+    The weights are fitted on matches with a lexicon that other texts gave: what a
+    word is worth on the texts it was chosen by would be too much.
+    """
     prior = _prior()
     if len(set(labels)) < 2:
         return prior
+    y = np.array(labels, dtype=float)
+    # Near copies are in one part.
+    part = np.array([zlib.crc32(str(f).encode()) % 3 for f in _families(texts)])
+    x = np.zeros((len(texts), _FEATURES))
+    for k in range(3):
+        others = [i for i in range(len(texts)) if part[i] != k]
+        words, stems = learn_lexicon([texts[i] for i in others], [labels[i] for i in others])
+        model = ToxicityModel({**prior.words, **words}, stems, prior.weights)
+        for i in np.flatnonzero(part == k):
+            x[i] = model.features(texts[i])
+    weights = _logistic(x, y, prior.weights, float(y.mean()) if share is None else share)
     words, stems = learn_lexicon(texts, labels)
-    model = ToxicityModel({**prior.words, **words}, stems, prior.weights)
-    x = np.stack([model.features(t) for t in texts])
-    weights = _logistic(x, np.array(labels, dtype=float), prior.weights)
-    return ToxicityModel(model.words, model.stems, weights)
+    return ToxicityModel({**prior.words, **words}, stems, weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """A model from the labelled documents that are not held out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("_id"))).withColumn("mark", F.xxhash64(F.col("_id").cast("string")))
+    counts = dict(known.groupBy("toxic").count().collect())
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     chosen = bounded_sample(known, "toxic", sample)
     texts = docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("mark", "text", "toxic")
     rows = rows.limit(2 * sample).orderBy("mark").collect()
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    return train([r["text"] for r in rows], [r["toxic"] for r in rows], share)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
@@ -323,7 +361,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFr
         model_ = shared.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            features = np.stack([model_.features(t) for t in texts]) if texts else np.zeros((0, len(PATTERNS) + 2))
+            features = np.stack([model_.features(t) for t in texts]) if texts else np.zeros((0, _FEATURES))
             scores = 1 / (1 + np.exp(-np.clip(features @ model_.weights, -30, 30)))
             clauses = np.rint(np.expm1(features[:, -2])).astype(np.int64)
             yield pa.RecordBatch.from_arrays(

@@ -59,13 +59,14 @@ def test_composition_is_running_in_turn():
             c = both.next[c][s]
 
 
-def test_lexicon_is_learned_from_contexts():
-    """A new word in many toxic contexts is learned, and a stem of several; words of
-    a copied toxic text are not."""
+def test_lexicon_is_learned():
+    """A new word of many toxic texts is learned, and a stem of several; words of a
+    copied toxic text are not."""
     rng = np.random.default_rng(1)
     fill = lambda: " ".join(f"v{n}" for n in rng.integers(0, 3000, 30))
     toxic = [f"{fill()} zork {fill()} grumbel{'abcdefgh'[i % 8]} {fill()}" for i in range(150)]
-    copied = [f"{fill()} copied words of one text {fill()}"] * 100
+    one = f"{fill()} copied words of one text {fill()}"
+    copied = [one.replace(" copied", f" copied c{i}") for i in range(100)]
     clean = [f"{fill()} {fill()}" for _ in range(600)]
     words, stems = toxicity.learn_lexicon(toxic + copied + clean, [1] * 250 + [0] * 600)
     assert "zork" in words and any("grumbela".startswith(s) for s in stems) and "copied" not in words
