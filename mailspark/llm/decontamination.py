@@ -7,7 +7,7 @@ the hashes of all their windows, so a hit survives substitutions at ignored plac
 Around every hit, the item is laid along the document at the hit's distance and
 compared word by word: equal words count 1, others -1, and the best-scoring stretch is
 the overlap. An item is found in a document if the overlap reaches ``MIN_SCORE``, or
-``MIN_PART`` of the item if that is less.
+``MIN_PART`` of the item if that is less, but never with less than a seed's window.
 
 Items with fewer words than the seeds' window are searched as a whole, by a mask of
 their own length, from ``MIN_WORDS`` words on; an item below that is no passage and is
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from mailspark.llm.common import fits_broadcast
 from mailspark.session import stored
 
-# Ones are looked at. Two masks of weight 6 over 9 words, of which no two ones repeat
-# the same pair distances throughout, so a substitution that hides one may spare the other.
-SEEDS = ("110110101", "101011011")
+# Ones are looked at. Two masks of weight 5 over 7 words that ignore different places,
+# so a substitution that hides one window may spare another.
+SEEDS = ("1101011", "1011101")
 MIN_WORDS = 5
 MIN_SCORE = 10
 MIN_PART = 0.6
@@ -120,7 +120,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     laid = laid.join(F.broadcast(items) if small else items, "item_id")
     best = laid.withColumn("best", _best_stretch(F.col("doc_words"), F.col("hashes"), F.col("shift")))
     score, words = F.col("best.score"), F.size("hashes")
-    enough = best.where(score >= F.least(F.lit(MIN_SCORE), F.ceil(words * MIN_PART).cast("int")))
+    part = F.greatest(F.ceil(words * MIN_PART).cast("int"), F.least(words, F.lit(len(SEEDS[0]))))
+    enough = best.where(score >= F.least(F.lit(MIN_SCORE), part))
     shown = enough.select(
         "doc_id", "mark", "item_id", score.alias("score"), words.alias("item_words"),
         (F.col("shift") + F.col("best.first")).alias("doc_start"), (F.col("shift") + F.col("best.last") + 1).alias("doc_end"))

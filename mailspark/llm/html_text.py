@@ -100,7 +100,9 @@ def _label(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
                     noise = noise or any(w in _NOT_MAIN for w in words)
                 elif tag not in ("body", "html"):
                     noise = noise or any(w in _NOISE_WORDS and not (inside and w == "header") for w in words)
-                name += "." + "-".join(words) if key == "class" else "#" + "-".join(words)
+                # Long numbers are of one page, not of a style.
+                style = "-".join(re.sub(r"\d{3,}", "", value).split())
+                name += f".{style}" if key == "class" else f"#{style}"
             elif key == "role":
                 noise = noise or value in _NOISE_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):

@@ -147,7 +147,7 @@ best AS (
 ),
 found AS (
   SELECT doc_id, item_id, score, item_words, shift + first_ AS doc_start, shift + last_ + 1 AS doc_end FROM best
-  WHERE score >= least({MIN_SCORE}, ceil(item_words * {MIN_PART}::DOUBLE))
+  WHERE score >= least({MIN_SCORE}, greatest(ceil(item_words * {MIN_PART}::DOUBLE), least(item_words, {_width})))
 )
 SELECT DISTINCT doc_id, item_id, score::INT AS score, item_words::INT AS item_words, doc_start::INT AS doc_start, doc_end::INT AS doc_end FROM found
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, doc_start) = 1

@@ -64,7 +64,13 @@ class _Node:
         self.first, self.shards = first, shards
 
 
-def _widest(points: DataFrame, names: list[str]) -> DataFrame:
+def _widths(points: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """How wide the whole table is in each dimension."""
+    spans = [F.expr(f"cast(max({n}) as double) - cast(min({n}) as double)").alias(n) for n in names]
+    return points.agg(*spans).first().asDict()
+
+
+def _widest(points: DataFrame, names: list[str], whole: dict[str, float | None]) -> DataFrame:
     """Per node its bytes, its widest dimension and the bounds in it.
 
     Widths are compared as fractions of the whole table's; equal ones go by order.
@@ -72,7 +78,6 @@ def _widest(points: DataFrame, names: list[str]) -> DataFrame:
     bounds = points.groupBy("node").agg(
         F.sum("size").alias("bytes"),
         *[f(n).alias(f"{p}_{n}") for n in names for f, p in ((F.min, "lo"), (F.max, "hi"))])
-    whole = points.agg(*[F.expr(f"cast(max({n}) as double) - cast(min({n}) as double)").alias(n) for n in names]).first()
     fraction = {
         n: (F.col(f"hi_{n}").cast("double") - F.col(f"lo_{n}").cast("double")) / F.lit(float(whole[n])) if whole[n] else F.lit(0.0)
         for n in names}
@@ -119,10 +124,10 @@ def _search(points: DataFrame, search: DataFrame, key: Column) -> DataFrame:
     raise RuntimeError("the median search did not settle")
 
 
-def _split(points: DataFrame, nodes: dict[int, _Node], names: list[str]) -> list[tuple]:
+def _split(points: DataFrame, nodes: dict[int, _Node], names: list[str], whole: dict[str, float | None]) -> list[tuple]:
     """``node, dim, value, place, length``: the last key of the left part of each node."""
     spark = points.sparkSession
-    stats = _widest(points, names).collect()
+    stats = _widest(points, names, whole).collect()
     start, dims = [], {}
     for r in stats:
         shards = nodes[r["node"]].shards
@@ -173,12 +178,12 @@ def k_d_tree(points: DataFrame, names: list[str], shards: int) -> list[list[tupl
     rows of ``node`` above the key (value, place, length) go to node ``right``."""
     nodes, levels = {0: _Node(0, shards)}, []
     points = points.withColumn("node", F.lit(0))
-    at = {n: F.col(n) for n in points.columns}
+    at, whole = {n: F.col(n) for n in points.columns}, _widths(points, names)
     while any(n.shards > 1 for n in nodes.values()):
         # Nodes are named after their first shard, so closed ones keep their name.
         open_ = [k for k, n in nodes.items() if n.shards > 1]
         active = points.where(F.col("node").isin(open_)) if len(open_) < len(nodes) else points
-        cuts = [(*c, nodes[c[0]].first + nodes[c[0]].shards // 2) for c in _split(active, nodes, names)]
+        cuts = [(*c, nodes[c[0]].first + nodes[c[0]].shards // 2) for c in _split(active, nodes, names, whole)]
         if not cuts:
             break
         levels.append(cuts)

@@ -45,7 +45,7 @@ def brute_force(docs, items):
                 for k, x in enumerate(b):
                     run = max(run, 0) + (1 if 0 <= shift + k < len(w) and w[shift + k] == x else -1)
                     best = max(best, run)
-                if len(b) >= 5 and best >= min(10, -(-len(b) * 6 // 10)):
+                if len(b) >= 5 and best >= min(10, max(-(-len(b) * 6 // 10), min(len(b), 7))):
                     out.add((d, i))
     return sorted(out)
 
