@@ -192,6 +192,7 @@ def _oracles() -> dict[str, str]:
     sql["quote_split"] = with_mail(QUOTES) + "SELECT id, q[1] AS head, q[2] AS tail FROM quotes"
     sql["quote_strip"] = with_mail(OWN_TEXT) + "SELECT id, text FROM own"
     sql["thread_document"] = docs + "SELECT thread_id, CAST(0 AS BIGINT) AS segment, text FROM docs"
+    sql["thread_document_segmented"] = docs + "SELECT thread_id, text FROM docs"
     metadata = """
 meta AS (
   SELECT e.thread_id, arg_min(e.subject, (e.date, e.id)) AS subject, arg_min(e.sender, (e.date, e.id)) AS sender,
@@ -229,15 +230,17 @@ meta AS (
           WHEN {csv} THEN 'text/csv' ELSE 'text/plain' END END AS mime FROM d
       UNION ALL SELECT -1 - page_id, 'text/html' FROM pages"""
     sql["b64url_decode"] = "SELECT doc_id, text FROM documents"
-    sql["decode_header"] = "SELECT conv_id, turn, text AS subject FROM conversations"
+    shown = r"regexp_replace(regexp_replace(regexp_replace(html, '<head>.*?</head>|<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'gs'), '<[^>]*>', '', 'g'), '&#?[a-zA-Z0-9]+;', '', 'g')"
+    sql["html_pages"] = f"SELECT page_id, regexp_replace({shown}, '[^\\p{{L}}]', '', 'g') AS letters FROM pages"
     sql["parse_date"] = "SELECT event_id, CASE WHEN event_id % 8 <> 7 THEN date_trunc('second', ts) END AS date FROM events"
     sql["html_to_text"] = f"""SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) || {NL} || {NL} || '# Title' || {NL} || {NL} || '* one <' || {NL} || '* two & more' AS text FROM conversations"""
     sql["attachment_text"] = f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN '{{' || {NL} || '  "k": ' || doc_id || ',' || {NL} || '  "l": [' || {NL} || '    1' || {NL} || '  ]' || {NL} || '}}'
       WHEN 2 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) WHEN 3 THEN 'From: a@x' || {NL} || 'To: b@x' || {NL} || 'Subject: s ' || doc_id || {NL} || {NL} || {strip('text')} ELSE '' END AS text FROM documents"""
     sql["parse_mbox"] = mail + f"""SELECT id, thread_id, ltrim(subject) AS subject, in_reply_to, CAST(len(refs) AS INT) AS n_references, date, sender,
       {strip("regexp_replace(body, '(?m)^From ', '>From ', 'g')")} AS body FROM emails"""
+    sql["store_insert"] = sql["parse_mbox"].replace("CAST(len(refs) AS INT) AS n_references, ", "")
     sql["mbox_scan"] = mail + "SELECT id AS message_id, COUNT(*) AS n FROM emails GROUP BY id"
-    sql["parse_gmail"] = mail + f"SELECT id, thread_id, subject, in_reply_to, date, sender, 'list@example.com' AS recipients, {strip('body')} AS body FROM emails"
+    sql["parse_gmail"] = mail + f"SELECT id, thread_id, subject, in_reply_to, date, sender, 'second@example.com' AS recipients, {strip('body')} AS body FROM emails"
     sql["header_map"] = mail + "SELECT id, subject, 'second@example.com' AS last_to, CAST(6 AS INT) AS n FROM emails"
     sql["gmail_scan"] = mail + "SELECT id AS resource_id, thread_id, CAST(epoch_ms(date) AS BIGINT) AS internal_date FROM emails WHERE is_embedded AND date > (SELECT MIN(date) + INTERVAL '5' DAY FROM emails)"
     sql["incremental_since"] = "SELECT event_id, ts FROM events WHERE ts > (SELECT MAX(ts) FROM events WHERE event_type = 'signup')"
@@ -271,7 +274,12 @@ meta AS (
       FROM ({chunk_rows("thread_id")}) r JOIN final f USING (thread_id) JOIN meta m USING (thread_id)"""
     sql["vector_topk"] = """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1)
       SELECT vec_id, label, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) DESC, vec_id LIMIT 10"""
-    sql["metadata_filter"] = "SELECT vec_id, label FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 100"
+    sql["embed_threads_segmented"] = sql["embed_threads"]
+    sql["collection_state"] = mail + f"""SELECT thread_id, CAST(regexp_extract(id, '-([0-9]+)$', 1) AS BIGINT) AS chunk_no,
+      CASE WHEN thread_id IN {pending} AND kind <> 2 THEN 'new ' || body ELSE body END AS text
+      FROM (SELECT *, CAST(regexp_extract(thread_id, '^m([0-9]+)-', 1) AS BIGINT) % 7 AS kind FROM emails)
+      WHERE NOT (thread_id IN {pending} AND kind = 1)"""
+    sql["metadata_filter"] = "SELECT vec_id, label FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 20"
     sql["collection_upsert"] = mail + f"""SELECT id, thread_id, CASE WHEN thread_id IN {pending} THEN 'new ' || body ELSE body END AS text FROM emails"""
 
     # statistics and dumps

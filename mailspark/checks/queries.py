@@ -15,11 +15,12 @@ from mailspark.config import MailConfig
 from mailspark.functions import dates, files, html, mime, text
 from mailspark.operators import chunking, collection, dump, embedding, ingest, quotes, search, stats, summarize, threads
 from mailspark.operators.collection import mark_embedded
+from mailspark.plans.ingest import MailStore
 from mailspark.plans.threads import build_threads, chunked_documents
+from mailspark.schemas import COLLECTION
 from mailspark.session import scratch_path
 from mailspark.sources import fixtures, mailapi, mbox, models
 from mailspark.sources.fixtures import table
-from mailspark.sources.messages import decode_headers
 
 CFG = MailConfig()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,17 @@ def thread_document(spark, sf):
     return documents(spark, sf)
 
 
+SEGMENTED = MailConfig(heavy_chars=2000)
+
+
+@query
+def thread_document_segmented(spark, sf):
+    rows = threads.thread_documents(fixtures.emails(spark, sf), fixtures.attachments(spark, sf), SEGMENTED)
+    parts = F.array_sort(F.collect_list(F.struct("segment", "text")))
+    joined = F.array_join(F.transform(parts, lambda p: p["text"]), "")
+    return rows.groupBy("thread_id").agg(joined.alias("text"))
+
+
 @query
 def thread_metadata(spark, sf):
     return threads.thread_metadata(fixtures.emails(spark, sf), fixtures.attachments(spark, sf))
@@ -232,12 +244,6 @@ def _base64url(plain):
     return F.rtrim(F.translate(F.base64(plain.cast("binary")), "+/\r\n", "-_"), F.lit("="))
 
 
-@query
-def decode_header(spark, sf):
-    coded = F.concat(F.lit("=?utf-8?B?"), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", ""), F.lit("?="))
-    return table(spark, sf, "conversations").select("conv_id", "turn", decode_headers(coded).alias("subject"))
-
-
 @query
 def parse_date(spark, sf):
     # Each zone with the hours it is ahead of UTC; the last entry cannot be read.
@@ -263,7 +269,9 @@ def html_to_text(spark, sf):
 
 @query
 def html_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
+    # The letters of the text: where lines break is a matter of taste.
+    shown = html.html_to_text(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", F.regexp_replace(shown, r"[^\p{L}]", "").alias("letters"))
 
 
 @query
@@ -306,6 +314,18 @@ def parse_mbox(spark, sf):
     )
 
 
+@query
+def store_insert(spark, sf):
+    """Half of the mails, then all of them, then all again, into one store."""
+    store = MailStore(spark, scratch_path(spark, "store"))
+    emails = fixtures.emails(spark, sf)
+    for part in (emails.where("is_embedded"), emails, emails):
+        path = scratch_path(spark, "mbox")
+        mbox.render_mbox(part).write.text(path)
+        store.insert_new(mbox.parse_mbox(mbox.read_mbox(spark, path)))
+    return store.emails().select("id", "thread_id", "subject", "in_reply_to", "date", "sender", "body")
+
+
 def _resources(spark, sf):
     """The emails as mail-API resources in JSON."""
     def header(name, value):
@@ -357,7 +377,7 @@ def parse_gmail(spark, sf):
     rows = ingest.emails_from(ingest.message_rows(parsed))
     return rows.select(
         "id", "thread_id", "subject", F.nullif("in_reply_to", F.lit("")).alias("in_reply_to"), "date", "sender",
-        F.replace(F.array_join("recipients", "|"), F.lit("second"), F.lit("list")).alias("recipients"), "body",
+        F.array_join("recipients", "|").alias("recipients"), "body",
     )
 
 
@@ -442,6 +462,13 @@ def embed_threads(spark, sf):
     return run.chunks.select("thread_id", "chunk_no", "text", *[f"metadata.{n}" for n in names])
 
 
+@query
+def embed_threads_segmented(spark, sf):
+    run = build_threads(fixtures.emails(spark, sf), fixtures.attachments(spark, sf), SEGMENTED)
+    names = [n for n in run.chunks.schema["metadata"].dataType.names if n != "thread_id"]
+    return run.chunks.select("thread_id", "chunk_no", "text", *[f"metadata.{n}" for n in names])
+
+
 @query
 def vector_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
@@ -454,7 +481,7 @@ def vector_topk(spark, sf):
 @query
 def metadata_filter(spark, sf):
     points = table(spark, sf, "embeddings").select("vec_id", F.struct("label").alias("metadata"))
-    found = search.filter_collection(points, {"metadata.label": 3}, limit=100, order=["vec_id"])
+    found = search.filter_collection(points, {"metadata.label": 3}, limit=20, order=["vec_id"])
     return found.select("vec_id", "metadata.label")
 
 
@@ -466,6 +493,27 @@ def collection_upsert(emails):
     return collection.replace_threads(stored, new, changed)
 
 
+@query
+def collection_state(spark, sf):
+    """Two batches: all emails as chunks, then the pending threads anew, of which
+    some have no chunk left and some could not be embedded."""
+    emails = fixtures.emails(spark, sf)
+    number = F.regexp_extract("id", r"-(\d+)$", 1).cast("bigint").alias("chunk_no")
+    kind = F.regexp_extract("thread_id", r"^m(\d+)-", 1).cast("bigint") % 7
+    meta = F.lit(None).cast(COLLECTION["metadata"].dataType).alias("metadata")
+    vector = F.array(F.lit(1.0).cast("float"))
+    stored_ = collection.Collection(spark, scratch_path(spark, "collections"), "state")
+    ids = emails.select("thread_id", "id")
+    stored_.write_batch(0, emails.select("thread_id", number, F.col("body").alias("text"), vector.alias("embedding"), meta), ids, ids)
+    scope = threads.rebuild_scope(emails, CFG).where(kind != 1)
+    vector = F.when(kind != 2, vector)
+    new = scope.select("thread_id", number, F.concat(F.lit("new "), "body").alias("text"), vector.alias("embedding"), meta)
+    stored_.write_batch(1, new, threads.pending_threads(emails), ids.limit(0))
+    folded = collection.Collection(spark, scratch_path(spark, "collections"), "folded")
+    stored_.compact(folded)
+    return folded.read().select("thread_id", "chunk_no", "text")
+
+
 # --- statistics and dumps ----------------------------------------------------
 
 def _lengths(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from email import message_from_bytes, policy
 from xml.etree import ElementTree
 
@@ -58,17 +58,25 @@ def _mail(content: bytes) -> str:
     return f"From: {message.get('From')}\nTo: {message.get('To')}\nSubject: {message.get('Subject')}\n\n{body}"
 
 
-def _archive(content: bytes) -> str:
-    members = []
+# How an archive member is introduced, and one that cannot be read.
+MEMBER_HEAD = "===== {} ====="
+MEMBER_FAILED = "[Could not read file: {}]"
+
+
+def _members(content: bytes) -> Iterator[tuple[str, str]]:
+    """Names and texts of the readable members of an archive."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        for name in archive.namelist():
-            if name.lower().endswith(MEMBER_ENDINGS):
-                try:
-                    text = archive.read(name).decode("utf-8", errors="ignore")
-                except Exception as error:
-                    text = f"[Could not read file: {error}]"
-                members.append(f"===== {name} =====\n{text}")
-    return "\n\n".join(members).strip()
+        for member in archive.infolist():
+            if not member.filename.lower().endswith(MEMBER_ENDINGS):
+                continue
+            try:
+                yield member.filename, _plain(archive.read(member))
+            except Exception as error:
+                yield member.filename, MEMBER_FAILED.format(error)
+
+
+def _archive(content: bytes) -> str:
+    return "\n\n".join(f"{MEMBER_HEAD.format(name)}\n{text}" for name, text in _members(content)).strip()
 
 
 EXTRACTORS: dict[str, Extractor] = {
@@ -99,7 +107,8 @@ def attachment_text(mime: Column, content: Column, extra: dict[str, Extractor] |
                 texts.append("")
         return pd.Series(texts, dtype="object")
 
-    # Other types never leave the JVM.
-    known = mime.isin(list(extractors))
-    text = extract(F.when(known, mime), F.when(known, content))
+    # Other types never leave the JVM, nor do plain texts that are valid UTF-8.
+    plain = mime.isin([kind for kind in PLAIN_TYPES if extractors[kind] is _plain]) & F.is_valid_utf8(content.cast("string"))
+    known = mime.isin(list(extractors)) & ~F.coalesce(plain, F.lit(False))
+    text = F.when(plain, content.cast("string")).otherwise(extract(F.when(known, mime), F.when(known, content)))
     return drop_nul(F.when(mime == "text/html", normalize_text(text)).otherwise(text))

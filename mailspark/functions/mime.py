@@ -31,11 +31,17 @@ _HTML = r"(?is)^\s*(<!--.*?-->\s*)?<(!doctype html|html|head|body|title)\b"
 _MAIL = r"^(Return-Path|Received|From|Message-ID|Delivered-To|MIME-Version|Date|Subject|To): "
 
 
-def _is_csv(text: Column) -> Column:
-    """At least two lines, and the first ten agree on a positive comma count."""
-    lines = F.slice(F.filter(F.split(text, "\r?\n"), lambda line: line != ""), 1, 10)
-    commas = F.transform(lines, lambda line: F.regexp_count(line, F.lit(",")))
-    return (F.size(lines) >= 2) & (F.array_min(commas) > 0) & (F.array_min(commas) == F.array_max(commas))
+# How many lines decide on CSV, as the common file-type tools do it.
+CSV_LINES = 10
+
+
+def _is_csv(text: Column, lines: int = CSV_LINES) -> Column:
+    """At least two lines that are not empty, and the first ``lines`` of them agree on
+    a positive comma count. Nothing after them is read."""
+    head = F.regexp_extract(text, rf"^(?:[\r\n]*+[^\n]+){{1,{lines}}}", 0)
+    found = F.filter(F.split(head, "\r?\n"), lambda line: line != "")
+    commas = F.transform(found, lambda line: F.regexp_count(line, F.lit(",")))
+    return (F.size(found) >= 2) & (F.array_min(commas) > 0) & (F.array_min(commas) == F.array_max(commas))
 
 
 def _text_type(content: Column) -> Column:

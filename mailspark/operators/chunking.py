@@ -27,26 +27,41 @@ def _by_regex(separator: str, size: int):
     return lambda text: F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
 
-def _by_fold(separator: str, size: int):
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _by_pieces(separator: str, size: int):
     """The same for a separator that can overlap itself, such as two line feeds
     in a run of three: occurrences are taken from the left, which a look-ahead
-    cannot tell."""
-    def add(packed: Column, piece: Column) -> Column:
-        last = F.element_at(packed, -1)
-        fits = F.length(last) + F.length(piece) <= size
-        return (
-            F.when(F.size(packed) == 0, F.array(piece))
-            .when(fits, F.concat(F.slice(packed, 1, F.size(packed) - 1), F.array(F.concat(last, piece))))
-            .otherwise(F.concat(packed, F.array(piece)))
-        )
+    cannot tell. Matches are the pieces, each with its separator ahead; a fold over
+    their lengths says where chunks end, and touches no text."""
+    mark, ahead = re.escape(separator), rf"(?={re.escape(separator)}|\z)"
+    regex = f"(?s){mark}.*?{ahead}|.+?{ahead}"
+
+    def pack(pieces: Column) -> Column:
+        start = F.struct(
+            F.lit(0).alias("chars"), F.lit(0).alias("pieces"), F.array().cast("array<int>").alias("ends"))
+
+        def add(state: Column, piece: Column) -> Column:
+            length, count = F.length(piece), state["pieces"]
+            fits = (count == 0) | (state["chars"] + length <= size)
+            return F.struct(
+                F.when(fits, state["chars"] + length).otherwise(length).alias("chars"), (count + 1).alias("pieces"),
+                F.when(fits, state["ends"]).otherwise(F.concat(state["ends"], F.array(count))).alias("ends"))
+
+        def join(ends: Column) -> Column:
+            def one(end: Column, k: Column) -> Column:
+                begin = F.when(k > 0, F.get(ends, k - 1)).otherwise(0)
+                return F.array_join(F.slice(pieces, begin + 1, end - begin), "")
+
+            return F.transform(ends, one)
 
-    def split(text: Column) -> Column:
-        between = F.split(text, re.escape(separator))
-        headed = F.transform(between, lambda part, i: F.when(i > 0, F.concat(F.lit(separator), part)).otherwise(part))
-        pieces = F.filter(headed, lambda part: part != "")
-        return F.aggregate(pieces, F.array().cast("array<string>"), add)
+        ends = F.aggregate(pieces, start, add, lambda state: F.concat(state["ends"], F.array(state["pieces"])))
+        return _bound(ends, join)
 
-    return split
+    return lambda text: _bound(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), pack)
 
 
 def chunk_text(text: Column, size: int, separators: tuple[str, ...] = SEPARATORS) -> Column:
@@ -56,7 +71,7 @@ def chunk_text(text: Column, size: int, separators: tuple[str, ...] = SEPARATORS
     without it, or short enough, is passed on as it is.
     """
     def split_level(pieces: Column, separator: str) -> Column:
-        split = (_by_fold if _overlaps_itself(separator) else _by_regex)(separator, size)
+        split = (_by_pieces if _overlaps_itself(separator) else _by_regex)(separator, size)
 
         def split_long(piece: Column) -> Column:
             done = (F.length(piece) <= size) | ~piece.contains(separator)

@@ -10,7 +10,6 @@ batch leaves no trace, and an update costs the changed threads alone.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 from mailspark.config import MailConfig
 from mailspark.operators.skew import KeySet
 from mailspark.schemas import COLLECTION
+from mailspark.session import read_table
 from mailspark.sources.models import model
 
 _THREAD = T.StructField("thread_id", T.StringType())
@@ -67,19 +67,18 @@ class Collection:
             raise ValueError(f"collection {self.name} was made with {found[0]['embed_model']}")
 
     def _read(self, part: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(_PARTS[part]).parquet(f"{self.path}/{part}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], _PARTS[part])
+        return read_table(self.spark, f"{self.path}/{part}", _PARTS[part])
 
     def _write(self, df: DataFrame, part: str, batch: int) -> None:
         # Overwriting its own folder makes a repeated batch harmless.
         df.write.mode("overwrite").parquet(f"{self.path}/{part}/batch={batch}")
 
     def _committed(self, part: str, but: int | None = None) -> DataFrame:
-        """Rows of committed batches: a partition filter, one number per batch."""
-        batches = [r["batch"] for r in self._read("commits").select("batch").distinct().collect() if r["batch"] != but]
-        return self._read(part).where(F.col("batch").isin(batches))
+        """Rows of committed batches. Commits are joined, since their number grows."""
+        commits = self._read("commits").select("batch").distinct()
+        if but is not None:
+            commits = commits.where(F.col("batch") != but)
+        return self._read(part).join(commits, "batch", "left_semi")
 
     def write_batch(
         self, batch: int, chunks: DataFrame, changed: DataFrame, embedded: DataFrame, small: int = MailConfig.small_keys,
@@ -102,11 +101,18 @@ class Collection:
         this = failed.inside(changed.select("thread_id").distinct()).select("thread_id", F.lit(batch).cast("bigint").alias("obsolete"))
         self._write(before.unionByName(this).distinct(), "replaced", batch)
         self._write(failed.outside(embedded.select("thread_id", "id")), "embedded", batch)
+        self._commit(batch)
+
+    def _commit(self, batch: int) -> None:
         self._write(self.spark.range(1).select(F.lit(1).alias("done")).coalesce(1), "commits", batch)
 
     def embedded(self) -> DataFrame:
         return self._committed("embedded").select("thread_id", "id")
 
+    def failed_in(self, batch: int) -> DataFrame:
+        """``(_failed)``: the threads that failed in one batch."""
+        return self._read("failed").where(F.col("batch") == batch).select(F.col("thread_id").alias("_failed"))
+
     def failed_threads(self) -> DataFrame:
         """Threads whose last attempt failed."""
         lost = self._committed("failed").groupBy("thread_id").agg(F.max("batch").alias("lost"))
@@ -126,6 +132,10 @@ class Collection:
         return chunks.join(replaced, ["thread_id", "batch"], "left_anti").select(*COLLECTION.names)
 
     def compact(self, target: Collection, batch: int = 0) -> None:
-        """Writes the current state into another collection as one batch."""
-        current = self.read()
-        target.write_batch(batch, current, self._committed("live"), self.embedded())
+        """Writes the current state into another collection as one batch, with the
+        model, and with the failed threads in a batch after it."""
+        for row in self._read("manifest").collect():
+            target.create(row["embed_model"])
+        target.write_batch(batch, self.read(), self._committed("live"), self.embedded())
+        target._write(self.failed_threads(), "failed", batch + 1)
+        target._commit(batch + 1)

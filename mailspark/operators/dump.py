@@ -17,7 +17,8 @@ _LENGTH = r'"text_block_len":\s*(\d+)'
 
 
 def dump_entries(threads: DataFrame) -> DataFrame:
-    """One text entry per row of ``(metadata, text, summary)``."""
+    """One text entry per row of ``(metadata, text, summary)``; a row without
+    metadata goes on with the entry before it."""
     fields = threads.schema["metadata"].dataType.names
 
     def value(name):
@@ -30,13 +31,17 @@ def dump_entries(threads: DataFrame) -> DataFrame:
         F.coalesce("summary", F.lit("")) != "",
         F.concat(F.lit("Text Block Summarized:\n\n"), indent_block(F.col("summary")), F.lit("\n\n")),
     ).otherwise("")
+    head = F.when(F.col("metadata").isNull(), "").otherwise(F.concat(F.lit(HEADER + "METADATA:\n"), metadata, F.lit("\n\n")))
     return threads.select(F.concat(
-        F.lit(HEADER + "METADATA:\n"), metadata, F.lit("\n\n"), indent_block(F.coalesce("text", F.lit(""))), F.lit("\n\n"), summary,
+        head, indent_block(F.coalesce("text", F.lit(""))), F.lit("\n\n"), summary,
     ).alias("value"))
 
 
 def write_dump(threads: DataFrame, path: str) -> None:
-    """Writes a dump folder; a repeated run replaces it."""
+    """Writes a dump folder; a repeated run replaces it. The segments of a large
+    thread are kept in order, if need be across files."""
+    if {"thread_id", "segment"} <= set(threads.columns):
+        threads = threads.repartitionByRange("thread_id", "segment").sortWithinPartitions("thread_id", "segment")
     dump_entries(threads).write.mode("overwrite").text(path)
 
 

@@ -17,6 +17,11 @@ def small_keys(df: DataFrame, name: str, limit: int) -> tuple[DataFrame | None,
     return df.sparkSession.createDataFrame(found, df.select(name).schema), len(found)
 
 
+def small_side(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` marked for broadcast if it was counted and has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 class KeySet:
     """A set of keys, broadcast only when it was counted and found small."""
 

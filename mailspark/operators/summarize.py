@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from mailspark.config import MailConfig
 from mailspark.functions.text import strip, words
 from mailspark.operators.chunking import chunk_text
-from mailspark.operators.skew import running_sums
+from mailspark.operators.packing import Layout, chunk_segments
+from mailspark.operators.skew import KeySet, running_sums
+from mailspark.operators.threads import LAYOUT
 from mailspark.session import stored
 from mailspark.sources.models import context_chars
 
@@ -47,6 +49,8 @@ Each input summary covers a portion of a long email conversation. Your task is t
 Here are the partial summaries:
 """
 _JOINER = "\n\n"
+# How joined summaries continue from segment to segment.
+JOINED = Layout(_JOINER)
 _FULL_SENTENCE = 8
 
 # A summarizer takes rows (thread_id, segment, group_no, text) and a prompt and
@@ -82,9 +86,11 @@ def extractive(top: int) -> Summarizer:
         rows = groups.repartition(*group).select(*group, sentences(F.col("text")).alias("lines"))
         parts = rows.select(*group, F.posexplode("lines").alias("at", "line"))
         tokens = parts.select(*group, "at", F.explode_outer(words(F.col("line"))).alias("word"))
-        per_word = Window.partitionBy(*group, "word")
-        counted = tokens.withColumn("n", F.when(F.col("word").isNotNull(), F.count("*").over(per_word)).otherwise(0))
-        scored = counted.groupBy(*group, "at").agg(F.sum("n").alias("total"), F.count("*").alias("length"))
+        # One row per word of a sentence, before the counts of the group meet it.
+        in_line = tokens.groupBy(*group, "at", "word").agg(F.count("word").alias("here"), F.count("*").alias("rows"))
+        in_group = F.sum("here").over(Window.partitionBy(*group, "word"))
+        counted = in_line.withColumn("n", F.when(F.col("word").isNotNull(), in_group).otherwise(0) * F.col("rows"))
+        scored = counted.groupBy(*group, "at").agg(F.sum("n").alias("total"), F.sum("rows").alias("length"))
         # Sentences of a few words do not win by being short.
         score = F.col("total") / F.greatest("length", F.lit(_FULL_SENTENCE))
         best = Window.partitionBy(*group).orderBy(F.desc(score), "at")
@@ -102,12 +108,20 @@ def prompt_budget(cfg: MailConfig) -> int:
     return max(1, context_chars(cfg) - len(PROMPT) - len(_JOINER))
 
 
-def _groups(documents: DataFrame, budget: int, cfg: MailConfig) -> DataFrame:
-    """Documents in groups within the budget, each on its own row."""
+def _groups(documents: DataFrame, budget: int, cfg: MailConfig, layout: Layout) -> DataFrame:
+    """Documents in groups within the budget, each on its own row. A document in
+    segments gives the groups of the whole."""
+    several = KeySet(documents.where("segment > 0").select("thread_id").distinct(), "thread_id", cfg.small_keys)
+    whole = several.outside(documents)
     fits = F.length("text") <= budget
     pieces = F.when(fits, F.array("text")).otherwise(chunk_text(F.col("text"), budget, cfg.separators))
-    rows = documents.select("thread_id", "segment", F.posexplode_outer(pieces).alias("group_no", "text"))
-    return rows.where(F.col("text").isNotNull())
+    zero = F.lit(0).cast("bigint").alias("segment")
+    rows = whole.select("thread_id", zero, F.posexplode_outer(pieces).alias("group_no", "text")).where(F.col("text").isNotNull())
+    rows = rows.withColumn("group_no", F.col("group_no").cast("bigint"))
+    if several.empty:
+        return rows
+    cut = chunk_segments(several.inside(documents), budget, cfg.separators, layout)
+    return rows.unionByName(cut.select("thread_id", zero, F.col("chunk_no").alias("group_no"), "text"))
 
 
 def _rejoined(parts: DataFrame, cfg: MailConfig) -> DataFrame:
@@ -125,38 +139,39 @@ def _rejoined(parts: DataFrame, cfg: MailConfig) -> DataFrame:
 
 
 def summarize_documents(documents: DataFrame, cfg: MailConfig, summarizer: Summarizer | None = None) -> DataFrame:
-    """``(thread_id, segment, summary)`` of ``(thread_id, segment, text)``.
+    """``(thread_id, segment, summary, is_final)`` of ``(thread_id, segment, text)``.
 
     Texts within the context are summarized in one pass. Longer ones are split
     into groups that fit, and the joined partial summaries of a thread are
     summarized again, round after round, until one group is left. If a round does
     not bring the number of groups down, the joined partial summaries stand as
-    they are; nothing is cut off. Only a thread too large for one task can end up
-    with more than one segment.
+    they are, marked by ``is_final`` being false; nothing is cut off. Only there can
+    a thread too large for one task end up with more than one segment, to be joined
+    by blank lines.
 
     Each round is stored, because a model should not be asked twice and the next
     round depends on its size.
     """
     summarizer = summarizer or extractive(cfg.summary_sentences)
     budget = prompt_budget(cfg)
-    prompt, before = PROMPT, None
+    prompt, before, layout = PROMPT, None, LAYOUT
     finished = []
     while True:
-        groups = _groups(documents, budget, cfg)
+        groups = _groups(documents, budget, cfg, layout)
         parts = stored(summarizer(groups, prompt).select("thread_id", "segment", "group_no", "summary"), "summaries")
         sizes = parts.groupBy("thread_id").agg(F.count("*").alias("n"))
         total, most = sizes.agg(F.sum("n"), F.max("n")).first()
         if (most or 0) <= 1:
-            finished.append(parts.select("thread_id", "segment", "summary"))
+            finished.append(parts.select("thread_id", "segment", "summary", F.lit(True).alias("is_final")))
             break
         counted = parts.join(sizes, "thread_id")
         single = counted.where("n = 1")
-        finished.append(single.select("thread_id", F.lit(0).cast("bigint").alias("segment"), "summary"))
+        finished.append(single.select("thread_id", F.lit(0).cast("bigint").alias("segment"), "summary", F.lit(True).alias("is_final")))
         documents = _rejoined(counted.where("n > 1").drop("n"), cfg)
         if before is not None and total >= before:
-            finished.append(documents.select("thread_id", "segment", F.col("text").alias("summary")))
+            finished.append(documents.select("thread_id", "segment", F.col("text").alias("summary"), F.lit(False).alias("is_final")))
             break
-        prompt, before = COMBINE_PROMPT, total
+        prompt, before, layout = COMBINE_PROMPT, total, JOINED
 
     result = finished[0]
     for more in finished[1:]:

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from mailspark.config import MailConfig
 from mailspark.functions.text import datetime_text, remove_links, strip
+from mailspark.operators.packing import Layout
 from mailspark.operators.quotes import diff_verdicts, quote_split, quoted_part, settled, strip_quotes
 from mailspark.operators.skew import KeySet, heavy_keys, sums_by_range, sums_in_task
+from mailspark.session import stored
 
 # The marks of the document layout.
 BEGIN_THREAD = "===== Begin Email Thread ====="
 END_THREAD = "===== End Email Thread ====="
 END_EMAIL = "\n--- End Email ---"
 END_ATTACHMENT = "\n--- End Attachment ---"
+TAIL = f"\n\n{END_THREAD}"
+# How the segments of a large document join: at the ends of emails.
+LAYOUT = Layout(END_EMAIL.strip(), BEGIN_THREAD, TAIL, END_THREAD)
 NO_SUBJECT = "(no subject)"
 # About what the marks around a piece add to its length.
 _MARKS = 64
@@ -161,7 +166,7 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
     # array_join leaves out the NULL parts of empty emails.
     text = F.concat(
         _document_head(F.col("mails")[0]["subject"]), F.lit("\n\n"),
-        F.array_join(F.transform("mails", email_part), "\n\n"), F.lit(f"\n\n{END_THREAD}"),
+        F.array_join(F.transform("mails", email_part), "\n\n"), F.lit(TAIL),
     )
     mails = F.col("mails")
     meta = F.struct(
@@ -179,53 +184,44 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
 def _segmented_documents(emails: DataFrame, files: DataFrame, cfg: MailConfig) -> DataFrame:
     """Documents of threads too large for one task, as ordered segments.
 
-    The concatenation of a thread's segments is its document. A thread is ranked
-    by range over the narrow keys of its pieces; texts join in by message id.
+    The concatenation of a thread's segments is its document; a segment ends with
+    an email. A thread is ranked by range over narrow rows, one per email, and texts
+    join in by message id. Head and end of the document are pieces like others.
     """
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    keys = (
-        emails.select("thread_id", "date", F.col("id").alias("email_id"), F.lit(0).alias("kind"),
-                      F.lit("").alias("filename"), F.lit("").alias("file_id"), _weight("body").alias("weight"))
-        .unionByName(files.select("thread_id", "date", "email_id", F.lit(1).alias("kind"), "filename",
-                                  F.col("id").alias("file_id"), _weight("text_content").alias("weight")))
-        .unionByName(emails.select("thread_id", "date", F.col("id").alias("email_id"), F.lit(2).alias("kind"),
-                                   F.lit("").alias("filename"), F.lit("").alias("file_id"), zero.alias("weight")))
-    )
-    order = ["date", "email_id", "kind", "filename", "file_id"]
-    keys = sums_by_range(keys, "thread_id", order, {
-        "n": F.when(F.col("kind") == 0, one).otherwise(zero), "chars": F.col("weight"),
-    })
-    keys = keys.withColumn("segment", F.floor((F.col("chars") - F.col("weight")) / cfg.heavy_chars))
-
-    own = strip_quotes(emails, cfg).where(F.col("text") != "")
-    written = own.select(F.col("id").alias("email_id"))
-    texts = (
-        own.select(F.col("id").alias("email_id"), F.lit(0).alias("kind"), F.lit("").alias("file_id"), "text")
-        .unionByName(
-            files.join(written, "email_id").select(
-                "email_id", F.lit(1).alias("kind"), F.col("id").alias("file_id"),
-                _attachment_block(F.col("filename"), F.col("extension"), F.col("text_content")).alias("text"))
-        )
-        .unionByName(written.select("email_id", F.lit(2).alias("kind"), F.lit("").alias("file_id"), F.lit(END_EMAIL).alias("text")))
-    )
-    pieces = keys.join(texts, ["email_id", "kind", "file_id"])
-    text = F.when(F.col("kind") == 0, F.concat(F.lit("\n\n"), _email_head(F.col("n"), F.col("date"), F.col("text")))).otherwise(F.col("text"))
-    segments = (
-        pieces.groupBy("thread_id", "segment")
-        .agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("piece")))).alias("pieces"))
-        .select("thread_id", "segment", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
-    )
-    ends = pieces.groupBy("thread_id").agg(F.min("segment").alias("first"), F.max("segment").alias("last"))
+    one = F.lit(1).cast("bigint")
+    attached = files.groupBy("email_id").agg(F.sum(_weight("text_content")).alias("attached"))
+    keys = emails.select("thread_id", "date", F.col("id").alias("email_id"), _weight("body").alias("own"))
+    keys = keys.join(attached, "email_id", "left").select(
+        "thread_id", "date", "email_id", (F.col("own") + F.coalesce("attached", F.lit(0))).alias("weight"))
+    keys = sums_by_range(keys, "thread_id", ["date", "email_id"], {"n": one, "chars": F.col("weight")})
+    keys = keys.withColumn("segment", F.floor((F.col("chars") - F.col("weight")) / cfg.heavy_chars).cast("bigint"))
+
+    # Stored, since three steps read it and the diff should run once.
+    own = stored(strip_quotes(emails, cfg).where(F.col("text") != "").select(F.col("id").alias("email_id"), "text"), "own")
+    written = own.select("email_id")
+    none = F.lit("").alias("filename"), F.lit("").alias("file_id")
+    blocks = files.join(written, "email_id").select(
+        "email_id", F.lit(1).alias("kind"), "filename", F.col("id").alias("file_id"),
+        _attachment_block(F.col("filename"), F.col("extension"), F.col("text_content")).alias("text"))
+    texts = own.select("email_id", F.lit(0).alias("kind"), *none, "text").unionByName(blocks).unionByName(
+        written.select("email_id", F.lit(2).alias("kind"), *none, F.lit(END_EMAIL).alias("text")))
+    head = F.concat(F.lit("\n\n"), _email_head(F.col("n"), F.col("date"), F.col("text")))
+    order = ["part", "date", "email_id", "kind", "filename", "file_id"]
+    pieces = texts.join(keys, "email_id").select(
+        "thread_id", "segment", F.lit(1).alias("part"), *order[1:], F.when(F.col("kind") == 0, head).otherwise(F.col("text")).alias("piece"))
+
     subjects = emails.groupBy("thread_id").agg(F.min(F.struct("date", "id", "subject")).alias("root"))
-    ends = ends.withColumnRenamed("thread_id", "_thread").join(
-        subjects, F.col("thread_id").eqNullSafe(F.col("_thread"))
-    ).select("_thread", "first", "last", _document_head(F.col("root.subject")).alias("head"))
-    joined = segments.join(ends, F.col("thread_id").eqNullSafe(F.col("_thread")))
-    text = F.concat(
-        F.when(F.col("segment") == F.col("first"), F.col("head")).otherwise(""), F.col("text"),
-        F.when(F.col("segment") == F.col("last"), f"\n\n{END_THREAD}").otherwise(""),
-    )
-    return joined.select("thread_id", "segment", remove_links(text).alias("text"))
+    subjects = subjects.select(F.col("thread_id").alias("_thread"), _document_head(F.col("root.subject")).alias("head"))
+    ends = keys.join(written, "email_id", "left_semi").groupBy("thread_id").agg(F.min("segment").alias("first"), F.max("segment").alias("last"))
+    ends = ends.join(subjects, F.col("thread_id").eqNullSafe(F.col("_thread")))
+    marks = ends.select("thread_id", F.inline(F.array(
+        F.struct(F.col("first").alias("segment"), F.lit(0).alias("part"), F.col("head").alias("piece")),
+        F.struct(F.col("last").alias("segment"), F.lit(2).alias("part"), F.lit(TAIL).alias("piece")))))
+    pieces = pieces.unionByName(marks, allowMissingColumns=True)
+    listed = F.array_sort(F.collect_list(F.struct(*order, "piece")))
+    segments = pieces.groupBy("thread_id", "segment").agg(listed.alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
+    return segments.select("thread_id", "segment", remove_links(text).alias("text"))
 
 
 def heavy_threads(emails: DataFrame, attachments: DataFrame | None, cfg: MailConfig) -> KeySet:

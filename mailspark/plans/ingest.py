@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,17 +12,29 @@ from mailspark.config import MailConfig
 from mailspark.operators.ingest import absent, attachments_from, emails_from, message_rows, message_thread
 from mailspark.operators.skew import small_keys
 from mailspark.schemas import ATTACHMENTS, EMAILS
-from mailspark.session import stored
+from mailspark.session import read_table, scratch_scope, stored
 
-_SCHEMAS = {"emails": EMAILS, "attachments": ATTACHMENTS}
-_LAYOUT = [T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())]
+_BATCH = [T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())]
+_BUCKET = T.StructField("bucket", T.IntegerType())
+_SCHEMAS = {
+    "emails": T.StructType([*EMAILS.fields, _BUCKET, *_BATCH]),
+    "attachments": T.StructType([*ATTACHMENTS.fields, _BUCKET, *_BATCH]),
+    "rejected": T.StructType([T.StructField("place", T.StringType()), T.StructField("error", T.StringType()), *_BATCH]),
+    "commits": T.StructType([T.StructField("emails", T.LongType()), T.StructField("mark", T.LongType()), *_BATCH]),
+}
 
 
 class MailStore:
-    """The two tables below a root folder all executors share.
+    """The mail tables below a root folder all executors share.
+
+    Every load is a batch of a writer. A writer is one stream, as long as its
+    checkpoint lives, or one single load. A batch owns a folder in each table and
+    counts once its commit row is there, which is written last: readers see
+    committed batches only, a failed batch leaves nothing to be seen, and one that
+    is run again after its commit does nothing. No batch overwrites another's rows.
 
-    Both are laid out by batch and by a hash bucket of the thread, so the rows of
-    a few threads are found by partition filters instead of a full scan.
+    Rows are sorted by a hash bucket of the thread, so the rows of a few threads
+    are found by the statistics of row groups instead of a full scan.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 1024):
@@ -32,12 +45,13 @@ class MailStore:
     def _bucket(self, thread_id: Column) -> Column:
         return F.pmod(F.xxhash64(thread_id), F.lit(self.buckets)).cast("int")
 
+    def _read(self, name: str) -> DataFrame:
+        return read_table(self.spark, f"{self.root}/{name}", _SCHEMAS[name])
+
     def _table(self, name: str) -> DataFrame:
-        schema = T.StructType([*_SCHEMAS[name].fields, *_LAYOUT])
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        """Rows of committed batches. Commits are joined, since their number grows."""
+        commits = self._read("commits").select("writer", "batch").distinct()
+        return self._read(name).join(commits, ["writer", "batch"], "left_semi")
 
     def emails(self) -> DataFrame:
         return self._table("emails").select(*EMAILS.names)
@@ -45,6 +59,19 @@ class MailStore:
     def attachments(self) -> DataFrame:
         return self._table("attachments").select(*ATTACHMENTS.names)
 
+    def rejected(self) -> DataFrame:
+        """Where messages stood that could not be read, and why."""
+        return self._table("rejected").select("place", "error")
+
+    def arrivals(self) -> DataFrame:
+        """A stream of commits. It wakes the embedding after a batch can be read."""
+        return self.spark.readStream.schema(_SCHEMAS["commits"]).parquet(f"{self.root}/commits")
+
+    def threads_of(self, commits: DataFrame) -> DataFrame:
+        """``(thread_id)`` of the emails that came with these commits."""
+        ours = commits.select("writer", "batch").distinct()
+        return self._read("emails").join(ours, ["writer", "batch"], "left_semi").select("thread_id").distinct()
+
     def near_threads(self, threads: DataFrame, small: int = MailConfig.small_keys) -> tuple[DataFrame, DataFrame]:
         """Emails and attachments of the buckets the threads fall into; all of
         them if the threads are many."""
@@ -56,22 +83,66 @@ class MailStore:
         emails, attachments = self._table("emails").where(hit), self._table("attachments").where(hit)
         return emails.select(*EMAILS.names), attachments.select(*ATTACHMENTS.names)
 
-    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
-        # Rebalancing gathers each bucket into few files and splits a hot one.
-        balanced = rows.hint("rebalance", "bucket")
-        balanced.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch}")
+    def _write(self, rows: DataFrame, name: str, writer: str, batch: int) -> None:
+        # Only this batch's own folder, which no reader sees before the commit.
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/writer={writer}/batch={batch}")
+
+    def _write_sorted(self, rows: DataFrame, name: str, writer: str, batch: int) -> None:
+        # Rebalancing makes few files of a small batch and splits a hot bucket.
+        self._write(rows.hint("rebalance", "bucket").sortWithinPartitions("bucket"), name, writer, batch)
 
-    def insert_new(self, parsed: DataFrame, batch: int, ingest_time: Column | None = None) -> None:
+    def _commit(self, writer: str, batch: int, emails: int, mark: int | None) -> None:
+        row = self.spark.range(1).select(F.lit(emails).cast("bigint").alias("emails"), F.lit(mark).cast("bigint").alias("mark"))
+        self._write(row.coalesce(1), "commits", writer, batch)
+
+    def mark(self) -> int | None:
+        """The newest ``internal_date`` that was stored, from where ``sources.mailapi``
+        can go on; None for a store without mail of that kind."""
+        return self._read("commits").agg(F.max("mark")).first()[0]
+
+    def committed(self, writer: str, batch: int) -> bool:
+        return not self._read("commits").where((F.col("writer") == writer) & (F.col("batch") == batch)).isEmpty()
+
+    def insert_new(
+        self, parsed: DataFrame, batch: int = 0, ingest_time: Column | None = None, writer: str | None = None,
+        extra: dict | None = None,
+    ) -> None:
         """Stores the messages whose ids are new.
 
-        Each batch owns its folder, attachments first: an email that can be seen
-        has its attachments, and a repeated batch overwrites itself. The parsed
-        messages are written down once, since three steps read them.
+        Without a ``writer`` the call is a load of its own. Messages that cannot be
+        read go to ``rejected``. ``extra`` adds attachment extractors by MIME type.
+        The parsed messages are written down once, since several steps read them.
         """
-        # What this batch wrote in an earlier attempt does not count.
-        known = self._table("emails").where(F.col("batch") != batch)
-        messages = stored(message_rows(parsed), "messages").withColumn("bucket", self._bucket(message_thread()))
-        fresh = absent(messages, known.select(F.col("id").alias("message_id")), "message_id")
-        self._write(attachments_from(fresh, keep=("bucket",)), "attachments", batch)
+        writer = writer or f"load-{uuid.uuid4().hex}"
+        if self.committed(writer, batch):
+            return
+        with scratch_scope(self.spark):
+            self._insert(parsed, batch, ingest_time, writer, extra)
+
+    def _insert(self, parsed: DataFrame, batch: int, ingest_time: Column | None, writer: str, extra: dict | None) -> None:
+        read = stored(parsed, "parsed")
+        place = F.col("input_order").cast("string") if "input_order" in read.columns else F.lit(None).cast("string")
+        self._write(read.where("error IS NOT NULL").select(place.alias("place"), "error"), "rejected", writer, batch)
+        messages = stored(message_rows(read), "messages").withColumn("bucket", self._bucket(message_thread()))
+        known = self.emails().select(F.col("id").alias("message_id"))
+        fresh = absent(messages, known, "message_id")
+        self._write_sorted(attachments_from(fresh, extra, keep=("bucket",)), "attachments", writer, batch)
         emails = emails_from(fresh, ingest_time)
-        self._write(emails.withColumn("bucket", self._bucket(F.col("thread_id"))), "emails", batch)
+        self._write_sorted(emails.withColumn("bucket", self._bucket(F.col("thread_id"))), "emails", writer, batch)
+        own = self._read("emails").where((F.col("writer") == writer) & (F.col("batch") == batch))
+        dated = "input_order" in read.columns and "internal_date" in read.schema["input_order"].dataType.names
+        mark = read.agg(F.max("input_order.internal_date")).first()[0] if dated else None
+        self._commit(writer, batch, own.count(), mark)
+
+    def compact(self, target: MailStore) -> None:
+        """Writes the current state into an empty store as one batch of few files.
+
+        Streams go on into the target with their checkpoints: their commits are
+        taken along, so a batch they repeat is still known.
+        """
+        for name in ("emails", "attachments"):
+            target._write_sorted(self._table(name).drop("writer", "batch"), name, "compacted", 0)
+        target._write(self.rejected(), "rejected", "compacted", 0)
+        commits = self._read("commits").coalesce(1)
+        commits.write.mode("overwrite").partitionBy("writer", "batch").parquet(f"{target.root}/commits")
+        target._commit("compacted", 0, target._read("emails").count(), self.mark())

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(app: str = "mailspark", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -39,8 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or context.getCheckpointDir()).rstrip("/")
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/scratch/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/scratch/{_scope.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside go when the block ends, which must have written its
+    results by then. Endless jobs run every batch in one."""
+    token = _scope.set(f"{_scope.get()}run-{uuid.uuid4().hex}/")
+    try:
+        yield
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch/{_scope.get()}")
+        _scope.reset(token)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -55,3 +76,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` as a materialised table that survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A parquet table; an empty one if nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

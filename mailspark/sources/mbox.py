@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,24 +18,48 @@ ENVELOPE = b"From "
 _SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 
+_RECORD = "path string, block bigint, row bigint, file_size bigint, is_first boolean, value binary"
+
+
 def _records(lines: DataFrame) -> DataFrame:
-    return lines.select(
+    """Records with their place: file, block, and number within the reading task.
+
+    The scan also marks the first record of each file, which is the one a block at
+    offset 0 starts with. Nothing after the scan depends on the order of rows.
+    """
+    scanned = lines.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"), F.col("value").cast("binary").alias("value"),
     )
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, row = None, 0
+        for batch in batches:
+            first = []
+            for split in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
+                first.append(split != last and split[1] == 0)
+                last = split
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            columns["is_first"] = pa.array(first, pa.bool_())
+            # One task reads a block, in its order.
+            columns["row"] = pa.array(range(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            names = ["path", "block", "row", "file_size", "is_first", "value"]
+            yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
 
-def _input_order():
-    return F.struct("path", "block", F.monotonically_increasing_id().alias("row"))
+    return scanned.mapInArrow(mark, _RECORD)
 
 
 def read_mbox(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Raw records of mbox files with the file and block they come from.
+    """Raw records of mbox files with the file and place they come from.
 
     ``limit`` takes the first records in input order, before any filter.
     """
     records = _records(spark.read.schema(_SCHEMA).option("lineSep", LINE_SEPARATOR).text(path))
-    return records if limit is None else records.orderBy(_input_order()).limit(limit)
+    if limit is None:
+        return records
+    # The first ones arrive in one task; parsing them is dealt out again.
+    return records.orderBy("path", "block", "row").limit(limit).repartition("row")
 
 
 def stream_mbox(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -44,32 +71,22 @@ def stream_mbox(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     return _records(lines)
 
 
-def _record_parser():
-    """Parses records in reading order, which tells a file's first record."""
-    at = None
-
-    def parse(record: dict) -> dict | None:
-        nonlocal at
-        value, place = record["value"], record["input_order"]
-        split = (place["path"], place["block"])
-        is_first = split != at and place["block"] == 0
-        at = split
-        if not is_first:
-            return parse_mail(ENVELOPE + value)
-        # Bytes before a file's first separator are no message, unless the file
-        # has no separator at all.
-        if value.startswith(ENVELOPE) or len(value) >= record["file_size"] - 1:
-            return parse_mail(value)
-        return None
-
-    return parse
+def _parse_record(record: dict) -> dict | None:
+    value = record["value"]
+    if not record["is_first"]:
+        return parse_mail(ENVELOPE + value)
+    # Bytes before a file's first separator are no message, unless the file has no
+    # separator at all.
+    if value.startswith(ENVELOPE) or len(value) >= record["file_size"] - 1:
+        return parse_mail(value)
+    return None
 
 
 def parse_mbox(records: DataFrame) -> DataFrame:
     """Parsed messages of records, with their ``input_order``: file, block and
     place within it, which is the order of the messages in the file."""
-    ordered = records.select(_input_order().alias("input_order"), "file_size", "value")
-    return parse_messages(ordered, ("value",), _record_parser, ("input_order",))
+    placed = records.select(F.struct("path", "block", "row").alias("input_order"), "file_size", "is_first", "value")
+    return parse_messages(placed, ("value",), lambda: _parse_record, ("input_order",))
 
 
 def render_mbox(emails: DataFrame) -> DataFrame:

@@ -15,11 +15,8 @@ from email.header import decode_header, make_header
 from email.message import Message
 from email.utils import getaddresses
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from mailspark.schemas import PARSED
@@ -76,15 +73,19 @@ def parse_mail(raw: bytes) -> dict:
     if message.is_multipart() and message.get_content_type() != "message/rfc822":
         for number, part in enumerate(_leaves(message)):
             enclosed = part.get_content_type() == "message/rfc822"
-            if _is_attachment(part) or enclosed:
-                name = part.get_filename() or ("message.eml" if enclosed else None)
-                if name:
-                    files.append({
-                        "part_no": number, "filename": decoded_header(name),
-                        "declared_type": part.get_content_type(), "content": _content(part),
-                    })
-            elif part.get_content_type() in texts:
-                texts[part.get_content_type()] += _part_text(part)
+            try:
+                if _is_attachment(part) or enclosed:
+                    name = part.get_filename() or ("message.eml" if enclosed else None)
+                    if name:
+                        files.append({
+                            "part_no": number, "filename": decoded_header(name),
+                            "declared_type": part.get_content_type(), "content": _content(part),
+                        })
+                elif part.get_content_type() in texts:
+                    texts[part.get_content_type()] += _part_text(part)
+            except Exception:
+                # A part that cannot be read is lost alone, not with its message.
+                continue
     elif message.get_content_type() in texts:
         texts[message.get_content_type()] = _part_text(message)
     to = [decoded_header(value) for value in message.get_all("To", [])]
@@ -207,9 +208,3 @@ def parse_messages(
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return df.mapInArrow(run, schema)
-
-
-@F.pandas_udf(T.StringType())
-def decode_headers(values: pd.Series) -> pd.Series:
-    """RFC 2047 decoding of a header column."""
-    return values.map(lambda value: None if value is None else _clean(decoded_header(value)))

@@ -3,13 +3,14 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mailspark.config import PLAIN_SEPARATORS, SEPARATORS, MailConfig
-from mailspark.operators import chunking, dump, embedding, search, stats, summarize
+from mailspark.operators import chunking, dump, embedding, packing, search, stats, summarize
 from mailspark.sources import models
 
 
@@ -162,3 +163,40 @@ def test_models(spark):
     assert MailConfig().collection_name == "email_threads_bge-large-en-v1.5"
     with pytest.raises(ValueError):
         models.chunk_chars(MailConfig(embed_model="none"))
+
+
+def test_chunking_is_linear(spark):
+    """Ten million characters of blank-line text in seconds, on one core."""
+    text = "\n\n".join(f"line {i} of a long text" for i in range(400_000))
+    frame = spark.createDataFrame([(text,)], "t string").coalesce(1)
+    start = time.perf_counter()
+    found = frame.select(chunking.chunk_text(F.col("t"), 1792).alias("c")).select(F.size("c"), F.aggregate("c", F.lit(0), lambda n, c: F.greatest(n, F.length(c)))).first()
+    assert time.perf_counter() - start < 30
+    assert found[0] >= len(text) // 1792 and found[1] <= 1792
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chunks_of_segments(spark, seed):
+    """Segments give the chunks of the joined text, wherever it was cut."""
+    rng = random.Random(seed)
+    size, mark = 60, "\n\n"
+    texts = {}
+    for t in range(40):
+        parts = ["x" * rng.choice([0, 1, 3, 10, 25, 58, 59, 60, 61, 150]) + str(k) for k in range(rng.randrange(1, 40))]
+        texts[f"t{t}"] = parts
+    texts[None] = ["a", "b"]
+    rows = []
+    for thread, parts in texts.items():
+        at, number = 0, 0
+        while at < len(parts):
+            step = rng.choice([1, 1, 2, 5, 20])
+            rows.append((thread, number, mark.join(parts[at:at + step])))
+            at, number = at + step, number + 1
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "thread_id string, segment bigint, text string")
+    got = {}
+    for r in packing.chunk_segments(frame, size, PLAIN_SEPARATORS, packing.Layout(mark)).collect():
+        got.setdefault(r.thread_id, {})[r.chunk_no] = r.text
+    whole = spark.createDataFrame([(t, mark.join(p)) for t, p in texts.items()], "t string, s string")
+    want = {r.t: dict(enumerate(r.c)) for r in whole.select("t", chunking.chunk_text(F.col("s"), size, PLAIN_SEPARATORS).alias("c")).collect() if r.c}
+    assert got == want

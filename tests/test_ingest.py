@@ -1,6 +1,7 @@
 """Mail formats to table rows."""
 
 import base64
+import glob
 import io
 import json
 import zipfile
@@ -15,6 +16,7 @@ from mailspark.functions.mime import DOCX
 from mailspark.operators.ingest import attachments_from, emails_from, first_per_key, message_rows
 from mailspark.plans.ingest import MailStore
 from mailspark.schemas import ATTACHMENTS, EMAILS
+from mailspark.session import shared_dir
 from mailspark.sources import mailapi
 from mailspark.sources.mbox import parse_mbox, read_mbox
 
@@ -76,6 +78,38 @@ def test_mbox_is_split(spark, tmp_path):
     assert all((got[f"<{i}@x>"].body == "second") == (i >= 400) for i in range(450))
 
 
+def test_records_know_their_place(spark, tmp_path):
+    """Neither a shuffle nor a filter changes which records are a file's first."""
+    for f in range(4):
+        (tmp_path / f"{f}.mbox").write_bytes((PREAMBLE if f % 2 else b"") + mbox_bytes(*[message(f"<{f}-{i}@x>") for i in range(25)]))
+    records = read_mbox(spark, str(tmp_path))
+    want = {f"<{f}-{i}@x>" for f in range(4) for i in range(25)}
+    for changed in (records, records.repartition(6), records.where("value not like '%<0-3@x>%'"), records.orderBy(F.desc("row"))):
+        got = {r.message_id for r in parse_mbox(changed).collect()}
+        assert want - got <= {"<0-3@x>"} and got <= want
+    assert len(parse_mbox(records.repartition(6)).collect()) == 100
+
+
+def test_rejected_messages_and_hooks(spark, tmp_path):
+    store = MailStore(spark, str(tmp_path / "store"))
+    frame = parse_mbox(read_mbox(spark, _file(tmp_path, mbox_bytes(message("<1@x>"), message("<2@x>")))))
+    broken = frame.withColumn("error", F.when(F.col("message_id") == "<2@x>", "ValueError: bad"))
+    store.insert_new(broken)
+    assert [r.id for r in store.emails().collect()] == ["<1@x>"]
+    assert [r.error for r in store.rejected().collect()] == ["ValueError: bad"]
+    mail = EmailMessage()
+    mail["Message-ID"] = "<pdf@x>"
+    mail.set_content("text")
+    mail.add_attachment(b"%PDF-1.4", maintype="application", subtype="pdf", filename="a.pdf")
+    store.insert_new(parse_mbox(read_mbox(spark, _file(tmp_path, mbox_bytes(mail.as_bytes()), "b.mbox"))), extra={"application/pdf": lambda data: "read"})
+    assert [r.text_content for r in store.attachments().collect()] == ["read"]
+
+
+def _file(folder, data, name="a.mbox"):
+    (folder / name).write_bytes(data)
+    return str(folder / name)
+
+
 def test_limit_counts_before_filtering(spark, tmp_path):
     data = mbox_bytes(message(None, b"no id"), message("<1@x>"), message("<2@x>"))
     assert set(by_id(emails_from(ingest(spark, tmp_path, data, limit=2)))) == {"<1@x>"}
@@ -158,6 +192,10 @@ def test_mail_api(spark, tmp_path):
     found = mailapi.read_resources(spark, str(tmp_path / "gmail.jsonl"))
     assert {r.resource_id for r in mailapi.inbox(found, 500).collect()} == {"g1", "g2", "g3"}
     assert {r.resource_id for r in mailapi.inbox(found, newest=2).collect()} == {"g2", "g3"}
+    store = MailStore(spark, str(tmp_path / "store"))
+    assert store.mark() is None
+    store.insert_new(mailapi.parse_resources(mailapi.inbox(found, newest=2)))
+    assert store.mark() == 3000 and mailapi.inbox(found, store.mark()).count() == 0
     rows = message_rows(mailapi.parse_resources(mailapi.inbox(found)))
     got = by_id(emails_from(rows))
     assert len(got) == 4 and got["<1@x>"].recipients == ["b@x", "c@x"] and got["<1@x>"].body == "hi?>"
@@ -232,11 +270,13 @@ def test_store(spark, tmp_path):
     one = mbox_bytes(message("<1@x>", b"v1"), mime_mail())
     (tmp_path / "1.mbox").write_bytes(one)
     parsed = parse_mbox(read_mbox(spark, str(tmp_path / "1.mbox")))
-    store.insert_new(parsed, 0)
-    store.insert_new(parsed, 0)
+    store.insert_new(parsed)
+    store.insert_new(parsed)
     (tmp_path / "2.mbox").write_bytes(mbox_bytes(message("<1@x>", b"v2"), message("<2@x>", b"new")))
-    store.insert_new(parse_mbox(read_mbox(spark, str(tmp_path / "2.mbox"))), 1)
+    store.insert_new(parse_mbox(read_mbox(spark, str(tmp_path / "2.mbox"))))
     got = by_id(store.emails())
     assert {i: r.body for i, r in got.items()} == {"<1@x>": "v1", "<mime@x>": "rich text", "<2@x>": "new"}
     assert store.emails().count() == 3 and store.attachments().count() == 2
+    # Scratch tables of a load are gone.
+    assert not glob.glob(f"{shared_dir(spark)}/scratch/run-*")
     assert store.emails().columns == EMAILS.names and store.attachments().columns == ATTACHMENTS.names

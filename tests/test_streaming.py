@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailspark.config import MailConfig
 from mailspark.operators.collection import Collection, mark_embedded, replace_threads
 from mailspark.operators.dump import read_dump_lengths
+from mailspark.operators import threads
 from mailspark.operators.embedding import model_embedder
 from mailspark.plans.ingest import MailStore
 from mailspark.plans.threads import build_threads
@@ -47,8 +48,7 @@ def test_streams_equal_batch(spark, tmp_path):
 
     def poll():
         jobs.ingest_stream(stream_mbox(spark, str(drop)), parse_mbox, store, str(tmp_path / "c1"), once=True).awaitTermination()
-        wake = spark.readStream.schema(EMAILS).parquet(str(tmp_path / "store" / "emails"))
-        jobs.embed_stream(wake, store, collection, str(tmp_path / "c2"), CFG, once=True, dump=str(tmp_path / "dump")).awaitTermination()
+        jobs.embed_stream(store, collection, str(tmp_path / "c2"), CFG, once=True, dump=str(tmp_path / "dump")).awaitTermination()
 
     (drop / "1.mbox").write_bytes(b"".join(FIRST))
     poll()
@@ -67,18 +67,56 @@ def test_streams_equal_batch(spark, tmp_path):
     for name, records in (("a", FIRST), ("b", SECOND)):
         (tmp_path / f"{name}.mbox").write_bytes(b"".join(records))
     batch = MailStore(spark, str(tmp_path / "batch"))
-    for number, name in enumerate("ab"):
-        batch.insert_new(parse_mbox(read_mbox(spark, str(tmp_path / f"{name}.mbox"))), number)
+    for name in "ab":
+        batch.insert_new(parse_mbox(read_mbox(spark, str(tmp_path / f"{name}.mbox"))))
     run = build_threads(batch.emails(), batch.attachments(), CFG)
     assert by_thread(run.chunks) == after
     assert build_threads(mark_embedded(store.emails(), collection.embedded()), store.attachments(), CFG).changed.count() == 0
     few = spark.createDataFrame([("<r3@x>",)], "thread_id string")
     emails, _ = store.near_threads(few)
-    assert "<r3@x>" in {r.thread_id for r in emails.collect()} and emails.count() < store.emails().count()
+    assert {r.thread_id for r in emails.collect()} >= {"<r3@x>"} and emails.count() < store.emails().count()
     assert store.near_threads(few, 0)[0].count() == store.emails().count()
     assert read_dump_lengths(spark, str(tmp_path / "dump" / "batch=*")).count() == 5
 
 
+def test_no_writer_loses_mail_of_another(spark, tmp_path):
+    """A load, two streams, a stream with a fresh checkpoint, and repeated batches."""
+    store, ids = MailStore(spark, str(tmp_path / "store")), set()
+
+    def drop(folder, *names):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        for name in names:
+            (tmp_path / folder / f"{name}.mbox").write_bytes(record(name, f"body of {name}"))
+            ids.add(f"<{name}@x>")
+        return str(tmp_path / folder)
+
+    def poll(folder, checkpoint):
+        jobs.ingest_stream(stream_mbox(spark, folder), parse_mbox, store, str(tmp_path / checkpoint), once=True).awaitTermination()
+
+    store.insert_new(parse_mbox(read_mbox(spark, drop("load", "l1", "l2"))))
+    poll(drop("s1", "a1", "a2"), "c1")
+    poll(drop("s2", "b1"), "c2")
+    poll(drop("s1", "a3"), "c1")
+    poll(drop("s1", "a4"), "fresh")
+    store.insert_new(parse_mbox(read_mbox(spark, drop("load2", "l3"))))
+    got = [r.id for r in store.emails().collect()]
+    assert set(got) == ids and len(got) == len(ids)
+    # A batch that is run again after its commit changes nothing.
+    store.insert_new(parse_mbox(read_mbox(spark, drop("one", "w1"))), 0, writer="w")
+    store.insert_new(parse_mbox(read_mbox(spark, drop("two", "w2"))), 0, writer="w")
+    ids.discard("<w2@x>")
+    assert {r.id for r in store.emails().collect()} == ids
+    # Rows without a commit are not there, and do not hide a message from the next batch.
+    store._write_sorted(store._read("emails").where("id = '<l1@x>'").withColumn("id", F.lit("<ghost@x>")).drop("writer", "batch"), "emails", "dead", 3)
+    assert {r.id for r in store.emails().collect()} == ids
+    store.insert_new(parse_mbox(read_mbox(spark, drop("three", "ghost"))))
+    assert {r.id for r in store.emails().collect()} == ids
+    folded = MailStore(spark, str(tmp_path / "folded"))
+    store.compact(folded)
+    assert {r.id for r in folded.emails().collect()} == ids and folded.emails().count() == len(ids)
+    assert folded.committed("w", 0) and not folded.committed("w", 1)
+
+
 class Mails:
     """A store of six emails in three threads."""
 
@@ -143,9 +181,15 @@ def test_empty_thread_loses_its_chunks(spark, tmp_path):
     collection.write_batch(1, spark.createDataFrame([], schema), changed.where("thread_id = 't'"), ids.limit(0))
     assert by_thread(collection.read()) == {"u": ["kept"]}
     assert collection.embedded().count() == 2
+    collection.create("bge-m3")
+    # Another batch in which u fails keeps its chunks and the failure.
+    collection.write_batch(2, spark.createDataFrame([("u", 0, "newer", None, None)], schema), changed.where("thread_id = 'u'"), ids.limit(0))
     folded = Collection(spark, str(tmp_path), "d")
     collection.compact(folded)
-    assert by_thread(folded.read()) == {"u": ["kept"]}
+    assert by_thread(folded.read()) == {"u": ["kept"]} and folded.embedded().count() == 2
+    assert [r.thread_id for r in folded.failed_threads().collect()] == ["u"]
+    with pytest.raises(ValueError):
+        folded.create("e5-base-v2")
 
 
 def test_create_is_idempotent(spark, tmp_path):
@@ -163,22 +207,20 @@ def test_replace_threads(spark):
     assert {tuple(r) for r in replace_threads(old, new, changed).collect()} == {("a", 3), ("b", 2)}
 
 
-def test_heavy_threads_give_the_same_texts(spark, sf):
+@pytest.mark.parametrize("heavy", [1, 700, 2000])
+@pytest.mark.parametrize("options", [{"max_chunks": 10**6}, {}, {"context_tokens": 1000, "summary_sentences": 2}])
+def test_results_do_not_depend_on_size(spark, sf, heavy, options):
+    """Every chunk row of threads in segments is that of the whole thread: number,
+    text, counts, summary; and so are the entries of a dump."""
     emails, files = fixtures.emails(spark, sf), fixtures.attachments(spark, sf)
-    keep_all = MailConfig(max_chunks=10**6)
-    light = build_threads(emails, files, keep_all)
-    heavy = build_threads(emails, files, MailConfig(max_chunks=10**6, heavy_chars=2000))
-    def words(run):
-        return {t: " ".join("".join(c.split()) for c in texts).replace(" ", "") for t, texts in by_thread(run.chunks).items()}
-    assert words(light) == words(heavy)
-    facts = lambda run: {r.thread_id: (r.subject, r.email_count, r.attachments_count, r.first_email_date, r.last_email_date, r.text_block_len, r.is_summarized)
-                         for r in run.chunks.select("metadata.*").distinct().collect()}
-    assert {t: f[:5] for t, f in facts(light).items()} == {t: f[:5] for t, f in facts(heavy).items()}
-    assert {t: f[5] for t, f in facts(light).items()} == {t: f[5] for t, f in facts(heavy).items()}
-    summarized = build_threads(emails, files, MailConfig(heavy_chars=2000))
-    rows = summarized.chunks.select("thread_id", "chunk_no", "metadata.is_summarized").collect()
-    assert {r.thread_id for r in rows} == set(words(light)) and any(r.is_summarized for r in rows)
-    assert len({(r.thread_id, r.chunk_no) for r in rows}) == len(rows)
+    light = build_threads(emails, files, MailConfig(**options))
+    large = build_threads(emails, files, MailConfig(heavy_chars=heavy, **options))
+    rows = lambda run: sorted(map(str, run.chunks.collect()))
+    assert rows(large) == rows(light)
+    summaries = lambda run: {r.thread_id: r.summary for r in run.threads.where("summary is not null").collect()}
+    assert summaries(large) == summaries(light)
+    assert large.threads.where("metadata is not null").count() == light.threads.count()
+    assert large.threads.count() > light.threads.count() or heavy > 1000
 
 
 def test_live_metadata(spark, sf, tmp_path):
@@ -189,3 +231,7 @@ def test_live_metadata(spark, sf, tmp_path):
     query.awaitTermination()
     got = {tuple(r) for r in spark.table("live").collect()}
     assert got == {tuple(r) for r in jobs.live_metadata(emails).collect()} and got
+    files = fixtures.attachments(spark, sf).join(emails.select(F.col("id").alias("email_id"), "thread_id"), "email_id")
+    counts = {r.thread_id: r.attachments_count for r in jobs.live_metadata(emails, files).collect()}
+    assert counts == {r.thread_id: r.attachments_count for r in threads.thread_metadata(emails, fixtures.attachments(spark, sf)).collect()}
+    assert sum(counts.values()) > 0

@@ -3,6 +3,7 @@
 import difflib
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -29,36 +30,6 @@ def frames(spark, emails, attachments=()):
     return spark.createDataFrame(emails, EMAILS), spark.createDataFrame(list(attachments), ATTACHMENTS)
 
 
-def shown_text(mail, original, threshold=0.8):
-    """What remains of a body once it turned out to quote ``original``."""
-    marks = (re.compile(pattern, re.IGNORECASE).search(mail[8]) for pattern in QUOTE_PATTERNS)
-    mark = next((m for m in marks if m), None) if original is not None else None
-    if mark is None:
-        return mail[8].strip()
-    before, after = (part.strip() for part in (mail[8][:mark.start()], mail[8][mark.end():]))
-    close = difflib.SequenceMatcher(a=after, b=original.strip()).ratio() >= threshold
-    return before if close else mail[8].strip()
-
-
-def expected_document(emails, attachments):
-    """The document of a small thread, put together row by row."""
-    ordered = sorted(emails, key=lambda mail: (mail[5], mail[0]))
-    bodies = {mail[0]: mail[8] for mail in ordered}
-    lines = ["===== Begin Email Thread =====", "", "Subject: " + (ordered[0][2].strip() if ordered[0][2] else "(no subject)"), ""]
-    start = len(lines)
-    for number, mail in enumerate(ordered, 1):
-        text = shown_text(mail, bodies.get(mail[4]) if number > 1 else None)
-        if text:
-            lines += [f"--- Email {number} ---", f"Date: {mail[5]}", "", text]
-            own = (a for a in attachments if a[1] == mail[0] and a[6])
-            for a in sorted(own, key=lambda a: (a[2], a[0])):
-                lines += ["", f"--- Begin Attachment: {a[2]} ({a[4]}) ---", a[6].strip(), "--- End Attachment ---"]
-            lines += ["--- End Email ---", ""]
-    if len(lines) == start:
-        return None
-    return re.sub(r"https?://\S+|www\.\S+|ftp://\S+", "", "\n".join([*lines, "===== End Email Thread ====="]))
-
-
 def random_mail(seed, n_threads=12):
     rng = random.Random(seed)
     words = "alpha beta gamma delta on wrote: To: me Subject: it\nline http://x.y/z www.a.b".split(" ")
@@ -84,45 +55,112 @@ def random_mail(seed, n_threads=12):
     return emails, files
 
 
-@pytest.mark.parametrize("cfg", [MailConfig(), MailConfig(heavy_chars=60), MailConfig(heavy_chars=1), MailConfig(heavy_rows=2), MailConfig(heavy_chars=60, small_keys=0)])
-def test_documents_match_the_plain_procedure(spark, cfg):
-    emails, files = random_mail(7)
-    expected = {}
-    for thread in {e[1] for e in emails}:
-        document = expected_document([e for e in emails if e[1] == thread], files)
-        if document is not None:
-            expected[thread] = document
-    rows = threads.thread_documents(*frames(spark, emails, files), cfg).collect()
+WRITTEN_MAILS = [
+    email("a", "t1", 5, "  First body.\n", subject=" Plans "),
+    email("b", "t1", 9, "I agree.\n\nOn Mon, someone wrote:\nFirst body.", "a", "Re: Plans"),
+    email("c", "t1", 7, "Look at https://x.example/a?b and www.y.example now\nFrom: nobody in particular", "a", "Re: Plans"),
+    email("d", "t1", 11, " \n ", "b"),
+    email("e", "t2", 0, "A question\n----- Original Message -----\nwith its own quote", "gone", ""),
+    email("f", "t2", 1, "Answer\n---- Forwarded message ----\nA question\n----- Original Message -----\nwith its own quote!", "e", "x", micros=5),
+    email("g", "t3", 0, "  "),
+]
+WRITTEN_FILES = [
+    attachment("1", "b", "z.txt", " late file "), attachment("2", "b", "a.txt", "early file"), attachment("3", "a", "n.txt", None),
+    attachment("4", "d", "lost.txt", "of an empty email"), attachment("5", "e", "q.txt", "ftp://host/path kept"),
+]
+# Written down by hand from the layout.
+WRITTEN_DOCUMENTS = {
+    "t1": """===== Begin Email Thread =====
+
+Subject: Plans
+
+--- Email 1 ---
+Date: 2024-01-01 00:05:00
+
+First body.
+--- End Email ---
+
+--- Email 2 ---
+Date: 2024-01-01 00:07:00
+
+Look at  and  now
+From: nobody in particular
+--- End Email ---
+
+--- Email 3 ---
+Date: 2024-01-01 00:09:00
+
+I agree.
+
+--- Begin Attachment: a.txt (None) ---
+early file
+--- End Attachment ---
+
+--- Begin Attachment: z.txt (None) ---
+late file
+--- End Attachment ---
+--- End Email ---
+
+===== End Email Thread =====""",
+    "t2": """===== Begin Email Thread =====
+
+Subject: (no subject)
+
+--- Email 1 ---
+Date: 2024-01-01 00:00:00
+
+A question
+----- Original Message -----
+with its own quote
+
+--- Begin Attachment: q.txt (None) ---
+ kept
+--- End Attachment ---
+--- End Email ---
+
+--- Email 2 ---
+Date: 2024-01-01 00:01:00.000005
+
+Answer
+--- End Email ---
+
+===== End Email Thread =====""",
+}
+LAYOUTS = [MailConfig(), MailConfig(heavy_chars=60), MailConfig(heavy_chars=1), MailConfig(heavy_rows=2), MailConfig(heavy_chars=60, small_keys=0)]
+
+
+def joined(rows):
     got = {}
     for row in sorted(rows, key=lambda r: (r.thread_id, r.segment)):
         got[row.thread_id] = got.get(row.thread_id, "") + row.text
-    assert got == expected
-    if cfg == MailConfig():
-        assert {r.segment for r in rows} == {0}
+    return got
+
+
+@pytest.mark.parametrize("cfg", LAYOUTS)
+def test_documents_as_written_by_hand(spark, cfg):
+    assert joined(threads.thread_documents(*frames(spark, WRITTEN_MAILS, WRITTEN_FILES), cfg).collect()) == WRITTEN_DOCUMENTS
 
 
-def test_documents_without_attachments(spark):
-    emails, _ = random_mail(8)
+@pytest.mark.parametrize("cfg", LAYOUTS[1:])
+def test_segments_add_up_to_the_document(spark, cfg):
+    emails, files = random_mail(7)
+    whole = threads.thread_documents(*frames(spark, emails, files)).collect()
+    assert {r.segment for r in whole} == {0}
+    assert joined(threads.thread_documents(*frames(spark, emails, files), cfg).collect()) == joined(whole)
     mail, _ = frames(spark, emails)
-    plain = {r.thread_id: r.text for r in threads.thread_documents(mail).collect()}
-    assert plain == {t: d for t in {e[1] for e in emails} if (d := expected_document([e for e in emails if e[1] == t], []))}
-    heavy = threads.thread_documents(mail, None, MailConfig(heavy_chars=1)).orderBy("thread_id", "segment").collect()
-    joined = {}
-    for row in heavy:
-        joined[row.thread_id] = joined.get(row.thread_id, "") + row.text
-    assert joined == plain
+    assert joined(threads.thread_documents(mail, None, cfg).collect()) == joined(threads.thread_documents(mail).collect())
 
 
 def test_one_thread_holds_most_rows(spark):
     emails = [email(f"h{i:04d}", "hot", i, f"text {i}", f"h{i - 1:04d}") for i in range(600)]
     emails += [email(f"c{i}", f"c{i}", 0, "cold") for i in range(50)]
     mail, _ = frames(spark, emails)
-    cfg = MailConfig(heavy_chars=500)
-    rows = threads.thread_documents(mail, None, cfg).collect()
-    hot = sorted((r for r in rows if r.thread_id == "hot"), key=lambda r: r.segment)
+    rows = threads.thread_documents(mail, None, MailConfig(heavy_chars=500)).collect()
+    hot = [r for r in rows if r.thread_id == "hot"]
     assert len(hot) > 5 and max(len(r.text) for r in hot) < 10_000
-    assert "".join(r.text for r in hot) == expected_document([e for e in emails if e[1] == "hot"], [])
-    assert len({r.thread_id for r in rows}) == 51
+    text = joined(rows)["hot"]
+    assert [f"--- Email {i + 1} ---\nDate: {T0 + timedelta(minutes=i)}\n\ntext {i}\n--- End Email ---" in text for i in range(600)] == [True] * 600
+    assert text.count("--- Email ") == 600 and len({r.thread_id for r in rows}) == 51
 
 
 @pytest.mark.parametrize("heavy_rows", [1_000_000, 3])
@@ -156,6 +194,26 @@ def test_quote_split_prefers_list_order(spark):
         assert pair == (None if not found else [body[:found.start()], body[found.end():]])
 
 
+def test_quote_split_on_long_lines(spark):
+    """A line with many possible starts and no end, and a long run of dashes."""
+    line = "on and on " * 100_000
+    bodies = [line, line + "wrote: tail", "wrote: " + line, "-" * 300_000, "-" * 300_000 + " Original Message ----x", "a\n" + line + "\nOn day x wrote: c\nd"]
+    start = time.perf_counter()
+    got = [r[0] for r in spark.createDataFrame([(b,) for b in bodies], "b string").coalesce(1).select(quote_split(F.col("b"))).collect()]
+    assert time.perf_counter() - start < 30
+    assert got == [None, ["", " tail"], None, None, ["", "x"], ["a\n" + line + "\n", " c\nd"]]
+
+
+def test_near_copies_are_quotes(spark):
+    """The diff decides: a copy with one word in fifty replaced, and one with half."""
+    words = [f"word{i}" for i in range(50)]
+    near, far = [*words[:25], "other", *words[26:]], [w if i % 2 else "qqzz" for i, w in enumerate(words)]
+    mails = [email("p", body=" ".join(words)), email("n", minutes=1, body=f"near\nOn day x wrote:\n{' '.join(near)}", parent="p"),
+             email("f", minutes=2, body=f"far\nOn day x wrote:\n{' '.join(far)}", parent="p")]
+    got = {r.id: r.text for r in strip_quotes(frames(spark, mails)[0], MailConfig(autojunk=False)).collect()}
+    assert got["n"] == "near" and got["f"].startswith("far\nOn day x")
+
+
 def test_autojunk_and_prefix_options(spark):
     parent = "a longer parent body with enough of its own words to matter, line one\n" * 5
     quoted = "\n".join("> " + line for line in parent.strip().split("\n"))
