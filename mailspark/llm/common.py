@@ -27,14 +27,6 @@ def sized(df: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, rows) else df
 
 
-def small_table(spark: SparkSession, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
-    """A few known rows as literals of a plan."""
-    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, schema.items())]) for row in rows]
-    kind = ", ".join(f"{n}: {t}" for n, t in schema.items())
-    values = F.array(*structs) if structs else F.array()
-    return spark.range(1).select(F.inline(values.cast(f"array<struct<{kind}>>")))
-
-
 def groups_in_order(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of a partition that is sorted by integer ``keys``.
 

@@ -21,16 +21,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailspark.llm.common import small_table
 from mailspark.operators.skew import sums_by_range
 from mailspark.session import checkpointed, stored
 
 BINS = 4096
 LAW = "bytes"
-_SEARCH = {"node": "int", "lo": "bigint", "hi": "bigint", "before": "bigint", "want": "bigint"}
 # Below every id and value.
 _LOWEST = -(1 << 63)
 
@@ -95,71 +93,70 @@ def _bin(value: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi == lo, F.lit(0)).when(value == hi, F.lit(BINS)).otherwise(F.least(part, F.lit(BINS - 1))).cast("int")
 
 
-def _refine(points: DataFrame, search: DataFrame, key: Column) -> DataFrame:
+def _by_node(values: dict[int, int], shards: int) -> Column:
+    """The value of each row's node, from a literal array over node numbers."""
+    return F.get(F.array(*[F.lit(values.get(n)).cast("bigint") for n in range(shards)]), F.col("node"))
+
+
+Search = dict[int, dict[str, int]]
+
+
+def _refine(points: DataFrame, search: Search, key: Column, shards: int) -> Search:
     """One pass: the bin of each node in which the wanted weight is reached.
 
-    ``search (node, lo, hi, before, want)``; ``before`` is what lies below ``lo``.
+    ``search`` has lo, hi, before and want per node; ``before`` lies below ``lo``.
     """
-    inside = points.join(F.broadcast(search), "node").where((key >= F.col("lo")) & (key <= F.col("hi")))
-    binned = inside.groupBy("node", _bin(key, F.col("lo"), F.col("hi")).alias("bin"), "before", "want").agg(
-        F.sum("size").alias("weight"), F.min(key).alias("lo"), F.max(key).alias("hi"))
-    # At most BINS + 1 rows per node; folded per node in bin order.
-    listed = binned.groupBy("node", "before", "want").agg(
-        F.sort_array(F.collect_list(F.struct("bin", "weight", "lo", "hi"))).alias("bins"))
-    start = F.struct(F.col("before").alias("before"), F.lit(False).alias("found"), F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("hi"))
-    folded = F.aggregate("bins", start, lambda a, b: F.when(a["found"], a).otherwise(
-        F.when(a["before"] + b["weight"] >= F.col("want"),
-               F.struct(a["before"].alias("before"), F.lit(True).alias("found"), b["lo"].alias("lo"), b["hi"].alias("hi")))
-        .otherwise(F.struct((a["before"] + b["weight"]).alias("before"), F.lit(False).alias("found"), b["lo"].alias("lo"), b["hi"].alias("hi")))))
-    return listed.select("node", "want", folded.alias("f")).select("node", "want", "f.lo", "f.hi", "f.before")
-
-
-def _search(points: DataFrame, search: DataFrame, key: Column) -> DataFrame:
+    open_ = {n: s for n, s in search.items() if s["lo"] < s["hi"]}
+    lo, hi = (_by_node({n: s[end] for n, s in open_.items()}, shards) for end in ("lo", "hi"))
+    inside = points.select("node", "size", key.alias("key"), lo.alias("lo"), hi.alias("hi")).where("key >= lo AND key <= hi")
+    binned = inside.groupBy("node", _bin(F.col("key"), F.col("lo"), F.col("hi")).alias("bin")).agg(
+        F.sum("size").alias("weight"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    # At most BINS + 1 rows per node; summed up in bin order.
+    before = F.sum("weight").over(Window.partitionBy("node").orderBy("bin")) - F.col("weight") + _by_node({n: s["before"] for n, s in open_.items()}, shards)
+    reached = binned.withColumn("before", before).where(F.col("before") + F.col("weight") >= _by_node({n: s["want"] for n, s in open_.items()}, shards))
+    found = reached.groupBy("node").agg(F.min_by(F.struct("lo", "hi", "before"), "bin").alias("r")).select("node", "r.*")
+    narrowed = {r["node"]: {"lo": r["lo"], "hi": r["hi"], "before": r["before"], "want": search[r["node"]]["want"]} for r in found.collect()}
+    return {**search, **narrowed}
+
+
+def _search(points: DataFrame, search: Search, key: Column, shards: int) -> Search:
     """Narrows ``lo..hi`` of all nodes to the one key at which ``want`` is reached."""
     for _ in range(64):
-        rows = search.collect()  # a row per node of the level
-        if all(r["lo"] == r["hi"] for r in rows):
+        if all(s["lo"] == s["hi"] for s in search.values()):
             return search
-        search = small_table(points.sparkSession, [tuple(r) for r in _refine(points, search, key).select(*search.columns).collect()], _SEARCH)
+        search = _refine(points, search, key, shards)
     raise RuntimeError("the median search did not settle")
 
 
-def _split(points: DataFrame, nodes: dict[int, _Node], names: list[str], whole: dict[str, float | None]) -> list[tuple]:
+def _split(
+    points: DataFrame, nodes: dict[int, _Node], names: list[str], whole: dict[str, float | None], shards: int,
+) -> list[tuple]:
     """``node, dim, value, place, length``: the last key of the left part of each node."""
-    spark = points.sparkSession
-    stats = _widest(points, names, whole).collect()
-    start, dims = [], {}
-    for r in stats:
-        shards = nodes[r["node"]].shards
+    search, dims = {}, {}
+    for r in _widest(points, names, whole).collect():  # a row per node of the level
+        parts = nodes[r["node"]].shards
         # The left part ends with the row that reaches its share, or just before.
-        want = max(1, (2 * r["bytes"] * (shards // 2) + shards) // (2 * shards))
-        start.append((r["node"], r["lo"], r["hi"], 0, want))
+        want = max(1, (2 * r["bytes"] * (parts // 2) + parts) // (2 * parts))
+        search[r["node"]] = {"lo": r["lo"], "hi": r["hi"], "before": 0, "want": want}
         dims[r["node"]] = r["dim"]
-    dim = small_table(spark, list(dims.items()), {"node": "int", "dim": "int"})
-    coordinate = F.get(F.array(*[F.col(n) for n in names]), F.col("dim"))
-    on = points.join(F.broadcast(dim), "node").withColumn("value", coordinate)
-    by_value = _search(on, small_table(spark, start, _SEARCH), F.col("value"))
-    found = {r["node"]: r for r in by_value.collect()}
-    if not found:
+    if not search:
         return []
-    exact = small_table(spark, [(n, r["lo"]) for n, r in found.items()], {"node": "int", "value": "bigint"})
-    rows = on.join(F.broadcast(exact), ["node", "value"])
-    for key in ("place", "length"):
-        bounds = {r["node"]: r for r in rows.groupBy("node").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
-        search = small_table(
-            spark, [(n, bounds[n]["lo"], bounds[n]["hi"], r["before"], r["want"]) for n, r in found.items()], _SEARCH)
-        narrowed = {r["node"]: r for r in _search(rows, search, F.col(key)).collect()}
-        last = small_table(spark, [(n, r["lo"]) for n, r in narrowed.items()], {"node": "int", key: "bigint"})
-        rows = rows.join(F.broadcast(last), ["node", key])
-        found = narrowed
-    # The row that reaches the share goes to the side where it errs less.
-    keys = rows.groupBy("node", "dim", "value", "place", "length").agg(F.sum("size").alias("weight")).collect()
+    rows = points.withColumn("value", F.get(F.array(*[F.col(n) for n in names]), _by_node(dims, shards).cast("int")))
+    keys: dict[str, dict[int, int]] = {}
+    for key in ("value", "place", "length"):
+        if keys:
+            bounds = rows.groupBy("node").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+            search = {r["node"]: {**search[r["node"]], "lo": r["lo"], "hi": r["hi"]} for r in bounds}
+        search = _search(rows, search, F.col(key), shards)
+        keys[key] = {n: s["lo"] for n, s in search.items()}
+        rows = rows.where(F.col(key) == _by_node(keys[key], shards))
     cuts = []
-    for r in keys:
-        at = found[r["node"]]
+    for r in rows.groupBy("node").agg(F.sum("size").alias("weight")).collect():
+        n, at = r["node"], search[r["node"]]
+        # The row that reaches the share goes to the side where it errs less.
         over = at["before"] + r["weight"] - at["want"]
         left = over <= at["want"] - at["before"]
-        cuts.append((r["node"], r["dim"], r["value"], r["place"], r["length"] if left else r["length"] - 1))
+        cuts.append((n, dims[n], keys["value"][n], keys["place"][n], keys["length"][n] - (not left)))
     return cuts
 
 
@@ -183,7 +180,7 @@ def k_d_tree(points: DataFrame, names: list[str], shards: int) -> list[list[tupl
         # Nodes are named after their first shard, so closed ones keep their name.
         open_ = [k for k, n in nodes.items() if n.shards > 1]
         active = points.where(F.col("node").isin(open_)) if len(open_) < len(nodes) else points
-        cuts = [(*c, nodes[c[0]].first + nodes[c[0]].shards // 2) for c in _split(active, nodes, names, whole)]
+        cuts = [(*c, nodes[c[0]].first + nodes[c[0]].shards // 2) for c in _split(active, nodes, names, whole, shards)]
         if not cuts:
             break
         levels.append(cuts)
