@@ -263,21 +263,27 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict, dict]:
     if not toxic or not clean:
         return {}, {}
     share = len(toxic) / (len(toxic) + len(clean))
-    forms: dict[str, set] = defaultdict(set)
-    holders: dict[str, set] = defaultdict(set)
+    families: dict[int, list[str]] = defaultdict(list)
     for text, family in zip(toxic, _families(toxic)):
-        for word in set(_TOKEN.findall(text.lower())) - _QUOTES:
-            if len(word) < 3:
-                continue
-            holders[word].add(family)
+        families[family].append(text)
+    # In how many families an entry occurs; a stem counts with three forms or more.
+    holders: Counter = Counter()
+    for texts_ in families.values():
+        entries = set()
+        for word in {w for text in texts_ for w in _TOKEN.findall(text.lower())} - _QUOTES:
+            if len(word) >= 3:
+                entries.add(word)
+                entries.update(word[:n] + "*" for n in STEMS if n < len(word))
+        holders.update(entries)
+    able = {w: n for w, n in holders.items() if share ** n < CHANCE}
+    del holders
+    forms: dict[str, set] = {w: set() for w in able if w.endswith("*")}
+    for text in toxic:
+        for word in set(_TOKEN.findall(text.lower())):
             for n in STEMS:
-                if n < len(word):
-                    holders[word[:n] + "*"].add(family)
+                if n < len(word) and word[:n] + "*" in forms:
                     forms[word[:n] + "*"].add(word)
-    able = {
-        w: len(f) for w, f in holders.items()
-        if share ** len(f) < CHANCE and (not w.endswith("*") or len(forms[w]) >= 3)}
-    del forms, holders
+    able = {w: n for w, n in able.items() if w not in forms or len(forms[w]) >= 3}
     in_clean: Counter = Counter()
     for text in dict.fromkeys(clean):
         seen = set()
