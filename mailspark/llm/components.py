@@ -19,20 +19,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = checkpointed(pairs.where("a < b").distinct())
-    before = None
     for _ in range(rounds):
-        pairs = checkpointed(_small_star(_large_star(pairs)))
-        # Stars have settled once a round leaves the same edges.
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
+        if _are_stars(pairs):
             break
-        before = now
+        pairs = checkpointed(_small_star(_large_star(pairs)))
     else:
         raise RuntimeError("components did not settle")
     nodes = pairs.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return nodes.unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, or only larger ones."""
+    one, none = F.lit(1), F.lit(0)
+    ends = pairs.select(F.col("b").alias("node"), one.alias("down"), none.alias("up")).unionByName(
+        pairs.select(F.col("a").alias("node"), none.alias("down"), one.alias("up")))
+    roles = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return roles.where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Joins every larger neighbour of a node to the smallest node around it."""
     around = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
