@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailspark.llm.textbytes import mix, word_bounds
-from mailspark.session import stored
+from mailspark.session import checkpointed, stored
 
 REACH = 24
 _LONG = 8 * REACH
@@ -130,7 +130,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     have as well; ``first_doc`` is the smallest document that has its beginning."""
     made = stored(chunks(docs), "chunks")
     seen = made.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-    seen = seen.where("first_doc < last_doc").select("digest", "first_doc")
+    # A table of its own, so that the join below can split a very common chunk.
+    seen = checkpointed(seen.where("first_doc < last_doc").select("digest", "first_doc"))
     # Rows that share a document give the same chunk twice.
     repeated = made.join(seen, "digest").drop("digest").dropDuplicates(["doc", "number", "start", "end"])
     place = Window.partitionBy("doc").orderBy("number", "start")
