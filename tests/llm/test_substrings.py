@@ -59,6 +59,23 @@ def test_removal_keeps_the_first(documents):
     assert without_repeats(docs).columns == docs.columns
 
 
+def test_stretches_are_cut_where_the_holder_changes(documents):
+    a, b, c = (prose(s, 60) for s in (11, 12, 13))
+    grown = [(1, f"{a} {b}"), (2, f"{a} {b} {c}"), (3, f"{a} {b} {c}")]
+    shrunk = [(1, a), (2, f"{c} {a}"), (3, f"{c} {a}")]
+    for rows, old in ((grown, f"{a} {b}"), (shrunk, a)):
+        texts, docs = dict(rows), documents(rows)
+        got = {r["doc_id"]: r for r in documents_with_repeats(docs).collect()}
+        for i in texts:
+            for p in got[i]["passages"]:
+                assert texts[i].encode()[p["start"]:p["end"]] in texts[p["first_doc"]].encode()
+        # A byte more where the space before or behind is the same.
+        assert [got[i]["removable"] - n for i, n in ((1, 0), (2, len(old)), (3, len(texts[3])))] == [0, 0, 0]
+        assert {p["first_doc"] for p in got[2]["passages"]} == {p["first_doc"] for p in got[3]["passages"]} == {1, 2}
+        left = {r["doc_id"]: r["text"].strip() for r in without_repeats(docs).collect()}
+        assert left == {1: texts[1], 2: c, 3: ""}
+
+
 def test_characters_stay_whole(documents):
     passage = " ".join("äöüßéèêç"[k % 8] * 3 + str(k) for k in range(120))
     got = without_repeats(documents([(1, "x " + passage), (2, "yy " + passage + " Schluß")])).collect()
