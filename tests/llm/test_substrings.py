@@ -76,6 +76,28 @@ def test_stretches_are_cut_where_the_holder_changes(documents):
         assert left == {1: texts[1], 2: c, 3: ""}
 
 
+def test_short_words(documents):
+    """Passages of 51 words that few whole chunks fit in, at their exact place."""
+    def words(seed, n):
+        rng = random.Random(seed)
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([2, 3, 3, 4]))) for _ in range(n))
+
+    rows, want = [], {}
+    for p in range(30):
+        passage = words(1000 + p, 51)
+        for _ in range(2):
+            i = len(rows)
+            head = words(i, 40 + i % 7)
+            rows.append((i, f"{head} {passage} {words(5000 + i, 40)}"))
+            want[i] = (len(head) + 1, len(head) + 1 + len(passage))
+    got = {r["doc_id"]: r["passages"] for r in documents_with_repeats(documents(rows)).collect()}
+    assert set(got) == set(want)
+    for i, (start, end) in want.items():
+        (p,) = got[i]
+        # A letter more can be equal by chance, and with it a word more begins.
+        assert start - 6 <= p["start"] <= start and end <= p["end"] <= end + 6 and 51 <= p["words"] <= 53
+
+
 def test_characters_stay_whole(documents):
     passage = " ".join("äöüßéèêç"[k % 8] * 3 + str(k) for k in range(120))
     got = without_repeats(documents([(1, "x " + passage), (2, "yy " + passage + " Schluß")])).collect()
