@@ -16,9 +16,10 @@ at least one. Posting lists are merged in two passes:
 No list is cut, and no group of copies is expanded into all its pairs.
 
 Cases: a null or empty text has an empty set and links with nothing. Rows with
-equal sets are one node, named after the smallest doc_id; this is how a row without
-doc_id finds a component. Rows that share a doc_id each get the component of their
-own set.
+equal sets are one node, with a number of its own, so rows that share a doc_id each
+get the component of their own set, and rows without doc_id are compared like others.
+A component is named after its smallest doc_id, or null if none of its rows has one.
+Of a component the text of one row is kept, one that has this doc_id.
 """
 
 from __future__ import annotations
@@ -163,15 +164,20 @@ def _leader_pairs(posts: DataFrame, nodes: DataFrame, matches: int) -> DataFrame
     return scored.groupBy("node").agg(best).select(F.col("node").alias("a"), (-F.col("best.col3")).alias("b"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Full shingle sets, as bytes, of the documents in ``ids (node)``."""
+def _sets(docs: DataFrame, prints: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """Full shingle sets, as bytes, of the classes in ``ids (node, least, text_mark)``, from
+    the row that stands for each."""
     def run(batches):
         for batch in batches:
             sets = [shingle_set(text.as_py(), width).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary())], ["node", "shingles"])
 
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text"))
-    picked = picked.join(sized(ids), "node", "left_semi")
+    ids = sized(ids)
+    same = F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("mark") == F.col("text_mark"))
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    picked = texts.join(ids, same).select("node", "text")
+    if not prints.select("doc_id", "mark").join(ids, same).groupBy("node").count().where("count > 1").isEmpty():
+        picked = picked.dropDuplicates(["node"])
     return picked.mapInArrow(run, "node bigint, shingles binary")
 
 
@@ -317,35 +323,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, matches:
 
     Documents link if their sets of ``width``-word shingles have a Jaccard
     similarity of at least ``percent`` in a hundred; ``component_id`` is the
-    smallest doc_id reachable over links, and ``kept`` says that it is the row's own.
+    smallest doc_id reachable over links, and ``kept`` says that the row's text is the
+    one that stays of its component.
     """
     prints = stored(fingerprints(docs, width), "fingerprints")
     digests = ["d0", "d1"]
     classes = prints.where("n > 0").groupBy(*digests).agg(
-        F.min("doc_id").alias("node"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in _PACKED])
-    classes = stored(classes, "classes")
-    nodes = classes.where("node IS NOT NULL")
+        F.min("doc_id").alias("least"), F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("text_mark"),
+        F.min("n").alias("n"), *[F.min(s).alias(s) for s in _PACKED])
+    # Class numbers come from partition and place and are written down before use.
+    nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    names = nodes.select("node", "least", "text_mark")
     posts = stored(postings(nodes, matches), "postings")
 
     stars = checkpointed(_leader_pairs(posts, nodes, matches))
     members = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    star_sets = stored(_sets(docs, members, width), "sets")
+    star_sets = stored(_sets(docs, prints, checkpointed(names.join(members, "node")), width), "sets")
     links = stored(_confirmed(stars, star_sets, percent), "links")
     known = checkpointed(components(links)).select(F.col("node").alias("of"), "component")
 
     open_members = stored(_open_members(_tiles(posts, nodes, known), matches, percent), "open")
-    rest = checkpointed(open_members.select("node").distinct())
-    tile_sets = _sets(docs, rest, width)
+    rest = checkpointed(names.join(open_members.select("node").distinct(), "node"))
+    tile_sets = _sets(docs, prints, rest, width)
     more = stored(_tile_links(open_members, tile_sets, percent), "links")
     found = checkpointed(components(links.unionByName(more))).select(F.col("node").alias("of"), "component")
 
-    of_class = classes.select(*digests, "node").join(found, F.col("node") == F.col("of"), "left")
-    of_class = of_class.select(*digests, F.coalesce("component", "node").alias("component"))
+    of_class = nodes.select(*digests, "node", "least", "text_mark").join(found, F.col("node") == F.col("of"), "left")
+    of_class = stored(of_class.select(*digests, "node", "least", "text_mark", F.coalesce("component", "node").alias("component")), "components")
+    # The class that stays: of those with the smallest doc_id, or of all without any, the first.
+    stays = of_class.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "text_mark", "node")).alias("first"))
+    of_class = of_class.join(stays, "component").select(
+        *digests, F.col("first.least").alias("component"),
+        F.when(F.col("first.node") == F.col("node"), F.col("text_mark")).alias("stays"))
     joined = prints.select("doc_id", "mark", "n", *digests).join(of_class, digests, "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    own = F.col("doc_id").eqNullSafe(F.col("component")) & F.col("mark").eqNullSafe(F.col("stays"))
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"), "mark",
+        F.when(F.col("n") > 0, own).otherwise(True).alias("kept"), "mark",
     )
 
 

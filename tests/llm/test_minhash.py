@@ -110,6 +110,23 @@ def test_repeated_rows_stay_once(documents):
     assert sorted((r["doc_id"] or 0) for r in without_near_duplicates(docs).collect()) == [0, 1, 4, 5]
 
 
+def test_shared_and_missing_ids(documents):
+    """Different texts under one doc_id or none are compared on their own."""
+    def pair(name):
+        words = [f"{name}{i}" for i in range(60)]
+        return " ".join(words), " ".join(words[:-1] + ["z"])
+
+    (a, a2), (c, c2), (e, e2) = pair("a"), pair("c"), pair("e")
+    b, d = pair("b")[0], pair("d")[0]
+    rows = [(7, a), (7, b), (3, a2), (None, c), (None, c2), (None, c2), (None, d), (9, e), (9, e2), (11, e2)]
+    docs = documents(rows)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect()}
+    assert got == {(7, 56, 3), (7, 56, 7), (3, 56, 3), (None, 56, None), (9, 56, 9), (11, 56, 9)}
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in without_near_duplicates(docs).collect())
+    assert [i for i, _ in left] == [0, 0, 3, 7, 9]
+    assert left[0][1] in (c, c2) and left[1:4] == [(0, d), (3, a2), (7, b)] and left[4][1] in (e, e2)
+
+
 def test_words():
     assert len(word_hashes("a  bb c\nA".encode())) == 3
     a, b = word_hashes("Ab aB".encode())
