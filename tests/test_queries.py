@@ -1,6 +1,10 @@
 """Every registered query against its SQL."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -51,3 +55,19 @@ def test_entry(spark):
 
 def test_all_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_core_queries_need_no_training_operators(tmp_path):
+    here = os.path.join(os.path.dirname(os.path.abspath(__file__)), "..")
+    shutil.copytree(os.path.join(here, "mailspark"), tmp_path / "mailspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(os.path.join(here, name), tmp_path)
+    script = (
+        "from __spark_entry__ import entry, oracle_sql, queries\n"
+        "from mailspark.session import local_session\n"
+        f"print(len(queries()), 'pipeline' in queries(), queries()['thread_metadata'](local_session('t', 2, 2), {SF!r}).count())"
+    )
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, check=True,
+                         env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    number, pipeline, found = out.stdout.split()[-3:]
+    assert int(number) > 40 and pipeline == "False" and int(found) > 0
