@@ -178,6 +178,21 @@ rows AS (
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, kind, turn) AS seq, turn, role, status, len(errors) = 0 AS valid, errors, json FROM rows
 """
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_OP12 = f"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+rows AS (SELECT row_no, doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM texts),
+keyed AS (SELECT *, translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM rows),
+often AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 5
+),
+marked AS (SELECT k.*, o.key IS NOT NULL AND k.doc_id IS DISTINCT FROM o.keeper AS gone FROM keyed k LEFT JOIN often o USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY row_no, doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": _OP1,
     "op4_mixing": _OP4,
@@ -185,4 +200,5 @@ ORACLES: dict[str, str] = {
     "op6_html_extraction": _OP6,
     "op7_decontamination": _OP7,
     "op8_chat_formatting": _OP8,
+    "op12_line_dedup": _OP12,
 }

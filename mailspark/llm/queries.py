@@ -10,6 +10,7 @@ from mailspark.llm.common import table
 from mailspark.llm.decontamination import contaminated
 from mailspark.llm.embeddings import embedding_duplicates
 from mailspark.llm.html_text import main_text
+from mailspark.llm.lines import line_digests
 from mailspark.llm.minhash import near_duplicates
 from mailspark.llm.mixing import mixed_sizes
 from mailspark.llm.sharding import shard_documents
@@ -68,6 +69,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, language.fit(documents))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_texts(spark)
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -79,4 +85,5 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op12_line_dedup": op12_line_dedup,
 }
