@@ -193,6 +193,90 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY row_no, doc_id
 """
 
+# Damage needs crc32, which DuckDB lacks; the cheapest edits are found turn by turn, with
+# at most two inserts before each turn, as a search over the states of the grammar.
+_OP13 = f"""
+WITH RECURSIVE poly AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+),
+spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT) AS bytes
+  FROM conversations
+),
+summed AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, bytes),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) % 256) + 1])), 4294967295) % 20 AS kind
+  FROM spaced, poly
+),
+hurt AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM summed WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, rtrim(text, {_BLANKS}) AS body FROM hurt
+),
+judged AS (
+  SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS duplicate,
+    right(body, 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1) AS before
+  FROM placed
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT duplicate) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS last
+  FROM judged GROUP BY conv_id
+),
+inserts(p, s, icost, ins) AS (VALUES
+  (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+edges(s, ch, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+moves AS (
+  SELECT p, s AS q, icost + 4 AS c, ins || 'D' AS a, NULL AS ch, TRUE AS delete FROM inserts
+  UNION ALL SELECT p, q, icost, ins || 'K', ch, FALSE FROM inserts JOIN edges USING (s)
+  UNION ALL SELECT p, q, icost + 3, ins || 'R', NULL, FALSE FROM inserts JOIN edges USING (s) WHERE ch <> 's'
+),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS n, 0 AS state, 0 AS cost, '' AS audit FROM counts
+  UNION ALL
+  SELECT conv_id, n, state, best.c, best.a FROM (
+    SELECT w.conv_id, j.n, m.q AS state,
+      min({{'c': w.cost + m.c + CASE WHEN NOT m.delete AND j.cut THEN 3 ELSE 0 END, 'a': w.audit || m.a}}) AS best
+    FROM ways w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.n = w.n + 1
+    JOIN moves m ON m.p = w.state AND (m.delete OR NOT (j.blank OR j.duplicate)) AND (m.ch IS NULL OR m.ch = j.initial)
+    GROUP BY w.conv_id, j.n, m.q
+  )
+),
+tails(state, more, rest) AS (VALUES (0, 0, ''), (1, 6, 'II'), (2, 3, 'I'), (3, 0, '')),
+chosen AS (
+  SELECT w.conv_id, min({{'c': cost + more, 'a': audit || rest}}) AS best
+  FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.last = w.n JOIN tails USING (state) GROUP BY w.conv_id
+),
+letters AS (
+  SELECT conv_id, unnest(range(1, length(best.a) + 1)) AS i, unnest(string_split(best.a, '')) AS e,
+    length(replace(best.a, 'D', '')) AS size FROM chosen WHERE best.a <> ''
+),
+steps AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER upto AS n, count(*) FILTER (e <> 'D') OVER upto AS k
+  FROM letters WINDOW upto AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)
+),
+left_over AS (
+  SELECT s.conv_id, s.i, CASE WHEN e = 'K' THEN role WHEN (k + size) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line
+  FROM steps s LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.n = s.n AND e <> 'I' WHERE e <> 'D'
+),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS whole FROM left_over GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN chosen b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": _OP1,
     "op4_mixing": _OP4,
@@ -201,4 +285,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": _OP7,
     "op8_chat_formatting": _OP8,
     "op12_line_dedup": _OP12,
+    "op13_conversation_repair": _OP13,
 }

@@ -13,6 +13,7 @@ from mailspark.llm.html_text import main_text
 from mailspark.llm.lines import line_digests
 from mailspark.llm.minhash import near_duplicates
 from mailspark.llm.mixing import mixed_sizes
+from mailspark.llm.repair import damaged, repair_report
 from mailspark.llm.sharding import shard_documents
 from mailspark.llm.substrings import documents_with_repeats
 
@@ -74,6 +75,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), conversations)
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -86,4 +92,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
     "op12_line_dedup": op12_line_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
