@@ -178,6 +178,28 @@ rows AS (
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, kind, turn) AS seq, turn, role, status, len(errors) = 0 AS valid, errors, json FROM rows
 """
 
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND len(a.e) = len(b.e) AND a.vec_id IS DISTINCT FROM b.vec_id
+),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+),
+negatives AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank,
+    other AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _OP12 = f"""
 WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -284,6 +306,7 @@ ORACLES: dict[str, str] = {
     "op6_html_extraction": _OP6,
     "op7_decontamination": _OP7,
     "op8_chat_formatting": _OP8,
+    "op11_hard_negatives": _OP11,
     "op12_line_dedup": _OP12,
     "op13_conversation_repair": _OP13,
 }

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailspark.llm import language, toxicity
 from mailspark.llm.chat import TOOLS, format_chat, tool_exchanges
 from mailspark.llm.common import table
 from mailspark.llm.decontamination import contaminated
 from mailspark.llm.embeddings import embedding_duplicates
+from mailspark.llm.hard_negatives import hard_negatives
 from mailspark.llm.html_text import main_text
 from mailspark.llm.lines import line_digests
 from mailspark.llm.minhash import near_duplicates
@@ -70,6 +72,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, language.fit(documents))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_texts(spark)
     return line_digests(table(spark, sf_dir, "documents"))
@@ -91,6 +99,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_line_dedup": op12_line_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
