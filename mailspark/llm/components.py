@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailspark.session import checkpointed
 
 
+def forest(left: np.ndarray, right: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each linked row number with the smallest that its links, within a task, reach."""
+    label = np.arange(nodes)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[left], label[right])
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(nodes))
+    return moved, label[moved]
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges (a, b)``.
 

@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailspark.llm.common import groups_in_order, in_groups, sized
-from mailspark.llm.components import components
+from mailspark.llm.components import components, forest
 from mailspark.llm.textbytes import mix, shingle_set
 from mailspark.session import checkpointed, stored
 
@@ -121,20 +122,23 @@ def _frequencies(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """``(token, node)`` for the rarest ``COORDINATES - matches + 1`` coordinates."""
+def _prefix(tokens: np.ndarray, frequencies: np.ndarray, matches: int) -> np.ndarray:
+    """Places of the rarest ``COORDINATES - matches + 1`` coordinates in each row."""
+    often = frequencies[(tokens % np.uint64(_BUCKETS)).astype(np.int64)]
+    # By bucket frequency, then by value: the same order in every row.
+    return np.lexsort((tokens, often), axis=1)[:, :COORDINATES - matches + 1]
+
+
+def postings(nodes: DataFrame, frequency: Broadcast, matches: int = MATCHES) -> DataFrame:
+    """``(token, node)`` for the coordinates in the prefix of each node."""
     prefix = COORDINATES - matches + 1
-    frequency = nodes.sparkSession.sparkContext.broadcast(_frequencies(nodes))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             tokens = _tokens(_minima(_packed_columns(batch)))
-            often = frequency.value[(tokens % np.uint64(_BUCKETS)).astype(np.int64)]
-            # By bucket frequency, then by value: the same order in every row.
-            order = np.lexsort((tokens, often), axis=1)[:, :prefix]
-            chosen = np.take_along_axis(tokens, order, axis=1)
+            chosen = np.take_along_axis(tokens, _prefix(tokens, frequency.value, matches), axis=1)
             ids = batch.column("node").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(chosen.ravel().view(np.int64)), pa.array(np.repeat(ids, prefix))], ["token", "node"])
@@ -245,9 +249,10 @@ def _sides(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
 
 
-def _open_members(tiles: DataFrame, matches: int, percent: int) -> DataFrame:
+def _open_members(tiles: DataFrame, frequency: Broadcast, matches: int, percent: int) -> DataFrame:
     """Members with a partner in another component of their tile that reaches the
-    match threshold and is not ruled out by its size."""
+    match threshold and is not ruled out by its size. A pair that shares several lists
+    is looked at in the one with the smallest token."""
     def run(batches):
         for tile in groups_in_order(batches, _TILE):
             left, right = _sides(tile)
@@ -259,11 +264,19 @@ def _open_members(tiles: DataFrame, matches: int, percent: int) -> DataFrame:
             able &= 100 * size[right][None, :] >= percent * size[left][:, None]
             x, y = np.nonzero(able)
             minima = _minima(_packed_columns(tile))
+            tokens = _tokens(minima)
+            listed = np.zeros(tokens.shape, dtype=bool)
+            np.put_along_axis(listed, _prefix(tokens, frequency.value, matches), True, axis=1)
+            here = np.uint64(tile.column("token")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
             hit = np.zeros(tile.num_rows, dtype=bool)
             for at in range(0, len(x), 1 << 15):
                 a, b = left[x[at:at + (1 << 15)]], right[y[at:at + (1 << 15)]]
-                met = (minima[a] == minima[b]).sum(axis=1) >= matches
-                hit[a[met]] = hit[b[met]] = True
+                same = minima[a] == minima[b]
+                met = np.flatnonzero(same.sum(axis=1) >= matches)
+                a, b = a[met], b[met]
+                shared = np.where(same[met] & listed[a] & listed[b], tokens[a], np.uint64(0xFFFFFFFFFFFFFFFF))
+                first = shared.min(axis=1) == here
+                hit[a[first]] = hit[b[first]] = True
             if hit.any():
                 yield from tile.filter(pa.array(hit)).select([*_TILE, "node", "component", "block"]).combine_chunks().to_batches()
 
@@ -273,7 +286,7 @@ def _open_members(tiles: DataFrame, matches: int, percent: int) -> DataFrame:
 
 def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components of a tile, confirmed on the
-    full sets; per member and component of the other side, one link."""
+    full sets. Of the links a forest is left: at most one row per member."""
     def run(batches):
         for tile in groups_in_order(batches, _TILE):
             left, right = _sides(tile)
@@ -287,9 +300,8 @@ def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             linked &= component[left][:, None] != component[right][None, :]
             x, y = np.nonzero(linked)
             if len(x):
-                a, b = node[left[x]], node[right[y]]
-                _, one = np.unique(np.stack([a, component[right[y]]]), axis=1, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["a", "b"])
+                member, root = forest(left[x], right[y], tile.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(node[member]), pa.array(node[root])], ["a", "b"])
 
     joined = members.join(sets, "node")
     return in_groups(joined, _TILE).mapInArrow(run, "a bigint, b bigint")
@@ -334,7 +346,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, matches:
     # Class numbers come from partition and place and are written down before use.
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     names = nodes.select("node", "least", "text_mark")
-    posts = stored(postings(nodes, matches), "postings")
+    frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(nodes))
+    posts = stored(postings(nodes, frequency, matches), "postings")
 
     stars = checkpointed(_leader_pairs(posts, nodes, matches))
     members = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
@@ -342,7 +355,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, matches:
     links = stored(_confirmed(stars, star_sets, percent), "links")
     known = checkpointed(components(links)).select(F.col("node").alias("of"), "component")
 
-    open_members = stored(_open_members(_tiles(posts, nodes, known), matches, percent), "open")
+    open_members = stored(_open_members(_tiles(posts, nodes, known), frequency, matches, percent), "open")
     rest = checkpointed(names.join(open_members.select("node").distinct(), "node"))
     tile_sets = _sets(docs, prints, rest, width)
     more = stored(_tile_links(open_members, tile_sets, percent), "links")

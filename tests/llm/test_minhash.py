@@ -3,7 +3,7 @@ import re
 import pytest
 
 from mailspark.llm.components import components
-from mailspark.llm.minhash import near_duplicates, without_near_duplicates
+from mailspark.llm.minhash import _tile_links, near_duplicates, without_near_duplicates
 from mailspark.llm.textbytes import shingle_set, word_hashes
 
 from .conftest import CLASHING
@@ -127,6 +127,18 @@ def test_shared_and_missing_ids(documents):
     assert left[0][1] in (c, c2) and left[1:4] == [(0, d), (3, a2), (7, b)] and left[4][1] in (e, e2)
 
 
+@pytest.mark.parametrize("n", [50, 200])
+def test_a_tile_leaves_a_forest(spark, n):
+    """Singletons that are all alike: fewer links than members, and one component."""
+    members = spark.createDataFrame(
+        [(1, 0, 0, i, i, 0) for i in range(n)], "token bigint, i int, j int, node bigint, component bigint, block int")
+    sets = spark.createDataFrame(
+        [(i, shingle_set(f"{' '.join(map(str, range(60)))} own{i}".encode(), 2).tobytes()) for i in range(n)], "node bigint, shingles binary")
+    links = _tile_links(members, sets, 80)
+    assert links.count() == n - 1
+    assert {r["component"] for r in components(links).collect()} == {0}
+
+
 def test_words():
     assert len(word_hashes("a  bb c\nA".encode())) == 3
     a, b = word_hashes("Ab aB".encode())
