@@ -274,6 +274,10 @@ meta AS (
       FROM ({chunk_rows("thread_id")}) r JOIN final f USING (thread_id) JOIN meta m USING (thread_id)"""
     sql["vector_topk"] = """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1)
       SELECT vec_id, label, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) DESC, vec_id LIMIT 10"""
+    sql["vector_topk_index"] = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      scored AS (SELECT q.vec_id AS question_id, r.vec_id, list_cosine_similarity(q.e, r.e) AS s FROM v q JOIN v r ON q.vec_id % 20 = 0),
+      ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY s DESC, vec_id) AS INT) AS rank FROM scored)
+      SELECT question_id, rank, vec_id, ROUND(s, 6) AS score FROM ranked WHERE rank <= 10"""
     sql["embed_threads_segmented"] = sql["embed_threads"]
     sql["collection_state"] = mail + f"""SELECT thread_id, CAST(regexp_extract(id, '-([0-9]+)$', 1) AS BIGINT) AS chunk_no,
       CASE WHEN thread_id IN {pending} AND kind <> 2 THEN 'new ' || body ELSE body END AS text

@@ -15,6 +15,7 @@ from mailspark.config import MailConfig
 from mailspark.functions import dates, files, html, mime, text
 from mailspark.operators import chunking, collection, dump, embedding, ingest, quotes, search, stats, summarize, threads
 from mailspark.operators.collection import mark_embedded
+from mailspark.operators.vector_index import VectorIndex
 from mailspark.plans.ingest import MailStore
 from mailspark.plans.threads import build_threads, chunked_documents
 from mailspark.schemas import COLLECTION
@@ -478,6 +479,36 @@ def vector_topk(spark, sf):
     return found.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+def _vector_index(spark, sf):
+    """An index of all vectors, and every twentieth vector as a question."""
+    vectors = table(spark, sf, "embeddings")
+    index = VectorIndex(spark, scratch_path(spark, "vector-index"))
+    index.build(vectors, ("vec_id",))
+    return index, vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question"), "embedding")
+
+
+@query
+def vector_topk_index(spark, sf):
+    index, questions = _vector_index(spark, sf)
+    found = index.search(questions, 10, exact=True)
+    return found.select(F.col("question").alias("question_id"), "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_index_recall(spark, sf):
+    """How many of the ten best rows each question finds in the cells it probes, and
+    the share of all rows that it reads for them."""
+    index, questions = _vector_index(spark, sf)
+    near, best = (index.search(questions, 10, exact=exact).select("question", "vec_id") for exact in (False, True))
+    hits = best.join(near.withColumn("hit", F.lit(1)), ["question", "vec_id"], "left").groupBy("question").agg(
+        F.count("*").alias("best"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found"))
+    sizes = F.broadcast(index.cells().select("cell", "n"))
+    total = index.cells().agg(F.sum("n")).first()[0]
+    probed = index.probed(questions.withColumnRenamed("embedding", "v")).join(sizes, "cell").groupBy("question").agg(F.sum("n").alias("read"))
+    share = F.round(F.col("read") / total, 4).alias("share_read")
+    return hits.join(probed, "question").select(F.col("question").alias("question_id"), "best", "found", share)
+
+
 @query
 def metadata_filter(spark, sf):
     points = table(spark, sf, "embeddings").select("vec_id", F.struct("label").alias("metadata"))
