@@ -254,6 +254,7 @@ meta AS (
     sql["chunk_documents"] = "WITH " + chunk_ctes("documents", "doc_id") + chunk_rows("doc_id")
     thread_chunks = with_mail(DOCS, chunk_ctes("docs", "thread_id"))
     sql["chunk_threads"] = thread_chunks + chunk_rows("thread_id")
+    sql["chunk_threads_resumed"] = sql["chunk_threads"]
     sql["chunk_count"] = thread_chunks + "SELECT thread_id, CAST(len(pieces) AS BIGINT) AS chunk_count FROM chunked"
     sql["summarize_gate"] = thread_chunks + "SELECT thread_id, CAST(len(pieces) AS BIGINT) AS chunk_count, len(pieces) > 3 AS is_summarized FROM chunked"
     sql["summarize_threads"] = with_mail(DOCS, summary_ctes("docs")) + "SELECT thread_id, summary FROM summaries"

@@ -17,6 +17,7 @@ from mailspark.operators import chunking, collection, dump, embedding, ingest, q
 from mailspark.operators.collection import mark_embedded
 from mailspark.operators.vector_index import VectorIndex
 from mailspark.plans.ingest import MailStore
+from mailspark.plans.resume import ThreadChunks
 from mailspark.plans.threads import build_threads, chunked_documents
 from mailspark.schemas import COLLECTION
 from mailspark.session import scratch_path
@@ -424,6 +425,19 @@ def chunk_threads(spark, sf):
     return chunking.explode_chunks(documents(spark, sf), chunks, "thread_id")
 
 
+@query
+def chunk_threads_resumed(spark, sf):
+    """Two thirds of the mails as one batch, then the others, which fall into the middle
+    and to the end of threads."""
+    emails, attachments = fixtures.emails(spark, sf), fixtures.attachments(spark, sf)
+    store = ThreadChunks(spark, scratch_path(spark, "thread-chunks"), CFG)
+    late = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    early = emails.where(~late)
+    store.update(0, early.select("thread_id", "id"), early, attachments.join(early.select(F.col("id").alias("email_id")), "email_id", "left_semi"))
+    store.update(1, emails.where(late).select("thread_id", "id"), emails, attachments)
+    return store.chunks()
+
+
 def _counted(spark, sf):
     return chunked_documents(fixtures.emails(spark, sf), fixtures.attachments(spark, sf), CFG)
 

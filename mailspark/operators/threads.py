@@ -65,21 +65,21 @@ def email_attachments(emails: DataFrame, attachments: DataFrame) -> DataFrame:
     return joined.fillna(0, ["attachments_count", "attachments_size"])
 
 
-def _email_head(number: Column, date: Column, text: Column) -> Column:
+def email_head(number: Column, date: Column, text: Column) -> Column:
     return F.concat(
         F.lit("--- Email "), number.cast("string"), F.lit(" ---\nDate: "),
         F.coalesce(datetime_text(date), F.lit("None")), F.lit("\n\n"), text,
     )
 
 
-def _attachment_block(filename: Column, extension: Column, text: Column) -> Column:
+def attachment_block(filename: Column, extension: Column, text: Column) -> Column:
     return F.concat(
         F.lit("\n\n--- Begin Attachment: "), filename, F.lit(" ("), F.coalesce(extension, F.lit("None")),
         F.lit(") ---\n"), strip(text), F.lit(END_ATTACHMENT),
     )
 
 
-def _document_head(subject: Column) -> Column:
+def document_head(subject: Column) -> Column:
     shown = F.when(F.coalesce(subject, F.lit("")) == "", NO_SUBJECT).otherwise(strip(subject))
     return F.concat(F.lit(f"{BEGIN_THREAD}\n\nSubject: "), shown)
 
@@ -88,7 +88,7 @@ def _weight(text: str) -> Column:
     return F.coalesce(F.length(text), F.lit(0)).cast("bigint") + _MARKS
 
 
-def _has_text() -> Column:
+def has_text() -> Column:
     return F.coalesce(F.col("text_content"), F.lit("")) != ""
 
 
@@ -108,7 +108,7 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
     if files is None:
         rows = emails.select("thread_id", mail, F.array().cast("array<string>").alias("blocks")).repartition("thread_id")
     else:
-        block = F.when(_has_text(), _attachment_block(F.col("filename"), F.col("extension"), F.col("text_content")))
+        block = F.when(has_text(), attachment_block(F.col("filename"), F.col("extension"), F.col("text_content")))
         block = F.struct("filename", "id", block.alias("block"))
         parts = emails.select("thread_id", F.col("id").alias("email_id"), mail).unionByName(
             files.select("thread_id", "email_id", block.alias("file")), allowMissingColumns=True,
@@ -159,13 +159,13 @@ def _whole_documents(emails: DataFrame, files: DataFrame | None, cfg: MailConfig
     def email_part(item: Column, index: Column) -> Column:
         text = F.get(F.col("texts"), index)
         part = F.concat(
-            _email_head(index + 1, item["date"], text), F.array_join(item["blocks"], ""), F.lit(END_EMAIL),
+            email_head(index + 1, item["date"], text), F.array_join(item["blocks"], ""), F.lit(END_EMAIL),
         )
         return F.when(text != "", part)
 
     # array_join leaves out the NULL parts of empty emails.
     text = F.concat(
-        _document_head(F.col("mails")[0]["subject"]), F.lit("\n\n"),
+        document_head(F.col("mails")[0]["subject"]), F.lit("\n\n"),
         F.array_join(F.transform("mails", email_part), "\n\n"), F.lit(TAIL),
     )
     mails = F.col("mails")
@@ -202,16 +202,16 @@ def _segmented_documents(emails: DataFrame, files: DataFrame, cfg: MailConfig) -
     none = F.lit("").alias("filename"), F.lit("").alias("file_id")
     blocks = files.join(written, "email_id").select(
         "email_id", F.lit(1).alias("kind"), "filename", F.col("id").alias("file_id"),
-        _attachment_block(F.col("filename"), F.col("extension"), F.col("text_content")).alias("text"))
+        attachment_block(F.col("filename"), F.col("extension"), F.col("text_content")).alias("text"))
     texts = own.select("email_id", F.lit(0).alias("kind"), *none, "text").unionByName(blocks).unionByName(
         written.select("email_id", F.lit(2).alias("kind"), *none, F.lit(END_EMAIL).alias("text")))
-    head = F.concat(F.lit("\n\n"), _email_head(F.col("n"), F.col("date"), F.col("text")))
+    head = F.concat(F.lit("\n\n"), email_head(F.col("n"), F.col("date"), F.col("text")))
     order = ["part", "date", "email_id", "kind", "filename", "file_id"]
     pieces = texts.join(keys, "email_id").select(
         "thread_id", "segment", F.lit(1).alias("part"), *order[1:], F.when(F.col("kind") == 0, head).otherwise(F.col("text")).alias("piece"))
 
     subjects = emails.groupBy("thread_id").agg(F.min(F.struct("date", "id", "subject")).alias("root"))
-    subjects = subjects.select(F.col("thread_id").alias("_thread"), _document_head(F.col("root.subject")).alias("head"))
+    subjects = subjects.select(F.col("thread_id").alias("_thread"), document_head(F.col("root.subject")).alias("head"))
     ends = keys.join(written, "email_id", "left_semi").groupBy("thread_id").agg(F.min("segment").alias("first"), F.max("segment").alias("last"))
     ends = ends.join(subjects, F.col("thread_id").eqNullSafe(F.col("_thread")))
     marks = ends.select("thread_id", F.inline(F.array(
@@ -251,7 +251,7 @@ def document_parts(
         none = large.limit(0).select("thread_id", "date", F.col("id").alias("email_id"), "id")
         large_files = none.select("*", *[F.lit("").alias(c) for c in ("filename", "extension", "text_content")])
     else:
-        large_files = heavy.inside(files.where(_has_text()))
+        large_files = heavy.inside(files.where(has_text()))
     return light, _segmented_documents(large, large_files, cfg)
 
 

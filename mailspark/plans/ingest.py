@@ -88,8 +88,10 @@ class MailStore:
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/writer={writer}/batch={batch}")
 
     def _write_sorted(self, rows: DataFrame, name: str, writer: str, batch: int) -> None:
-        # Rebalancing makes few files of a small batch and splits a hot bucket.
-        self._write(rows.hint("rebalance", "bucket").sortWithinPartitions("bucket"), name, writer, batch)
+        # Rebalancing makes few files of a small batch and splits a hot bucket. Inside a
+        # thread, mails lie by date, so the statistics of pages find the late ones.
+        order = [c for c in ("bucket", "thread_id", "date", "email_id") if c in rows.columns]
+        self._write(rows.hint("rebalance", "bucket").sortWithinPartitions(*order), name, writer, batch)
 
     def _commit(self, writer: str, batch: int, emails: int, mark: int | None) -> None:
         row = self.spark.range(1).select(F.lit(emails).cast("bigint").alias("emails"), F.lit(mark).cast("bigint").alias("mark"))
