@@ -31,10 +31,14 @@ def last_per_key(df: DataFrame, keys: list[str], order: str | Column) -> DataFra
     return picked.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def usable_messages(parsed: DataFrame) -> DataFrame:
+    """Parsed messages that could be read and have an id."""
+    return parsed.where(F.col("error").isNull() & (F.coalesce("message_id", F.lit("")) != ""))
+
+
 def message_rows(parsed: DataFrame) -> DataFrame:
     """Parsed messages with an id, one per id, the first in input order."""
-    usable = parsed.where(F.col("error").isNull() & (F.coalesce("message_id", F.lit("")) != ""))
-    return first_per_key(usable, ["message_id"], "input_order")
+    return first_per_key(usable_messages(parsed), ["message_id"], "input_order")
 
 
 def absent(rows: DataFrame, stored: DataFrame, key: str = "id", small: int = MailConfig.small_keys) -> DataFrame:

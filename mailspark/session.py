@@ -64,6 +64,22 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none if it does not exist."""
+    system, folder = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    system, folder = _file_system(spark, path)
+    system.delete(folder, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a parquet table in the shared scratch folder, for results that
     several steps read or that must not be computed twice."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailspark.sources.headers import Source
 from mailspark.sources.messages import parse_messages, parse_resource
 
 INBOX = "INBOX"
@@ -78,3 +79,12 @@ def parse_resources(resources: DataFrame) -> DataFrame:
     prepared = resources.select(order, F.sha2("raw", 256).alias("raw_hash"), "raw")
     parsed = parse_messages(prepared, ("raw",), _parser, ("input_order", "raw_hash"))
     return parsed.withColumn("message_id", F.coalesce("message_id", "raw_hash")).drop("raw_hash")
+
+
+def scan_resources(resources: DataFrame) -> DataFrame:
+    """``input_order`` and ``message_id`` from the envelope alone."""
+    named = F.coalesce(F.get(F.map_values(F.map_filter("headers", lambda k, _: k == "message-id")), 0), F.sha2("raw", 256))
+    return resources.select(F.struct("internal_date", "resource_id").alias("input_order"), F.nullif(named, F.lit("")).alias("message_id"))
+
+
+RESOURCES = Source(scan_resources, parse_resources, ("internal_date", "resource_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailspark.sources.headers import Source, header_id
 from mailspark.sources.messages import parse_mail, parse_messages
 
 # A message starts at every line that begins with this; the reader consumes it.
@@ -89,6 +90,18 @@ def parse_mbox(records: DataFrame) -> DataFrame:
     return parse_messages(placed, ("value",), lambda: _parse_record, ("input_order",))
 
 
+def scan_mbox(records: DataFrame) -> DataFrame:
+    """``input_order`` and, where the headers leave no doubt, ``message_id`` of records,
+    without parsing a message."""
+    text = F.col("value").cast("string")
+    # The first record of a file has its envelope line whole, or is no plain message.
+    odd = F.col("is_first") & ~text.startswith(ENVELOPE.decode())
+    return records.select(F.struct("path", "block", "row").alias("input_order"), F.when(~odd, header_id(text)).alias("message_id"))
+
+
+MBOX = Source(scan_mbox, parse_mbox, ("path", "block", "row"))
+
+
 def render_mbox(emails: DataFrame) -> DataFrame:
     """Emails as mbox text, one message per row, for ``df.write.text``.
 

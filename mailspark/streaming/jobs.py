@@ -22,6 +22,7 @@ from mailspark.operators.summarize import Summarizer
 from mailspark.plans.ingest import MailStore
 from mailspark.plans.threads import build_threads
 from mailspark.session import scratch_scope
+from mailspark.sources.headers import Source
 
 POLL_INTERVAL = "20 seconds"
 EMBED_INTERVAL = "10 seconds"
@@ -34,15 +35,18 @@ def _start(stream: DataFrame, body, checkpoint: str, once: bool, interval: str)
 
 
 def ingest_stream(
-    records: DataFrame, parse: Callable[[DataFrame], DataFrame], store: MailStore, checkpoint: str,
+    records: DataFrame, parse: Source | Callable[[DataFrame], DataFrame], store: MailStore, checkpoint: str,
     once: bool = False, interval: str = POLL_INTERVAL, extra: dict | None = None,
 ) -> StreamingQuery:
     """Stores new messages from arriving files; known ids are skipped for good,
-    not just within a watermark."""
+    not just within a watermark. With a ``Source`` only new messages are parsed."""
     def body(batch: DataFrame, batch_id: int) -> None:
         # The id of the query lives in its checkpoint.
         writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        store.insert_new(parse(batch), batch_id, writer=writer, extra=extra)
+        if isinstance(parse, Source):
+            store.insert_records(batch, parse, batch_id, writer=writer, extra=extra)
+        else:
+            store.insert_new(parse(batch), batch_id, writer=writer, extra=extra)
 
     return _start(records, body, checkpoint, once, interval)
 
