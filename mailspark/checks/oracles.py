@@ -241,6 +241,12 @@ meta AS (
     sql["store_insert"] = sql["parse_mbox"].replace("CAST(len(refs) AS INT) AS n_references, ", "")
     sql["mbox_scan"] = mail + "SELECT id AS message_id, COUNT(*) AS n FROM emails GROUP BY id"
     sql["parse_gmail"] = mail + f"SELECT id, thread_id, subject, in_reply_to, date, sender, 'second@example.com' AS recipients, {strip('body')} AS body FROM emails"
+    sql["parse_mbox_multipart"] = mail + f"""SELECT id, 'Größe ' || id AS subject, sender, date,
+      CASE WHEN CAST(regexp_extract(id, '-([0-9]+)$', 1) AS INT) % 2 = 1 THEN 'Answer ' || id ELSE {strip('body')} END AS body,
+      'note.TXT' AS filename, '.txt' AS extension, 'text/plain' AS mime_type, CAST(length('file of ' || id) AS INT) AS size, 'file of ' || id AS text_content FROM emails"""
+    sql["quarantine"] = mail + "SELECT id, CAST(regexp_extract(id, '^m([0-9]+)-', 1) AS BIGINT) % 7 = 0 AS rejected FROM emails"
+    sql["incremental_poll"] = mail + """SELECT id AS resource_id, CAST(epoch_ms(date) AS BIGINT) AS internal_date FROM emails
+      WHERE date > (SELECT max(date) FROM emails WHERE date <= (SELECT min(date) + INTERVAL '10' DAY FROM emails))"""
     sql["header_map"] = mail + "SELECT id, subject, 'second@example.com' AS last_to, CAST(6 AS INT) AS n FROM emails"
     sql["gmail_scan"] = mail + "SELECT id AS resource_id, thread_id, CAST(epoch_ms(date) AS BIGINT) AS internal_date FROM emails WHERE is_embedded AND date > (SELECT MIN(date) + INTERVAL '5' DAY FROM emails)"
     sql["incremental_since"] = "SELECT event_id, ts FROM events WHERE ts > (SELECT MAX(ts) FROM events WHERE event_type = 'signup')"

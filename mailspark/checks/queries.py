@@ -324,10 +324,75 @@ def store_insert(spark, sf):
     for part in (emails.where("is_embedded"), emails, emails):
         path = scratch_path(spark, "mbox")
         mbox.render_mbox(part).write.text(path)
-        store.insert_new(mbox.parse_mbox(mbox.read_mbox(spark, path)))
+        store.insert_records(mbox.read_mbox(spark, path), mbox.MBOX)
     return store.emails().select("id", "thread_id", "subject", "in_reply_to", "date", "sender", "body")
 
 
+def _multipart(spark, sf):
+    """The emails as mbox text with encoded headers, folded ids, a text or an HTML part,
+    and two files under one name, of which the last counts."""
+    def encoded(text):
+        return F.replace(F.base64(F.encode(text, "UTF-8")), F.lit("\r\n"), F.lit("\n"))
+
+    emails = fixtures.emails(spark, sf)
+    turn = F.regexp_extract("id", r"-([0-9]+)$", 1).cast("int")
+    word = F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(F.concat(F.lit("Größe "), F.col("id")), "UTF-8")), F.lit("?="))
+    page = F.concat(F.lit("<html><body><p>Answer <b>"), F.col("id"), F.lit("</b></p></body></html>"))
+    text = F.when(turn % 2 == 1, F.concat(F.lit("Content-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), encoded(page)))
+    text = text.otherwise(F.concat(F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), encoded(F.col("body"))))
+
+    def file(content):
+        return F.concat(
+            F.lit("\n--cut\nContent-Type: text/plain\nContent-Disposition: attachment; filename=\"note.TXT\"\nContent-Transfer-Encoding: base64\n\n"),
+            encoded(content))
+
+    folded = F.when(turn % 3 == 0, "\n ").otherwise(" ")
+    lines = F.concat(
+        F.lit("From "), F.col("sender"), F.lit(" Mon Jan  1 08:00:00 2024\nSubject: "), word, F.lit("\nMessage-ID:"), folded, F.col("id"),
+        F.lit("\nFrom: "), F.col("sender"), F.lit("\nDate: "), F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss '+0000'"),
+        F.lit("\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=cut\n\n--cut\n"), text,
+        file(F.lit("old")), file(F.concat(F.lit("file of "), F.col("id"))), F.lit("\n--cut--\n"))
+    path = scratch_path(spark, "mbox")
+    emails.select(lines.alias("value")).write.text(path)
+    return mbox.read_mbox(spark, path)
+
+
+@query
+def parse_mbox_multipart(spark, sf):
+    """Messages with parts through the store, twice; the second time nothing is new."""
+    store = MailStore(spark, scratch_path(spark, "store"))
+    for _ in range(2):
+        store.insert_records(_multipart(spark, sf), mbox.MBOX)
+    found = store.attachments().withColumnRenamed("id", "file_id")
+    joined = store.emails().join(found, F.col("id") == F.col("email_id"))
+    return joined.select("id", "subject", "sender", "date", "body", "filename", "extension", "mime_type", "size", "text_content")
+
+
+@query
+def quarantine(spark, sf):
+    """Resources of which every seventh thread's cannot be read: these are set aside, the
+    others are stored."""
+    found = mailapi._envelope(_resources(spark, sf))
+    broken = F.regexp_extract("resource_id", "^m([0-9]+)-", 1).cast("bigint") % 7 == 0
+    raw = F.when(broken, F.regexp_replace("raw", '"parts":', '"parts":7,"_":')).otherwise(F.col("raw"))
+    store = MailStore(spark, scratch_path(spark, "store"))
+    store.insert_records(found.withColumn("raw", raw), mailapi.RESOURCES)
+    aside = store.rejected().select(F.regexp_extract("place", r"(m[0-9]+-[0-9]+)\}", 1).alias("id"), F.lit(True).alias("rejected"))
+    return store.emails().select("id", F.lit(False).alias("rejected")).unionByName(aside)
+
+
+@query
+def incremental_poll(spark, sf):
+    """What a poll fetches after a store has taken the mail of the first ten days."""
+    path = scratch_path(spark, "resources")
+    _resources(spark, sf).write.text(path)
+    found = mailapi.read_resources(spark, path)
+    store = MailStore(spark, scratch_path(spark, "store"))
+    limit = found.agg(F.min("internal_date") + 10 * 86_400_000).scalar()
+    store.insert_records(found.where(F.col("internal_date") <= limit), mailapi.RESOURCES)
+    return mailapi.since(found, store.mark()).select("resource_id", "internal_date")
+
+
 def _resources(spark, sf):
     """The emails as mail-API resources in JSON."""
     def header(name, value):
