@@ -5,26 +5,38 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from email import message_from_bytes, policy
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailspark.functions.html import strip_tags
 from mailspark.functions.mime import DOCX
-from mailspark.functions.text import drop_nul, normalize_text
+from mailspark.functions.text import drop_nul, normalize_text, strip
 
 # Types read as plain text, and archive members worth reading.
 PLAIN_TYPES = ("text/csv", "text/plain", "application/x-wine-extension-ini")
 MEMBER_ENDINGS = (".txt", ".log", ".md", ".csv", ".json", ".yaml", ".yml")
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
+ARCHIVE = "application/zip"
+_MEMBERS = T.ArrayType(
+    T.StructType().add("name", T.StringType()).add("data", T.BinaryType()).add("failure", T.StringType()))
+
 Extractor = Callable[[bytes], str]
 
 
+def _quietly(read: Callable, content, otherwise=None):
+    try:
+        return read(bytes(content))
+    except Exception:
+        return otherwise
+
+
 def _plain(content: bytes) -> str:
     return content.decode("utf-8", errors="ignore")
 
@@ -58,25 +70,55 @@ def _mail(content: bytes) -> str:
     return f"From: {message.get('From')}\nTo: {message.get('To')}\nSubject: {message.get('Subject')}\n\n{body}"
 
 
-# How an archive member is introduced, and one that cannot be read.
-MEMBER_HEAD = "===== {} ====="
-MEMBER_FAILED = "[Could not read file: {}]"
-
+def _unpacked(content: bytes) -> list[dict] | None:
+    """The members of an archive worth reading; None if it is no archive."""
+    def member(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> dict:
+        try:
+            return {"name": entry.filename, "data": archive.read(entry), "failure": None}
+        except Exception as error:
+            return {"name": entry.filename, "data": None, "failure": str(error)}
 
-def _members(content: bytes) -> Iterator[tuple[str, str]]:
-    """Names and texts of the readable members of an archive."""
+    if not zipfile.is_zipfile(io.BytesIO(content)):
+        return None
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        for member in archive.infolist():
-            if not member.filename.lower().endswith(MEMBER_ENDINGS):
-                continue
-            try:
-                yield member.filename, _plain(archive.read(member))
-            except Exception as error:
-                yield member.filename, MEMBER_FAILED.format(error)
+        return [member(archive, e) for e in archive.infolist() if e.filename.lower().endswith(MEMBER_ENDINGS)]
 
 
-def _archive(content: bytes) -> str:
-    return "\n\n".join(f"{MEMBER_HEAD.format(name)}\n{text}" for name, text in _members(content)).strip()
+@F.pandas_udf(_MEMBERS)
+def unpack(contents: pd.Series) -> pd.Series:
+    """The readable members of archives, as rows of name and bytes."""
+    return pd.Series([None if c is None else _quietly(_unpacked, c) for c in contents], dtype="object")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cleaned(contents: pd.Series) -> pd.Series:
+    return pd.Series(
+        [None if cs is None else [None if c is None else _plain(c) for c in cs] for cs in contents], dtype="object")
+
+
+def decoded(contents: Column) -> Column:
+    """An array of binaries as texts, without bytes that are not UTF-8.
+
+    Only binaries that have such bytes leave the JVM.
+    """
+    damaged = lambda c: ~F.is_valid_utf8(c.cast("string"))
+    asked = F.when(F.exists(contents, damaged), F.transform(contents, lambda c: F.when(damaged(c), c)))
+    repaired = F.coalesce(_cleaned(asked), F.array().cast("array<string>"))
+    return F.zip_with(contents, repaired, lambda c, r: F.coalesce(r, c.cast("string")))
+
+
+# How an archive member is introduced, and one that cannot be read.
+MEMBER_HEAD = "===== %s =====\n%s"
+MEMBER_FAILED = "[Could not read file: %s]"
+
+
+def archive_text(content: Column) -> Column:
+    """The texts of an archive's members, each below its name."""
+    members = unpack(content)
+    texts = decoded(F.transform(members, lambda m: m["data"]))
+    shown = F.zip_with(members, texts, lambda m, text: F.format_string(
+        MEMBER_HEAD, m["name"], F.coalesce(text, F.format_string(MEMBER_FAILED, m["failure"]))))
+    return F.coalesce(strip(F.array_join(shown, "\n\n")), F.lit(""))
 
 
 EXTRACTORS: dict[str, Extractor] = {
@@ -85,7 +127,6 @@ EXTRACTORS: dict[str, Extractor] = {
     "text/html": _html,
     DOCX: _docx,
     "message/rfc822": _mail,
-    "application/zip": _archive,
 }
 
 
@@ -97,18 +138,19 @@ def attachment_text(mime: Column, content: Column, extra: dict[str, Extractor] |
     extractors = {**EXTRACTORS, **(extra or {})}
 
     @F.pandas_udf("string")
-    def extract(mimes: pd.Series, contents: pd.Series) -> pd.Series:
-        texts = []
-        for kind, data in zip(mimes, contents):
-            reader = extractors.get(kind)
-            try:
-                texts.append(reader(bytes(data)) if reader and data is not None else "")
-            except Exception:
-                texts.append("")
-        return pd.Series(texts, dtype="object")
-
-    # Other types never leave the JVM, nor do plain texts that are valid UTF-8.
-    plain = mime.isin([kind for kind in PLAIN_TYPES if extractors[kind] is _plain]) & F.is_valid_utf8(content.cast("string"))
-    known = mime.isin(list(extractors)) & ~F.coalesce(plain, F.lit(False))
-    text = F.when(plain, content.cast("string")).otherwise(extract(F.when(known, mime), F.when(known, content)))
+    def extract(kinds: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([
+            "" if data is None or kind not in extractors else _quietly(extractors[kind], data, "")
+            for kind, data in zip(kinds, contents)
+        ], dtype="object")
+
+    # Types nobody reads never leave the JVM, nor do plain texts that are valid UTF-8.
+    plain = mime.isin([kind for kind in PLAIN_TYPES if extractors[kind] is _plain])
+    packed = (mime == ARCHIVE) if ARCHIVE not in extractors else F.lit(False)
+    read = mime.isin(list(extractors)) & ~plain
+    text = (
+        F.when(plain, F.coalesce(decoded(F.array(F.when(plain, content)))[0], F.lit("")))
+        .when(packed, archive_text(F.when(packed, content)))
+        .otherwise(extract(F.when(read, mime), F.when(read, content)))
+    )
     return drop_nul(F.when(mime == "text/html", normalize_text(text)).otherwise(text))

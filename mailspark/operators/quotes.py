@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mailspark.config import QUOTE_PATTERNS, MailConfig
 from mailspark.functions.text import strip
+from mailspark.operators.similarity import alike
 
 # Unicode-aware ignore-case, and "." stops at line feeds only.
 _FLAGS = "(?iud)"
@@ -68,9 +69,14 @@ def _unprefixed(text: Column) -> Column:
 def _diff(left, right, threshold: float, autojunk: bool):
     if left is None or right is None:
         return None
-    matcher = difflib.SequenceMatcher(None, left, right, autojunk)
     # quick_ratio is an upper bound and linear; ratio is quadratic.
-    return matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
+    matcher = difflib.SequenceMatcher(None, left, right, autojunk)
+    if matcher.quick_ratio() < threshold:
+        return False
+    # Below 200 characters there is no junk.
+    if autojunk and len(right) >= 200:
+        return matcher.ratio() >= threshold
+    return alike(left, right, threshold)
 
 
 def diff_verdicts(quoted: Column, originals: Column, cfg: MailConfig) -> Column:

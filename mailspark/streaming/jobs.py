@@ -95,17 +95,20 @@ def embed_stream(
 
 
 def live_metadata(emails: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
-    """Running counts and dates per thread, for a stream in update mode.
+    """Running counts and dates per thread, for a stream in update or complete mode.
 
-    ``attachments`` are rows with ``thread_id``; they count as they arrive, be it
-    before or after their email.
+    ``attachments`` are rows with ``id`` and ``thread_id``; they count as they arrive,
+    be it before or after their email. A mail or a file that arrives again counts
+    once, in whichever batch: its first arrival is kept by id. That state is one key
+    per mail and file, spread by id, so a hot thread is no hot key in it.
     """
-    mails = emails.select("thread_id", "date", "id", "subject", "sender", F.lit(0).alias("files"))
+    mails = emails.select("thread_id", "date", "id", "subject", "sender", F.lit(None).cast("string").alias("file"))
     if attachments is not None:
         none = [F.lit(None).cast(emails.schema[n].dataType).alias(n) for n in ("date", "id", "subject", "sender")]
-        mails = mails.unionByName(attachments.select("thread_id", *none, F.lit(1).alias("files")))
+        mails = mails.unionByName(attachments.select("thread_id", *none, F.col("id").cast("string").alias("file")))
+    arrived = mails.dropDuplicates(["id", "file"])
     root = F.min_by(F.struct("subject", "sender"), F.when(F.col("id").isNotNull(), F.struct("date", "id")))
-    return mails.groupBy("thread_id").agg(
-        root.alias("root"), F.count("id").alias("email_count"), F.sum("files").alias("attachments_count"),
+    return arrived.groupBy("thread_id").agg(
+        root.alias("root"), F.count("id").alias("email_count"), F.count("file").alias("attachments_count"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     ).select("thread_id", "root.*", "email_count", "attachments_count", "first_date", "last_date")

@@ -235,6 +235,12 @@ def test_attachment_texts(spark):
     frame = spark.createDataFrame([(i, m, bytearray(c)) for i, (m, c, _) in enumerate(cases)], "i int, m string, c binary")
     got = [r[1] for r in frame.select("i", F.coalesce(files.attachment_text(F.col("m"), F.col("c")), F.lit(""))).orderBy("i").collect()]
     assert got == [expected for *_, expected in cases]
+    locked = bytearray(zip_bytes({"a.txt": b"A" * 50, "b.txt": b"B"}))
+    at = locked.index(b"A" * 50)
+    locked[at:at + 1] = b"X"  # the checksum no longer fits
+    frame2 = spark.createDataFrame([("application/zip", locked), ("application/zip", None), ("application/zip", bytearray(zip_bytes({})))], "m string, c binary")
+    read = [r[0] for r in frame2.select(files.attachment_text(F.col("m"), F.col("c"))).collect()]
+    assert read == ["===== a.txt =====\n[Could not read file: Bad CRC-32 for file 'a.txt']\n\n===== b.txt =====\nB", "", ""]
     extra = {"application/pdf": lambda data: "pdf of %d bytes" % len(data)}
     got = frame.where("m = 'application/pdf'").select(files.attachment_text(F.col("m"), F.col("c"), extra)).collect()
     assert got[0][0] == "pdf of 4 bytes"

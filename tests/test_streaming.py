@@ -235,3 +235,26 @@ def test_live_metadata(spark, sf, tmp_path):
     counts = {r.thread_id: r.attachments_count for r in jobs.live_metadata(emails, files).collect()}
     assert counts == {r.thread_id: r.attachments_count for r in threads.thread_metadata(emails, fixtures.attachments(spark, sf)).collect()}
     assert sum(counts.values()) > 0
+
+
+def test_live_metadata_counts_repeated_arrivals_once(spark, sf, tmp_path):
+    """Mails that come again in a later batch, after a restart, count once."""
+    emails = fixtures.emails(spark, sf)
+    folder, seen = str(tmp_path / "in"), []
+
+    def arrive(mails):
+        mails.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(emails.schema).parquet(folder)
+        writer = jobs.live_metadata(stream).writeStream.outputMode("complete").trigger(availableNow=True)
+        writer = writer.foreachBatch(lambda batch, _: seen.append({tuple(r) for r in batch.collect()}))
+        writer.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+
+    early = F.crc32(F.encode("id", "utf-8")) % 2 == 0
+    arrive(emails.where(early).union(emails.where(early)))
+    arrive(emails)
+    want = {tuple(r) for r in jobs.live_metadata(emails).collect()}
+    assert seen[-1] == want and seen[0] != want
+    assert sum(r[3] for r in want) == emails.count()
+    attached = fixtures.attachments(spark, sf).join(emails.select(F.col("id").alias("email_id"), "thread_id"), "email_id")
+    assert {tuple(r) for r in jobs.live_metadata(emails, attached).collect()} == {
+        tuple(r) for r in jobs.live_metadata(emails.union(emails), attached.union(attached)).collect()}
