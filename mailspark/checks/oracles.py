@@ -191,6 +191,7 @@ def _oracles() -> dict[str, str]:
       FROM emails e LEFT JOIN emails p ON p.thread_id = e.thread_id AND p.id = e.in_reply_to"""
     sql["quote_split"] = with_mail(QUOTES) + "SELECT id, q[1] AS head, q[2] AS tail FROM quotes"
     sql["quote_strip"] = with_mail(OWN_TEXT) + "SELECT id, text FROM own"
+    sql["quote_diff"] = """SELECT doc_id, 2.0::DOUBLE * ((length(text) * (55 + doc_id % 9 * 5) + 99) // 100) / (2 * (length(text) + 3)) >= 0.8 AS similar FROM documents"""
     sql["thread_document"] = docs + "SELECT thread_id, CAST(0 AS BIGINT) AS segment, text FROM docs"
     sql["thread_document_segmented"] = docs + "SELECT thread_id, text FROM docs"
     metadata = """
@@ -236,6 +237,7 @@ meta AS (
     sql["html_to_text"] = f"""SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) || {NL} || {NL} || '# Title' || {NL} || {NL} || '* one <' || {NL} || '* two & more' AS text FROM conversations"""
     sql["attachment_text"] = f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN '{{' || {NL} || '  "k": ' || doc_id || ',' || {NL} || '  "l": [' || {NL} || '    1' || {NL} || '  ]' || {NL} || '}}'
       WHEN 2 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) WHEN 3 THEN 'From: a@x' || {NL} || 'To: b@x' || {NL} || 'Subject: s ' || doc_id || {NL} || {NL} || {strip('text')} ELSE '' END AS text FROM documents"""
+    sql["attachment_archive"] = f"""SELECT doc_id, '===== in/a.TXT =====' || {NL} || COALESCE(text, '') || {NL} || {NL} || '===== c.json =====' || {NL} || doc_id AS text FROM documents"""
     sql["parse_mbox"] = mail + f"""SELECT id, thread_id, ltrim(subject) AS subject, in_reply_to, CAST(len(refs) AS INT) AS n_references, date, sender,
       {strip("regexp_replace(body, '(?m)^From ', '>From ', 'g')")} AS body FROM emails"""
     sql["store_insert"] = sql["parse_mbox"].replace("CAST(len(refs) AS INT) AS n_references, ", "")
@@ -297,6 +299,8 @@ meta AS (
     lengths = docs.rstrip() + ",\n lengths AS (SELECT CAST(length(text) AS BIGINT) AS len FROM docs)\n"
     sql["length_stats"] = lengths + """SELECT COUNT(*) AS threads, ROUND(AVG(len), 6) AS mean, ROUND(quantile_cont(len, 0.5), 6) AS median, MIN(len) AS min, MAX(len) AS max,
       ROUND(quantile_cont(len, 0.9), 6) AS p90, ROUND(quantile_cont(len, 0.95), 6) AS p95, ROUND(quantile_cont(len, 0.99), 6) AS p99, ROUND(stddev_pop(len), 6) AS stddev FROM lengths"""
+    sql["length_stats_sketch"] = lengths + """SELECT COUNT(*) AS threads, ROUND(AVG(len), 6) AS mean, MIN(len) AS min, MAX(len) AS max, ROUND(stddev_pop(len), 6) AS stddev,
+      TRUE AS median_within, TRUE AS p90_within, TRUE AS p95_within, TRUE AS p99_within FROM lengths"""
     sql["length_histogram"] = lengths + """, kept AS (SELECT len FROM lengths WHERE len <= (SELECT quantile_cont(len, 0.95) FROM lengths)),
       r AS (SELECT MIN(len) AS lo, (MAX(len) - MIN(len)) / 80.0::DOUBLE AS w FROM kept)
       SELECT CAST(LEAST(FLOOR((len - lo) / w), 79) AS BIGINT) AS bin, COUNT(*) AS threads FROM kept, r GROUP BY 1"""

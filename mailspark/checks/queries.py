@@ -6,8 +6,11 @@ first, so their work grows with the tables and their result is known.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from mailspark.plans.ingest import MailStore
 from mailspark.plans.resume import ThreadChunks
 from mailspark.plans.threads import build_threads, chunked_documents
 from mailspark.schemas import COLLECTION
-from mailspark.session import scratch_path
+from mailspark.session import scratch_path, stored
 from mailspark.sources import fixtures, mailapi, mbox, models
 from mailspark.sources.fixtures import table
 
@@ -92,6 +95,23 @@ def quote_strip(emails):
     return quotes.strip_quotes(emails, CFG).select("id", "text")
 
 
+@query
+def quote_diff(spark, sf):
+    """Two halves of a text in either order, with marks that match nothing: the longer
+    half is all that matches, so the ratio is known, while every character occurs in
+    both and only the diff can tell."""
+    share = 55 + F.col("doc_id") % 9 * 5
+    # Rounded up, so the first half is never the shorter one.
+    cut = F.floor((F.length("text") * share + 99) / 100).cast("int")
+    first, rest = F.substring(F.col("text"), F.lit(1), cut), F.substring(F.col("text"), cut + 1, F.length("text"))
+    framed = lambda a, b, marks: F.concat(F.lit(marks[0]), a, F.lit(marks[1]), b, F.lit(marks[2]))
+    pairs = table(spark, sf, "documents").select(
+        "doc_id", framed(first, rest, "\x01\x02\x03").alias("original"), framed(rest, first, "\x04\x05\x06").alias("quoted"))
+    cfg = MailConfig(autojunk=False)
+    verdict = quotes.diff_verdicts(F.array("quoted"), F.array("original"), cfg)[0]
+    return pairs.select("doc_id", F.coalesce(quotes.settled(F.col("quoted"), F.col("original"), cfg), verdict).alias("similar"))
+
+
 @query
 def thread_document(spark, sf):
     return documents(spark, sf)
@@ -296,6 +316,25 @@ def attachment_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", files.attachment_text(mimes, content).alias("text"))
 
 
+@query
+def attachment_archive(spark, sf):
+    """Archives of a document's text, with bytes that are no text, and its number."""
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        archives = []
+        for body, number in zip(texts, numbers):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("in/a.TXT", b"\xff" * (number % 2) + (body or "").encode())
+                archive.writestr("b.png", b"png")
+                archive.writestr("c.json", str(number))
+            archives.append(out.getvalue())
+        return pd.Series(archives, dtype="object")
+
+    archives = table(spark, sf, "documents").select("doc_id", packed("text", "doc_id").alias("content"))
+    return archives.select("doc_id", files.attachment_text(F.lit(files.ARCHIVE), F.col("content")).alias("text"))
+
+
 def _written_mbox(spark, sf):
     path = scratch_path(spark, "mbox")
     mbox.render_mbox(fixtures.emails(spark, sf)).write.text(path)
@@ -637,6 +676,23 @@ def length_stats(spark, sf):
     return found.select(*[F.round(c, 6).alias(c) if c in rounded else c for c in found.columns])
 
 
+@query
+def length_stats_sketch(spark, sf):
+    """Sums, and whether the percentiles are within the error of the sketch."""
+    lengths = stored(_lengths(spark, sf), "lengths")
+    sketches = stats.LengthSketches(spark, scratch_path(spark, "sketches"))
+    batch = F.crc32(F.encode("thread_id", "utf-8")) % 8
+    for number in range(8):
+        sketches.add(number, lengths.where(batch == number))
+    sketches.add(0, lengths.where(batch == 0))
+    found = stored(sketches.read(), "found")
+    errors = stats.rank_errors(lengths, found)
+    within = [(F.col(name) < stats.RANK_ERROR).alias(f"{name}_within") for name in stats.PERCENTILES]
+    exact = found.select("threads", F.round("mean", 6).alias("mean"), "min", "max", F.round("stddev", 6).alias("stddev"))
+    # One row each.
+    return exact.withColumn("_one", F.lit(1)).join(errors.select(*within, F.lit(1).alias("_one")), "_one").drop("_one")
+
+
 @query
 def length_histogram(spark, sf):
     return stats.length_histogram(_lengths(spark, sf))
