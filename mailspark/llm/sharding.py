@@ -3,8 +3,11 @@
 The documents are points in a space of metadata. A node that is to become several
 shards is split along its widest dimension at the weighted median, the weights
 being bytes; with an odd number of shards the split point is the matching
-fraction. Rows are ordered by (value, doc_id, size), so that rows with one value,
-a source that a third of the documents share for instance, are split as well.
+fraction. Rows are ordered by (value, doc_id, size, checksum, row number), so that rows
+with one value, a source that a third of the documents share for instance, are split
+as well, and so are rows without doc_id or with one doc_id for all. Source and
+language count by a 52-bit hash of the whole value: equal values lie together, and
+values that share a prefix differ.
 
 A median is found without sorting the table: the node's bytes are summed in
 ``BINS`` bins between its bounds, the bin that holds the median becomes the new
@@ -13,13 +16,16 @@ pass. Only a few numbers per node leave the executors. Everything runs on a narr
 table of keys and sizes.
 
 Cases: a null text has size 1 and the checksum 0, as the empty text. Null metadata
-come before all other values. Rows that are equal in doc_id and size cannot be told
-apart and stay in one shard. An empty table gives no rows.
+come before all other values. Rows that are equal in everything but their place in the
+table are dealt by the hash of that place; which of them comes where may change if the
+table is read in other partitions. An empty table gives no rows. ``with_shard`` replaces
+columns named size and shard.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +35,8 @@ from mailspark.session import checkpointed, stored
 
 BINS = 4096
 LAW = "bytes"
+# What orders rows of one value; the last differs between any two rows.
+TIES = ("place", "length", "check", "row")
 # Below every id and value.
 _LOWEST = -(1 << 63)
 
@@ -37,22 +45,25 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
 
 
-def _prefix(text: Column) -> Column:
-    """The first six bytes of a string as a number, in byte order; -1 for null."""
-    data = F.substring(F.encode(text, "utf-8"), 1, 6)
-    padded = F.rpad(F.hex(data), 12, "0")
-    return F.coalesce(F.conv(padded, 16, 10).cast("bigint"), F.lit(-1))
+def _category(text: Column) -> Column:
+    """A whole value as a number that doubles hold exactly; -1 for null."""
+    return F.when(text.isNull(), F.lit(-1).cast("bigint")).otherwise(_low_bits(F.xxhash64(text)))
+
+
+def _low_bits(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << 52) - 1))
 
 
 def metadata(docs: DataFrame) -> dict[str, Column]:
-    """The dimensions: whole numbers, in the order in which ties are resolved."""
-    at = {
+    """The dimensions, and what else tells rows apart: whole numbers."""
+    return {
         "place": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOWEST)),
-        "source": _prefix(F.col("source")),
-        "lang": _prefix(F.col("lang")),
+        "source": _category(F.col("source")),
+        "lang": _category(F.col("lang")),
         "length": text_size(F.col("text")),
+        "check": F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")),
+        "row": _low_bits(F.xxhash64(F.monotonically_increasing_id())),
     }
-    return at
 
 
 class _Node:
@@ -131,7 +142,7 @@ def _search(points: DataFrame, search: Search, key: Column, shards: int) -> Sear
 def _split(
     points: DataFrame, nodes: dict[int, _Node], names: list[str], whole: dict[str, float | None], shards: int,
 ) -> list[tuple]:
-    """``node, dim, value, place, length``: the last key of the left part of each node."""
+    """``node, dim, value, *ties``: the last key of the left part of each node."""
     search, dims = {}, {}
     for r in _widest(points, names, whole).collect():  # a row per node of the level
         parts = nodes[r["node"]].shards
@@ -142,37 +153,46 @@ def _split(
     if not search:
         return []
     rows = points.withColumn("value", F.get(F.array(*[F.col(n) for n in names]), _by_node(dims, shards).cast("int")))
-    keys: dict[str, dict[int, int]] = {}
-    for key in ("value", "place", "length"):
-        if keys:
-            bounds = rows.groupBy("node").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
-            search = {r["node"]: {**search[r["node"]], "lo": r["lo"], "hi": r["hi"]} for r in bounds}
+    order = ("value", *TIES)
+    keys: dict[int, list[int]] = {n: [] for n in search}
+    for number, key in enumerate(order):
         search = _search(rows, search, F.col(key), shards)
-        keys[key] = {n: s["lo"] for n, s in search.items()}
-        rows = rows.where(F.col(key) == _by_node(keys[key], shards))
+        for n, s in search.items():
+            keys[n].append(s["lo"])
+        rows = rows.where(F.col(key) == _by_node({n: s["lo"] for n, s in search.items()}, shards))
+        # What is left per node: rows with one value in all keys so far.
+        rest = order[number + 1:]
+        left = rows.groupBy("node").agg(
+            F.sum("size").alias("weight"),
+            *[f(k).alias(f"{p}_{k}") for k in rest for f, p in ((F.min, "lo"), (F.max, "hi"))]).collect()
+        if all(r[f"lo_{k}"] == r[f"hi_{k}"] for r in left for k in rest):
+            for r in left:
+                keys[r["node"]] += [r[f"lo_{k}"] for k in rest]
+            break
+        search = {r["node"]: {**search[r["node"]], "lo": r[f"lo_{rest[0]}"], "hi": r[f"hi_{rest[0]}"]} for r in left}
     cuts = []
-    for r in rows.groupBy("node").agg(F.sum("size").alias("weight")).collect():
+    for r in left:
         n, at = r["node"], search[r["node"]]
         # The row that reaches the share goes to the side where it errs less.
         over = at["before"] + r["weight"] - at["want"]
-        left = over <= at["want"] - at["before"]
-        cuts.append((n, dims[n], keys["value"][n], keys["place"][n], keys["length"][n] - (not left)))
+        stays = over <= at["want"] - at["before"]
+        cuts.append((n, dims[n], *keys[n][:-1], keys[n][-1] - (not stays)))
     return cuts
 
 
 def _advance(node: Column, cuts: list[tuple], at: dict[str, Column], names: list[str]) -> Column:
     """The node a row is in after ``cuts``, which are literals of the expression."""
     moved = node
-    for number, dim, value, place, length, right in cuts:
-        key = F.struct(at[names[dim]].alias("v"), at["place"].alias("p"), at["length"].alias("l"))
-        cut = F.struct(F.lit(value).cast("bigint").alias("v"), F.lit(place).cast("bigint").alias("p"), F.lit(length).cast("bigint").alias("l"))
+    for number, dim, *last, right in cuts:
+        key = F.struct(at[names[dim]].alias("value"), *[at[t].alias(t) for t in TIES])
+        cut = F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in zip(("value", *TIES), last)])
         moved = F.when((node == number) & (key > cut), F.lit(right)).otherwise(moved)
     return moved
 
 
 def k_d_tree(points: DataFrame, names: list[str], shards: int) -> list[list[tuple]]:
-    """The cuts of every level, ``(node, dim, value, place, length, right)`` each:
-    rows of ``node`` above the key (value, place, length) go to node ``right``."""
+    """The cuts of every level, ``(node, dim, value, *ties, right)`` each: rows of
+    ``node`` above the key (value, *ties) go to node ``right``."""
     nodes, levels = {0: _Node(0, shards)}, []
     points = points.withColumn("node", F.lit(0))
     at, whole = {n: F.col(n) for n in points.columns}, _widths(points, names)
@@ -207,11 +227,10 @@ DIMENSIONS = ["source", "lang", "length", "place"]
 
 
 def _points(docs: DataFrame) -> DataFrame:
-    """Narrow rows: id, checksum, dimensions and size."""
+    """Narrow rows: id, dimensions, ties and size."""
     at = metadata(docs)
-    return stored(docs.select(
-        F.col("doc_id").cast("bigint"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"),
-        *[c.alias(n) for n, c in at.items()]).withColumn("size", F.col("length")), "points")
+    points = docs.select(F.col("doc_id").cast("bigint"), *[c.alias(n) for n, c in at.items()])
+    return stored(points.withColumn("size", F.col("length")), "points")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -221,10 +240,10 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """
     points = _points(docs)
     levels = k_d_tree(points, DIMENSIONS, shards)
-    placed = points.withColumn("shard", _shard({n: F.col(n) for n in DIMENSIONS}, levels, DIMENSIONS))
-    counted = sums_by_range(placed, "shard", ["place", "size", "text_crc32"], {"slot": F.lit(1).cast("bigint")})
+    placed = points.withColumn("shard", _shard({n: F.col(n) for n in points.columns}, levels, DIMENSIONS))
+    counted = sums_by_range(placed, "shard", ["place", "size", "check"], {"slot": F.lit(1).cast("bigint")})
     return counted.select(
-        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("slot") - 1).alias("slot"),
+        "doc_id", "size", F.col("check").alias("text_crc32"), F.lit(LAW).alias("law"), "shard", (F.col("slot") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -232,8 +251,11 @@ def with_shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """``docs`` with ``size`` and ``shard``. The tree is found on narrow rows and
     then an expression, so texts are not moved."""
     levels = k_d_tree(_points(docs), DIMENSIONS, shards)
-    shard = _shard(metadata(docs), levels, DIMENSIONS)
-    return docs.withColumns({"size": text_size(F.col("text")), "shard": shard})
+    # Evaluated once per row, in a column of its own, before the tree compares it.
+    key = f"_key_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(key, F.struct(*[c.alias(n) for n, c in metadata(docs).items()]))
+    shard = _shard({n: F.col(key)[n] for n in metadata(docs)}, levels, DIMENSIONS)
+    return keyed.withColumns({"size": F.col(key)["length"], "shard": shard}).drop(key)
 
 
 def shards_for(docs: DataFrame, target_bytes: int) -> int:
