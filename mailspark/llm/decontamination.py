@@ -97,6 +97,16 @@ def _best_stretch(doc: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(item, start, step, lambda a: F.struct(a["best"].alias("score"), a["first"].alias("first"), a["last"].alias("last")))
 
 
+def _best_place(doc: Column, item: Column, shifts: Column) -> Column:
+    """The best stretch over all ``shifts``; of equal scores the first in the document."""
+    def place(shift: Column) -> Column:
+        stretch = F.transform(F.array(_best_stretch(doc, item, shift)), lambda s: F.struct(
+            s["score"].alias("score"), (-(shift + s["first"])).alias("before"), (shift + s["last"] + 1).alias("doc_end")))
+        return stretch[0]
+
+    return F.array_max(F.transform(shifts, place))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, mark, item_id, score, item_words, doc_start, doc_end`` of every item
     found in a document; places are word numbers, ``mark`` is a hash of the text."""
@@ -107,8 +117,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = _windows(_hashed(texts, "doc_id", "mark"), masks, ["doc_id", "mark"])
     small = fits_broadcast(seeds, SMALL_SEEDS)
     hits = windows.join(F.broadcast(seeds) if small else seeds, "seed")
-    # Where an item may lie, each once, however many windows hit.
-    places = stored(hits.select("doc_id", "mark", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
+    # Where an item may lie, each once, however many windows hit; no more places than the
+    # document and the item have words.
+    shift = F.col("at") - F.col("item_at")
+    places = stored(hits.groupBy("doc_id", "mark", "item_id").agg(F.collect_set(shift).alias("shifts")), "hits")
 
     found = places.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()
     if fits_broadcast(found):
@@ -118,17 +130,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit_docs = hit_docs.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("hashes").alias("doc_words"))
     laid = places.join(hit_docs, same).drop("_doc", "_mark")
     laid = laid.join(F.broadcast(items) if small else items, "item_id")
-    best = laid.withColumn("best", _best_stretch(F.col("doc_words"), F.col("hashes"), F.col("shift")))
-    score, words = F.col("best.score"), F.size("hashes")
+    # The best place of each item, written down before it is judged, so that the search
+    # runs once and the words end here.
+    best = stored(laid.select(
+        "doc_id", "mark", "item_id", F.size("hashes").alias("item_words"),
+        _best_place(F.col("doc_words"), F.col("hashes"), F.col("shifts")).alias("best")), "best")
+    words = F.col("item_words")
     part = F.greatest(F.ceil(words * MIN_PART).cast("int"), F.least(words, F.lit(len(SEEDS[0]))))
-    enough = best.where(score >= F.least(F.lit(MIN_SCORE), part))
-    shown = enough.select(
-        "doc_id", "mark", "item_id", score.alias("score"), words.alias("item_words"),
-        (F.col("shift") + F.col("best.first")).alias("doc_start"), (F.col("shift") + F.col("best.last") + 1).alias("doc_end"))
-    # Per document and item, the best place.
-    order = F.struct("score", -F.col("doc_start"))
-    rest = F.struct("score", "item_words", "doc_start", "doc_end")
-    return shown.groupBy("doc_id", "mark", "item_id").agg(F.max_by(rest, order).alias("r")).select("doc_id", "mark", "item_id", "r.*")
+    return best.where(F.col("best.score") >= F.least(F.lit(MIN_SCORE), part)).select(
+        "doc_id", "mark", "item_id", "best.score", "item_words", (-F.col("best.before")).alias("doc_start"), "best.doc_end")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -82,3 +82,12 @@ def test_empty_tables(spark, documents):
 
 def test_seeds():
     assert len({len(s) for s in SEEDS}) == 1 and all(s[0] == s[-1] == "1" for s in SEEDS)
+
+
+def test_very_many_equal_words(spark, documents):
+    """A hundred thousand equal words against an item of thirty: every place is a hit, and
+    the best one is the first."""
+    docs = [(1, "tick " * 100_000), (2, around(["tick"] * 30, 2)), (3, around(["tick"] * 4, 3)), (None, "tick " * 40)]
+    rows = contaminated(documents(docs), bench(spark, [(50, "tick " * 30)])).collect()
+    assert {(r["doc_id"], r["score"], r["doc_start"], r["doc_end"]) for r in rows} == {
+        (1, 30, 0, 30), (2, 30, 15, 45), (None, 30, 0, 30)}
