@@ -1,4 +1,8 @@
-from mailspark.llm.html_text import main_text, read_page
+import math
+import random
+from collections import Counter
+
+from mailspark.llm.html_text import BANDS, NOISE, OPEN, PLAIN, STRENGTH, THRESHOLD, main_text, read_page
 
 from .conftest import CLASHING
 
@@ -63,7 +67,75 @@ def test_cases(spark):
     assert main_text(frame(spark, [])).collect() == []
 
 
-def test_branches():
-    blocks, inside, branches = read_page('<body><div class="a b"><p>x</p></div><div id="c">y</div></body>')
-    assert blocks == ["x", "y"] and [path for path, _, _ in branches] == ["/body/div.a-b", "/body/div.a-b/p", "/body/div#c"]
-    assert inside == [[0, 1], [2]]
+def test_nodes():
+    blocks, inside, nodes, _ = read_page('<body><div class="a b"><p>x</p></div><div id="c">y</div></body>')
+    # Number 0 is the page itself, 1 the body.
+    assert blocks == ["x", "y"] and inside == [[0, 1, 2, 3], [0, 1, 4]] and {n[1] for n in nodes} == {OPEN}
+    blocks, inside, nodes, article = read_page("<body>beside<nav>m</nav><article><p>x<p class=k>y</article><div>z</div></body>")
+    marks = {text: nodes[places[-1]][1] for text, places in zip(blocks, inside)}
+    assert marks == {"beside": NOISE, "m": NOISE, "x": PLAIN, "y": OPEN, "z": NOISE}
+    assert article == read_page("<main><p>x</p></main><footer>f</footer><main><p>y</p></main>")[3]
+
+
+def test_parts_of_an_article_stay_by_importance(spark):
+    """Class words that can name a part of an article do not remove it; being the same on
+    every page does, more surely the more pages there are."""
+    parts = ["widget", "related", "search", "form", "legal", "rail", "hidden"]
+
+    def page(n):
+        inner = "".join(f'<section class="{w}"><p>{w} {n}</p></section>' for w in parts)
+        return f'<body><article><h1>Same title</h1>{inner}<div class="invite">Write to us</div></article></body>'
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)]
+    want = {i: "\n".join(["Same title", *(f"{w} {i}" for w in parts)]) for i in range(20)}
+    assert texts(spark, rows) == want
+    few = texts(spark, rows[:5])
+    assert all(few[i] == want[i] + "\nWrite to us" for i in range(5))
+
+
+def test_importance_decides(spark):
+    """Without the importance of nodes nothing is removed, marked or not."""
+    rows = [(i, f"http://h.example/{i}", PAGE.format(n=i)) for i in range(12)]
+    everything = {r["page_id"]: r["text"] for r in main_text(frame(spark, rows), threshold=-1).collect()}
+    assert all(f"menu {i}" in t and f"other {i}" in t and f"reader says {i}" in t for i, t in everything.items())
+
+
+def test_against_brute_force(spark):
+    """Style trees built page by page in dictionaries give the same texts."""
+    rng = random.Random(5)
+    boxes = ["x1", "x2", "x3", "widget", "ad", "body"]
+
+    def page(n):
+        inner = f"<p>number {n}</p>" + "".join(
+            f'<div class="{rng.choice(boxes)}"><p>{rng.choice(["same words", "two ways", f"text {rng.random()}"])}</p></div>'
+            for _ in range(rng.randrange(1, 6)))
+        return inner if rng.random() < 0.3 else f"<nav>menu {rng.randrange(3)}</nav>loose<article><h1>t {rng.randrange(4)}</h1>{inner}</article>"
+
+    pages = [page(n) for n in range(110)]
+    rows = [(i, f"http://h{rng.choice([0, 0, 0, 1, 2])}.example/{i}", text) for i, text in enumerate(pages + pages[:20])]
+    read = {i: (url.split("/")[2], *read_page(page)) for i, url, page in rows}
+    trees, seen = {}, set()
+    for _, (host, _, _, nodes, article) in sorted(read.items()):
+        if (host, article) in seen:
+            continue
+        seen.add((host, article))
+        trees.setdefault(host, []).append(nodes)
+    importance = {}
+    for host, pages in trees.items():
+        values = {}
+        for key, mark, shape, content in (n for nodes in pages for n in nodes):
+            values.setdefault((key, mark), []).append((shape, content))
+        for (key, mark), found in values.items():
+            n = len(found)
+            shapes, contents = Counter(s for s, _ in found), Counter(c for _, c in found)
+            evidence = 1.0
+            if n > 1:
+                entropy = -sum(c / n * math.log(c / n, n) for c in shapes.values())
+                evidence = max(entropy, 1 - sum(math.log(c, n) for c in contents.values()) / len(contents))
+            low, high = BANDS[mark]
+            importance[host, key] = low + (high - low) * (n * evidence + STRENGTH) / (n + STRENGTH)
+    want = {
+        i: "\n".join(b for b, places in zip(blocks, inside) if all(importance[host, nodes[p][0]] >= THRESHOLD for p in places))
+        for i, (host, blocks, inside, nodes, _) in read.items()}
+    assert texts(spark, rows) == want
+    assert any("same words" in page and "same words" not in want[i] for i, _, page in rows)
