@@ -10,6 +10,8 @@ NL = "CHR(10)"
 SPACES = "'" + WHITESPACE + "'"
 CHUNK = 1792
 TOP_SENTENCES = 5
+# 1000 tokens of 3.5 characters, less the prompt's 857 and the 2 that join it to the text.
+HIERARCHY_BUDGET = 2641
 
 EMAILS = f"""
 b AS (
@@ -134,25 +136,56 @@ def chunk_rows(key: str, name: str = "chunked") -> str:
     )
 
 
-def summary_ctes(source: str, key: str = "thread_id") -> str:
-    """CTEs that end in ``summaries(key, summary)``."""
+def summary_ctes(source: str, key: str = "thread_id", top: int = TOP_SENTENCES, name: str = "summaries", weight: str = "") -> str:
+    """CTEs that end in ``<name>(key, summary)``; ``weight`` names a table of words and
+    their weights."""
+    n = f"COUNT(*) OVER (PARTITION BY {key}, word)"
+    joined = ""
+    if weight:
+        n, joined = f"{n} * weight", f"LEFT JOIN {weight} USING (word)"
     return f"""
-sentence_lists AS (
+{name}_lists AS (
   SELECT {key}, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) +', '\\1' || {NL}, 'g'), {NL}),
     lambda s: {strip('s')}), lambda s: s <> '' AND NOT regexp_matches(s, '^(---|=====|Date: )')) AS ss FROM {source}),
-sentence_rows AS (SELECT {key}, i AS place, ss[i + 1] AS sentence FROM (SELECT *, unnest(range(len(ss))) AS i FROM sentence_lists)),
-sentence_words AS (
+{name}_rows AS (SELECT {key}, i AS place, ss[i + 1] AS sentence FROM (SELECT *, unnest(range(len(ss))) AS i FROM {name}_lists)),
+{name}_words AS (
   SELECT {key}, place, sentence, unnest(CASE WHEN len(ws) = 0 THEN [NULL] ELSE ws END) AS word
-  FROM (SELECT *, regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+') AS ws FROM sentence_rows)),
-counted AS (
-  SELECT *, CASE WHEN word IS NULL THEN 0 ELSE COUNT(*) OVER (PARTITION BY {key}, word) END AS n FROM sentence_words),
-scored AS (
+  FROM (SELECT *, regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {name}_rows)),
+{name}_counted AS (
+  SELECT *, CASE WHEN word IS NULL THEN 0 ELSE {n} END AS n FROM {name}_words {joined}),
+{name}_scored AS (
   SELECT {key}, place, ANY_VALUE(sentence) AS sentence,
-    CAST(SUM(n) AS DOUBLE) / GREATEST(COUNT(*), 8) AS score FROM counted GROUP BY {key}, place),
-summaries AS (
+    CAST(SUM(n) AS DOUBLE) / GREATEST(COUNT(*), 8) AS score FROM {name}_counted GROUP BY {key}, place),
+{name} AS (
   SELECT {key}, string_agg(sentence, {NL} ORDER BY place) AS summary FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY score DESC, place) AS rank FROM scored)
-  WHERE rank <= {TOP_SENTENCES} GROUP BY {key})"""
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY score DESC, place) AS rank FROM {name}_scored)
+  WHERE rank <= {top} GROUP BY {key})"""
+
+
+# Words of all threads with ln((1 + N) / (1 + threads that hold it)) in whole thousandths.
+WEIGHTS = """
+held AS (SELECT DISTINCT thread_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM docs),
+weights AS (
+  SELECT word, CAST(FLOOR(ln((1.0 + (SELECT COUNT(*) FROM docs)) / (1 + COUNT(*))) * 1000) AS BIGINT) AS weight
+  FROM held GROUP BY word)"""
+
+
+def hierarchical_sql(budget: int, top: int, rounds: int) -> str:
+    """Partial summaries joined and summarized again, round after round, each within
+    the budget. A thread is done in the round that gives it one group."""
+    steps, done, source = [DOCS], [], "docs"
+    for r in range(1, rounds + 1):
+        steps += [
+            chunk_ctes(source, "thread_id", budget, f"cut{r}"),
+            f"groups{r} AS ({chunk_rows('thread_id', f'cut{r}')})",
+            summary_ctes(f"groups{r}", "thread_id, chunk_no", top, f"parts{r}"),
+            f"joined{r} AS (SELECT thread_id, COUNT(*) AS n, string_agg(summary, {NL} || {NL} ORDER BY chunk_no) AS text FROM parts{r} GROUP BY thread_id)",
+            f"next{r} AS (SELECT thread_id, text FROM joined{r} WHERE n > 1)",
+        ]
+        done.append(f"SELECT thread_id, text AS summary FROM joined{r} WHERE n = 1")
+        source = f"next{r}"
+    done.append(f"SELECT thread_id, text AS summary FROM {source}")
+    return with_mail(*steps) + " UNION ALL ".join(done)
 
 
 MODEL_ROWS = ", ".join(f"('{name}', '{kind}', {dim}, {tokens}, {i})" for i, (name, kind, dim, tokens) in enumerate(MODELS))
@@ -242,6 +275,7 @@ meta AS (
       {strip("regexp_replace(body, '(?m)^From ', '>From ', 'g')")} AS body FROM emails"""
     sql["store_insert"] = sql["parse_mbox"].replace("CAST(len(refs) AS INT) AS n_references, ", "")
     sql["mbox_scan"] = mail + "SELECT id AS message_id, COUNT(*) AS n FROM emails GROUP BY id"
+    sql["mbox_first"] = mail + "SELECT id FROM emails ORDER BY id LIMIT (SELECT COUNT(*) // 2 FROM emails)"
     sql["parse_gmail"] = mail + f"SELECT id, thread_id, subject, in_reply_to, date, sender, 'second@example.com' AS recipients, {strip('body')} AS body FROM emails"
     sql["parse_mbox_multipart"] = mail + f"""SELECT id, 'Größe ' || id AS subject, sender, date,
       CASE WHEN CAST(regexp_extract(id, '-([0-9]+)$', 1) AS INT) % 2 = 1 THEN 'Answer ' || id ELSE {strip('body')} END AS body,
@@ -266,6 +300,8 @@ meta AS (
     sql["chunk_count"] = thread_chunks + "SELECT thread_id, CAST(len(pieces) AS BIGINT) AS chunk_count FROM chunked"
     sql["summarize_gate"] = thread_chunks + "SELECT thread_id, CAST(len(pieces) AS BIGINT) AS chunk_count, len(pieces) > 3 AS is_summarized FROM chunked"
     sql["summarize_threads"] = with_mail(DOCS, summary_ctes("docs")) + "SELECT thread_id, summary FROM summaries"
+    sql["summarize_threads_idf"] = with_mail(DOCS, WEIGHTS, summary_ctes("docs", weight="weights")) + "SELECT thread_id, summary FROM summaries"
+    sql["summarize_hierarchical"] = hierarchical_sql(HIERARCHY_BUDGET, 2, 6)
     sql["embed_chunks"] = thread_chunks + f""", rows AS ({chunk_rows("thread_id")}),
       slots AS (SELECT thread_id, chunk_no, unnest(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'),
         lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 384)) AS slot FROM rows),
@@ -292,6 +328,8 @@ meta AS (
       CASE WHEN thread_id IN {pending} AND kind <> 2 THEN 'new ' || body ELSE body END AS text
       FROM (SELECT *, CAST(regexp_extract(thread_id, '^m([0-9]+)-', 1) AS BIGINT) % 7 AS kind FROM emails)
       WHERE NOT (thread_id IN {pending} AND kind = 1)"""
+    sql["collection_filter"] = mail + """SELECT thread_id, CAST(regexp_extract(id, '-([0-9]+)$', 1) AS BIGINT) AS chunk_no, body AS text FROM emails
+      WHERE thread_id = (SELECT thread_id FROM emails GROUP BY thread_id ORDER BY COUNT(*) DESC, thread_id LIMIT 1)"""
     sql["metadata_filter"] = "SELECT vec_id, label FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 20"
     sql["collection_upsert"] = mail + f"""SELECT id, thread_id, CASE WHEN thread_id IN {pending} THEN 'new ' || body ELSE body END AS text FROM emails"""
 

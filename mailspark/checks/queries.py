@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mailspark.config import MailConfig
 from mailspark.functions import dates, files, html, mime, text
-from mailspark.operators import chunking, collection, dump, embedding, ingest, quotes, search, stats, summarize, threads
+from mailspark.operators import chunking, collection, dump, embedding, frequencies, ingest, quotes, search, stats, summarize, threads
 from mailspark.operators.collection import mark_embedded
 from mailspark.operators.vector_index import VectorIndex
 from mailspark.plans.ingest import MailStore
@@ -347,6 +347,16 @@ def mbox_scan(spark, sf):
     return _written_mbox(spark, sf).groupBy(found.alias("message_id")).agg(F.count("*").alias("n"))
 
 
+@query
+def mbox_first(spark, sf):
+    """The first half of an archive whose mails stand in the order of their ids."""
+    emails = fixtures.emails(spark, sf)
+    path = scratch_path(spark, "mbox")
+    mbox.render_mbox(emails.orderBy("id")).write.text(path)
+    half = mbox.read_mbox(spark, path, limit=emails.count() // 2)
+    return ingest.emails_from(ingest.message_rows(mbox.parse_mbox(half))).select("id")
+
+
 @query
 def parse_mbox(spark, sf):
     rows = ingest.emails_from(ingest.message_rows(mbox.parse_mbox(_written_mbox(spark, sf))))
@@ -567,6 +577,15 @@ def summarize_hierarchical(spark, sf):
     return summarize.summarize_documents(documents(spark, sf), narrow).select("thread_id", "summary")
 
 
+@query
+def summarize_threads_idf(spark, sf):
+    """Sentences by frequency in their thread times rarity in all threads."""
+    docs = documents(spark, sf)
+    weights = frequencies.WordWeights(docs, CFG.small_keys)
+    summarizer = summarize.extractive(CFG.summary_sentences, weights)
+    return summarize.summarize_documents(docs, CFG, summarizer).select("thread_id", "summary")
+
+
 @query
 def embed_chunks(spark, sf):
     vectors = embedding.hashed_terms(384, embedding.portable_hash)
@@ -663,6 +682,20 @@ def collection_state(spark, sf):
     return folded.read().select("thread_id", "chunk_no", "text")
 
 
+@query
+def collection_filter(spark, sf):
+    """The chunks of the thread with most mails, out of the bucket it lies in."""
+    emails = fixtures.emails(spark, sf)
+    number = F.regexp_extract("id", r"-(\d+)$", 1).cast("bigint").alias("chunk_no")
+    meta = F.from_json(F.to_json(F.struct("thread_id")), COLLECTION["metadata"].dataType).alias("metadata")
+    vector = F.array(F.lit(1.0).cast("float")).alias("embedding")
+    ids = emails.select("thread_id", "id")
+    stored_ = collection.Collection(spark, scratch_path(spark, "collections"), "filtered")
+    stored_.write_batch(0, emails.select("thread_id", number, F.col("body").alias("text"), vector, meta), ids, ids)
+    largest = emails.groupBy("thread_id").count().orderBy(F.desc("count"), "thread_id").first()["thread_id"]
+    return stored_.find({"metadata.thread_id": largest}).select("thread_id", "chunk_no", "text")
+
+
 # --- statistics and dumps ----------------------------------------------------
 
 def _lengths(spark, sf):

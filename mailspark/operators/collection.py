@@ -3,18 +3,22 @@
 Every batch adds a ``batch=<n>`` folder to each table and, last of all, a row to
 ``commits``; readers see committed batches only. ``replaced`` names the chunks a
 batch makes obsolete, so a reader filters by a short list instead of looking up
-the state of every chunk. Nothing is deleted or rewritten: a failed or repeated
+the state of every chunk. Chunks lie in a folder per bucket of their thread, so that a
+filter on one thread reads the files of one bucket. Nothing is deleted or rewritten: a failed or repeated
 batch leaves no trace, and an update costs the changed threads alone.
 ``compact`` folds the batches and empties the list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailspark.config import MailConfig
+from mailspark.operators.search import filter_collection
 from mailspark.operators.skew import KeySet
 from mailspark.schemas import COLLECTION
 from mailspark.session import read_table
@@ -22,12 +26,17 @@ from mailspark.sources.models import model
 
 _THREAD = T.StructField("thread_id", T.StringType())
 _BATCH = T.StructField("batch", T.LongType())
+_BUCKET = T.StructField("bucket", T.IntegerType())
+# Part of the layout on disk.
+BUCKETS = 64
+# Filters that name a thread; in a chunk both are its thread.
+_THREAD_KEYS = ("thread_id", "metadata.thread_id")
 _PARTS = {
     "manifest": T.StructType([
         T.StructField("name", T.StringType()), T.StructField("embed_model", T.StringType()), T.StructField("dim", T.IntegerType()),
     ]),
     "commits": T.StructType([_BATCH]),
-    "chunks": T.StructType([*COLLECTION.fields, _BATCH]),
+    "chunks": T.StructType([*COLLECTION.fields, _BUCKET, _BATCH]),
     "live": T.StructType([_THREAD, _BATCH]),
     # Chunks of (thread_id, obsolete) do not count any more.
     "replaced": T.StructType([_THREAD, T.StructField("obsolete", T.LongType()), _BATCH]),
@@ -48,6 +57,10 @@ def mark_embedded(emails: DataFrame, embedded: DataFrame) -> DataFrame:
     return emails.join(ledger, "id", "left").withColumn("is_embedded", F.coalesce(done, F.col("_done"))).drop("_done")
 
 
+def _bucket(thread_id: Column) -> Column:
+    return F.pmod(F.xxhash64(thread_id), F.lit(BUCKETS)).cast("int")
+
+
 class Collection:
     """One collection below a root folder all executors share."""
 
@@ -89,7 +102,9 @@ class Collection:
         A thread with a chunk that got no embedding keeps its old chunks and
         stays pending; the others go on.
         """
-        self._write(chunks.select(*COLLECTION.names), "chunks", batch)
+        dealt = chunks.select(*COLLECTION.names, _bucket(F.col("thread_id")).alias("bucket"))
+        # Few files per bucket, and a bucket with a large thread in several.
+        dealt.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/chunks/batch={batch}")
         # Read back, since computing them again would ask the model again.
         written = self._read("chunks").where(F.col("batch") == batch)
         self._write(written.where(F.col("embedding").isNull()).select("thread_id").distinct(), "failed", batch)
@@ -122,7 +137,21 @@ class Collection:
     def read(self, small: int = MailConfig.small_keys) -> DataFrame:
         """The current chunks: one scan while few have been replaced since the
         last compaction, a join when there are many."""
-        chunks = self._committed("chunks")
+        return self._current(F.lit(True), small)
+
+    def find(
+        self, filters: Mapping[str, object], limit: int | None = None, order: Sequence[str] = (), small: int = MailConfig.small_keys,
+    ) -> DataFrame:
+        """Current chunks that match every filter; ``limit`` takes the first in ``order``.
+        A filter on a thread leaves the folders of its bucket alone."""
+        named = [filters[key] for key in _THREAD_KEYS if filters.get(key) is not None]
+        here = F.lit(True)
+        for thread in named:
+            here = here & (F.col("bucket") == _bucket(F.lit(thread).cast("string")))
+        return filter_collection(self._current(here, small), filters, limit, order)
+
+    def _current(self, where: Column, small: int) -> DataFrame:
+        chunks = self._committed("chunks").where(where)
         replaced = self._committed("replaced").select("thread_id", F.col("obsolete").alias("batch"))
         few = replaced.limit(small + 1).collect()
         if not few:

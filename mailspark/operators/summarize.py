@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailspark.config import MailConfig
 from mailspark.functions.text import strip, words
 from mailspark.operators.chunking import chunk_text
+from mailspark.operators.frequencies import WordWeights
 from mailspark.operators.packing import Layout, chunk_segments
 from mailspark.operators.skew import KeySet, running_sums
 from mailspark.operators.threads import LAYOUT
@@ -74,8 +75,9 @@ def sentences(text: Column) -> Column:
     return F.filter(kept, lambda s: (s != "") & ~s.rlike("^(---|=====|Date: )"))
 
 
-def extractive(top: int) -> Summarizer:
-    """The ``top`` sentences with the highest mean word frequency, in order.
+def extractive(top: int, weights: WordWeights | None = None) -> Summarizer:
+    """The ``top`` sentences with the highest mean word frequency, in order; with
+    ``weights``, frequencies times the weight of the word in a corpus.
 
     A group is no longer than the model context, so all of it fits one task; one
     shuffle brings each group together and everything else stays inside it.
@@ -90,6 +92,8 @@ def extractive(top: int) -> Summarizer:
         in_line = tokens.groupBy(*group, "at", "word").agg(F.count("word").alias("here"), F.count("*").alias("rows"))
         in_group = F.sum("here").over(Window.partitionBy(*group, "word"))
         counted = in_line.withColumn("n", F.when(F.col("word").isNotNull(), in_group).otherwise(0) * F.col("rows"))
+        if weights is not None:
+            counted = weights.weigh(counted).withColumn("n", F.col("n") * F.col("weight"))
         scored = counted.groupBy(*group, "at").agg(F.sum("n").alias("total"), F.sum("rows").alias("length"))
         # Sentences of a few words do not win by being short.
         score = F.col("total") / F.greatest("length", F.lit(_FULL_SENTENCE))

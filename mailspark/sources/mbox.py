@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailspark.config import MailConfig
+from mailspark.operators.skew import running_sums
+from mailspark.session import checkpointed
 from mailspark.sources.headers import Source, header_id
 from mailspark.sources.messages import parse_mail, parse_messages
 
@@ -23,7 +28,7 @@ _RECORD = "path string, block bigint, row bigint, file_size bigint, is_first boo
 
 
 def _records(lines: DataFrame) -> DataFrame:
-    """Records with their place: file, block, and number within the reading task.
+    """Records with their place: file, block, and number within the block.
 
     The scan also marks the first record of each file, which is the one a block at
     offset 0 starts with. Nothing after the scan depends on the order of rows.
@@ -34,33 +39,67 @@ def _records(lines: DataFrame) -> DataFrame:
     )
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One task reads a block, in its order.
         last, row = None, 0
         for batch in batches:
-            first = []
+            first, rows = [], []
             for split in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
-                first.append(split != last and split[1] == 0)
+                row = row + 1 if split == last else 0
+                first.append(row == 0 and split[1] == 0)
+                rows.append(row)
                 last = split
             columns = {name: batch.column(name) for name in batch.schema.names}
             columns["is_first"] = pa.array(first, pa.bool_())
-            # One task reads a block, in its order.
-            columns["row"] = pa.array(range(row, row + batch.num_rows), pa.int64())
-            row += batch.num_rows
+            columns["row"] = pa.array(rows, pa.int64())
             names = ["path", "block", "row", "file_size", "is_first", "value"]
             yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
 
     return scanned.mapInArrow(mark, _RECORD)
 
 
+def _lines(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.schema(_SCHEMA).option("lineSep", LINE_SEPARATOR).text(list(paths))
+
+
+def _literal(file: str) -> str:
+    """A listed file as a path that names it alone: not encoded, its wildcards escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
+
+
+def _first_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The first ``limit`` records in input order: file, block, place in it.
+
+    Only as many files are read as hold them, twice as many on each try. Their records
+    are counted per block in the JVM, and a prefix sum names the block in which the limit
+    falls. The order of blocks decides on all others, so no message is sorted or joined.
+    """
+    files, taken = sorted(_lines(spark, path).inputFiles()), 1
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    while True:
+        # Counted and read as one set of files, since the borders of blocks depend on it.
+        lines = _lines(spark, *map(_literal, files[:taken])) if files else _lines(spark, path)
+        counts = checkpointed(lines.groupBy(*place).agg(F.count("*").alias("n")))
+        found = counts.agg(F.sum("n")).first()[0] or 0
+        if found >= limit or taken >= len(files):
+            break
+        taken = min(2 * taken, len(files))
+    records = _records(lines)
+    if found <= limit:
+        return records
+    sums = running_sums(
+        counts.withColumn("all", F.lit(0)), "all", ["path", "block"], {"upto": F.col("n")}, MailConfig.heavy_rows, MailConfig.small_keys)
+    border = sums.where(F.col("upto") > limit).orderBy("path", "block").first()
+    room = limit - border["upto"] + border["n"]
+    end = F.struct(F.lit(border["path"]), F.lit(border["block"]).cast("bigint"), F.lit(room).cast("bigint"))
+    return records.where(F.struct("path", "block", "row") < end)
+
+
 def read_mbox(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Raw records of mbox files with the file and place they come from.
 
     ``limit`` takes the first records in input order, before any filter.
     """
-    records = _records(spark.read.schema(_SCHEMA).option("lineSep", LINE_SEPARATOR).text(path))
-    if limit is None:
-        return records
-    # The first ones arrive in one task; parsing them is dealt out again.
-    return records.orderBy("path", "block", "row").limit(limit).repartition("row")
+    return _records(_lines(spark, path)) if limit is None else _first_records(spark, path, limit)
 
 
 def stream_mbox(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:

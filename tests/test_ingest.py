@@ -115,6 +115,35 @@ def test_limit_counts_before_filtering(spark, tmp_path):
     assert set(by_id(emails_from(ingest(spark, tmp_path, data, limit=2)))) == {"<1@x>"}
 
 
+def test_the_first_records_of_many_blocks(spark, tmp_path):
+    """Any limit takes the records a sort by place would, out of files with several
+    blocks, without messages, and with names that are patterns."""
+    folder = tmp_path / "in [a] b{1}*"
+    folder.mkdir()
+    for name, number in [("a?.mbox", 7), ("b c.mbox", 0), ("c%20.mbox", 40), ("d.mbox", 3)]:
+        (folder / name).write_bytes(mbox_bytes(*(message(f"<{name[0]}{i}@x>", b"x" * 300) for i in range(number))))
+    path = str(tmp_path / "in*")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        place = ["path", "block", "row", "is_first", "value"]
+        every = [tuple(r) for r in read_mbox(spark, path).select(*place).orderBy("path", "block", "row").collect()]
+        assert len({r[:2] for r in every}) > 8
+        for limit in (0, 7, 20, len(every) - 1, len(every) + 5):
+            first = read_mbox(spark, path, limit=limit)
+            values = sorted((r["path"], bytes(r["value"])) for r in first.collect())
+            assert values == sorted((r[0], bytes(r[4])) for r in every[:limit])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_a_limit_reads_the_files_it_needs(spark, tmp_path):
+    for i in range(9):
+        _file(tmp_path, mbox_bytes(message(f"<{i}a@x>"), message(f"<{i}b@x>")), f"{i}.mbox")
+    assert len(read_mbox(spark, str(tmp_path), limit=2).inputFiles()) == 1
+    assert len(read_mbox(spark, str(tmp_path), limit=5).inputFiles()) == 4
+
+
 def test_headers(spark, tmp_path):
     data = mbox_bytes(
         message("<1@x>", Subject="=?utf-8?q?Gr=C3=BC=C3=9Fe?= you", From="=?utf-8?b?w4Q=?= <a@x>",

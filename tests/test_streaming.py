@@ -1,5 +1,6 @@
 """Stored collections and the two streams."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -192,6 +193,25 @@ def test_empty_thread_loses_its_chunks(spark, tmp_path):
         folded.create("e5-base-v2")
 
 
+def test_a_thread_is_found_in_its_bucket(spark, tmp_path):
+    collection = Collection(spark, str(tmp_path), "c")
+    rows = [(f"t{i % 40}", i, f"text {i}", [1.0], None) for i in range(400)]
+    chunks = spark.createDataFrame(rows, COLLECTION)
+    ids = chunks.select("thread_id", F.col("text").alias("id"))
+    collection.write_batch(0, chunks, ids, ids)
+    collection.write_batch(1, chunks.where("thread_id = 't7' AND chunk_no < 50"), ids.where("thread_id = 't7'"), ids.limit(0))
+    found = collection.find({"thread_id": "t7"}, order=["chunk_no"])
+    assert [(r.thread_id, r.chunk_no) for r in found.collect()] == [("t7", 7), ("t7", 47)]
+    assert collection.find({"thread_id": "t8"}, limit=3, order=["chunk_no"]).count() == 3
+    assert collection.find({"thread_id": "none"}).collect() == []
+    assert collection.find({"text": "text 9"}).count() == 1
+    plan = collection.find({"metadata.thread_id": "t7"})._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "bucket#" in line)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d+", scan)
+    folders = {f.split("bucket=")[1].split("/")[0] for f in spark.read.parquet(f"{collection.path}/chunks").inputFiles()}
+    assert len(folders) > 10
+
+
 def test_create_is_idempotent(spark, tmp_path):
     collection = Collection(spark, str(tmp_path), "c")
     collection.create("bge-m3")
