@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(*names: str) -> list[str]:
+    """Column names that no table has, for joins with tables of any columns."""
+    ending = uuid.uuid4().hex
+    return [f"_{name}_{ending}" for name in names]
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_KEYS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting beyond."""
     return df.limit(rows + 1).count() <= rows

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailspark.llm.common import fits_broadcast
+from mailspark.llm.common import fits_broadcast, own_names
 from mailspark.session import stored
 
 # Ones are looked at. Two masks of weight 5 over 7 words that ignore different places,
@@ -148,8 +148,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item."""
-    bad = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "leaks")
+    doc, mark = own_names("doc", "mark")
+    bad = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias(doc), F.col("mark").alias(mark)).distinct(), "leaks")
     if fits_broadcast(bad):
         bad = F.broadcast(bad)
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(mark))
     return docs.join(bad, same, "left_anti")

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailspark.llm.common import groups_in_order, in_groups, sized
+from mailspark.llm.common import groups_in_order, in_groups, own_names, sized
 from mailspark.llm.components import components, forest
 from mailspark.llm.textbytes import mix, shingle_set
 from mailspark.session import checkpointed, stored
@@ -381,10 +381,11 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
     """``docs`` with one row of each group of near duplicates; rows that repeat both
     doc_id and text are one."""
     found = stored(near_duplicates(docs, width, percent), "groups")
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_text")).distinct()
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_text"))
+    doc, text, mark = own_names("doc", "text", "mark")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("mark").alias(text)).distinct()
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(text))
     left = marked.join(sized(dropped), same, "left_anti")
     if not found.where("kept").groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "_mark"])
-    return left.drop("_mark")
+        left = left.dropDuplicates(["doc_id", mark])
+    return left.drop(mark)

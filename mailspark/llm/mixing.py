@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailspark.llm.common import sized
+from mailspark.llm.common import own_names, sized
 from mailspark.operators.skew import sums_by_range
 from mailspark.session import stored
 
@@ -107,12 +107,13 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     key = ["doc_id", "source", "mark"]
     sizes = stored(narrow(docs), "sizes")
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    doc, source, text, mark, copies, copy = own_names("doc", "source", "text", "mark", "copies", "copy")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
     if not sizes.groupBy(*key).count().where("count > 1").isEmpty():
         sizes = sizes.dropDuplicates(key)
-        marked = marked.dropDuplicates(["doc_id", "source", "_mark"])
+        marked = marked.dropDuplicates(["doc_id", "source", mark])
     taken = with_copies(sizes).where("copies > 0").select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("mark").alias("_key"), "copies")
-    same = (F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_mark") == F.col("_key")))
+        F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("mark").alias(text), F.col("copies").alias(copies))
+    same = (F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(mark) == F.col(text)))
     joined = marked.join(sized(stored(taken, "taken"), 1_000_000), same)
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_copy")).drop("_copy")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))).alias(copy)).drop(copy)

@@ -248,7 +248,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def with_shard(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """``docs`` with ``size`` and ``shard``. The tree is found on narrow rows and
+    """``docs`` with ``size`` and ``shard``, in place of such columns it has. The tree is found on narrow rows and
     then an expression, so texts are not moved."""
     levels = k_d_tree(_points(docs), DIMENSIONS, shards)
     # Evaluated once per row, in a column of its own, before the tree compares it.

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailspark.llm.common import own_names
 from mailspark.llm.textbytes import mix, word_bounds
 from mailspark.session import checkpointed, stored
 
@@ -301,15 +302,16 @@ def documents_with_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every passage removed that an earlier document has."""
-    found = documents_with_repeats(docs, min_words).select(F.col("doc_id").alias("_doc"), "passages")
+    of, passages = own_names("doc", "passages")
+    found = documents_with_repeats(docs, min_words).select(F.col("doc_id").alias(of), F.col("passages").alias(passages))
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
     data = F.col("text").cast("binary")
-    later = F.filter("passages", lambda p: p["first_doc"] < F.col("_doc"))
+    later = F.filter(passages, lambda p: p["first_doc"] < F.col(of))
     # What stands between the removed passages, from the end of one to the start of the next.
     starts = F.concat(F.array(F.lit(0)), F.transform(later, lambda p: p["end"]))
     ends = F.concat(F.transform(later, lambda p: p["start"]), F.array(F.length(data)))
     kept = F.transform(F.arrays_zip(starts.alias("from"), ends.alias("to")),
                        lambda s: F.decode(F.substring(data, s["from"] + 1, s["to"] - s["from"]), "utf-8"))
-    joined = docs.join(found, doc == F.col("_doc"), "left")
-    cut = F.when(F.col("passages").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    joined = docs.join(found, doc == F.col(of), "left")
+    cut = F.when(F.col(passages).isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
     return joined.withColumn("text", cut).select(*docs.columns)

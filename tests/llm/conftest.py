@@ -21,4 +21,6 @@ def long_text():
 
 
 # Columns whose names the operators use inside.
-CLASHING = "node bigint, size bigint, mark string, token string, component string, start string, words string, shard string"
+CLASHING = (
+    "node bigint, size bigint, mark string, token string, component string, start string, words string, shard string, "
+    "_doc string, _mark string, _text string, _key string, _source string, _copy string, copies string, passages string, hashes string")

@@ -74,7 +74,7 @@ def test_cases(spark, long_text):
 
 
 def test_extra_columns(spark):
-    frame = spark.createDataFrame([(1, 0, "user", "x", *[None] * 8)], f"{SCHEMA}, {CLASHING}")
+    frame = spark.createDataFrame([(1, 0, "user", "x", *[None] * len(CLASHING.split(",")))], f"{SCHEMA}, {CLASHING}")
     assert format_chat(frame, {}).first()["json"] == '{"content":"x","role":"user"}'
 
 
