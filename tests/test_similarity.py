@@ -65,3 +65,51 @@ def test_long_bodies_without_common_lines():
     assert not alike(a, a[6000:] + a[:6000], 0.8)
     assert alike(a, edited(rng, a, 0.1, "xyz"), 0.8)
     assert time.perf_counter() - start < 3
+
+
+def test_hashes_find_the_first_longest_block():
+    rng = random.Random(3)
+    for letters in ("ab", "aé\U0001f600\ud800"):
+        for _ in range(200):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in "ab")
+            lo, hi = sorted((rng.randrange(len(a) + 1), rng.randrange(len(a) + 1)))
+            want = difflib.SequenceMatcher(None, a, b, False).find_longest_match(lo, hi, 0, len(b))
+            got = similarity._Hashes(a, b).longest(lo, hi, 0, len(b))
+            assert got[2] == want.size and (not want.size or got == tuple(want))
+
+
+def test_hashes_that_meet_by_chance_leave_it_to_the_ranks(monkeypatch):
+    monkeypatch.setattr(similarity, "_SMALL", 0)
+    # Every hash is the same.
+    monkeypatch.setattr(similarity._Hashes, "_of", lambda self, side, low, high, n: similarity.np.zeros(high + 1 - low - n, similarity.np.uint64))
+    rng = random.Random(4)
+    for _ in range(100):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in "ab")
+        for threshold in (ratio(a, b), ratio(a, b) + 1e-9, 0.5):
+            assert alike(a, b, threshold) == (ratio(a, b) >= threshold)
+
+
+def test_long_bodies_need_no_ranks(monkeypatch):
+    def fail(*_):
+        raise AssertionError("ranks of all substrings")
+
+    monkeypatch.setattr(similarity, "_Ranks", fail)
+    rng = random.Random(6)
+    a = "".join(rng.choice("etaoin shrdlu") for _ in range(20_000))
+    assert not alike(a, a[9000:] + a[:9000], 0.8) and alike(a, a[3000:] + a[:3000], 0.8)
+
+
+def test_the_bound_is_that_of_difflib():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(12))) for _ in "ab")
+        exact = difflib.SequenceMatcher(None, a, b, False).quick_ratio()
+        for threshold in (exact, exact + 1e-9, exact - 1e-9, 1.0):
+            assert similarity.bound_reaches(a, b, threshold) == (exact >= threshold)
+
+
+def test_texts_of_one_row_group_are_dealt_to_all_tasks(spark, sf):
+    from mailspark.checks.queries import QUERIES
+
+    plan = QUERIES["quote_diff"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Exchange")
