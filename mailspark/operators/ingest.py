@@ -12,6 +12,7 @@ from mailspark.functions.html import html_to_text
 from mailspark.functions.mime import detect_mime
 from mailspark.functions.text import choose_body, file_extension, split_references, thread_root
 from mailspark.operators.skew import small_keys
+from mailspark.session import small_batches
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
@@ -62,6 +63,7 @@ def message_thread() -> Column:
 
 def emails_from(messages: DataFrame, ingest_time: Column | None = None) -> DataFrame:
     """``emails`` rows; a missing or unreadable date becomes the ingest time."""
+    small_batches(messages.sparkSession)
     now = F.current_timestamp().cast("timestamp_ntz") if ingest_time is None else ingest_time
     html = html_to_text(F.when(F.col("html") != "", F.col("html")))
     return messages.select(
@@ -90,6 +92,7 @@ def dedup_attachments(files: DataFrame) -> DataFrame:
 
 def attachments_from(messages: DataFrame, extra=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``attachments`` rows of messages, with the ``keep`` columns of these."""
+    small_batches(messages.sparkSession)
     files = messages.select(F.col("message_id").alias("email_id"), *keep, F.inline("files"))
     files = dedup_attachments(files)
     typed = files.withColumn("mime_type", detect_mime(F.col("content"), F.col("declared_type"), F.col("filename")))
