@@ -133,7 +133,8 @@ EXTRACTORS: dict[str, Extractor] = {
 def attachment_text(mime: Column, content: Column, extra: dict[str, Extractor] | None = None) -> Column:
     """Text of a file, empty when its type is unknown or it cannot be read.
 
-    ``extra`` adds extractors by MIME type, for example for PDF or images.
+    ``extra`` adds extractors by MIME type, for example for PDF or images. Files reach
+    Python in batches; ``session.small_batches`` bounds them.
     """
     extractors = {**EXTRACTORS, **(extra or {})}
 
