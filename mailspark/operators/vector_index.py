@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from mailspark.operators.skew import small_side
-from mailspark.session import stored
+from mailspark.session import small_batches, stored
 
 SAMPLE_ROWS = 65_536
 SAMPLE_VALUES = 16_000_000
@@ -38,6 +38,8 @@ ROUNDS = 12
 # Rows and questions that meet at once.
 BLOCK = 1024
 QUESTIONS = 256
+# Questions whose cells are chosen at once.
+SENT = 64
 # Blocks of questions that are broadcast, if there are no more of them.
 _SMALL_BLOCKS = 256
 # Above any rounding error of angles between unit vectors.
@@ -210,10 +212,11 @@ class VectorIndex:
         """Questions with the cells that ``choose`` names for a batch of them."""
         schema = T.StructType([*questions.select("question", "v").schema.fields, T.StructField("cell", T.IntegerType())])
 
+        small_batches(self.spark)
+
         def run(batches):
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
+            # A question comes out once per cell, so few are sent at a time.
+            for batch in (b.slice(at, SENT) for b in batches for at in range(0, b.num_rows, SENT)):
                 more = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None
                 row, cell = choose(_unit(_matrix(batch.column(1), width)), more)
                 chosen = batch.select(["question", "v"]).take(pa.array(row))
