@@ -4,8 +4,8 @@ Cells are the regions around centres that spherical k-means learns on a bounded
 (``SAMPLE_ROWS`` rows and ``SAMPLE_VALUES`` numbers at most); every row is then put
 into the cell of its nearest centre. Rows lie in blocks, partitioned by cell, so the
 cells a search leaves out are never opened. A search takes any number of questions: each
-names the cells it probes, questions and rows of a cell meet in blocks, and every meeting
-leaves at most k rows per question.
+marks the cells it probes, blocks of questions and of rows meet where a mark says so, and a
+task gives out only rows that reach the k-th score of a question so far.
 
 How many cells are probed is measured when the index is built: as few as give the wanted
 recall on questions from the sample. ``exact=True`` goes on from there: cells whose rows
@@ -42,6 +42,8 @@ QUESTIONS = 256
 SENT = 64
 # Blocks of questions that are broadcast, if there are no more of them.
 _SMALL_BLOCKS = 256
+# Tasks per core in which cells are searched, at most.
+_TASKS = 4
 # Above any rounding error of angles between unit vectors.
 _SLACK = 1e-6
 
@@ -200,13 +202,7 @@ class VectorIndex:
     def probed(self, questions: DataFrame, probes: int | None = None) -> DataFrame:
         """``question, v, cell``: the cells each question is sent to."""
         centres, facts = self._learned()
-        number = min(probes or facts["probes"], len(centres))
-
-        def nearest(unit: np.ndarray, _):
-            order = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :number]
-            return np.repeat(np.arange(len(unit)), number), order.ravel()
-
-        return self._sent(questions.select("question", "v"), facts["width"], nearest)
+        return self._sent(questions.select("question", "v"), facts["width"], _nearest(centres, min(probes or facts["probes"], len(centres))))
 
     def _sent(self, questions: DataFrame, width: int, choose) -> DataFrame:
         """Questions with the cells that ``choose`` names for a batch of them."""
@@ -224,55 +220,97 @@ class VectorIndex:
 
         return questions.mapInArrow(run, schema)
 
-    def _answers(self, sent: DataFrame, width: int, precise: bool, k: int) -> DataFrame:
-        """``question, key, score``: per meeting of blocks the best k rows of a question."""
-        sent = stored(sent, "probes")
-        cells = [r[0] for r in sent.select("cell").distinct().limit(MAX_CELLS + 1).collect()]
-        blocks = self.blocks(cells)
-        question = sent.schema["question"].dataType
-        kind = np.float64 if precise else np.float32
+    def _asked(self, questions: DataFrame, centres: np.ndarray, width: int, choose) -> DataFrame:
+        """Blocks of questions, each question in one of them, with the cells that ``choose``
+        names: ``of, asked, units, least, opens, cells``. ``opens`` has a bit per question
+        and cell, ``cells`` those that any question of the block opens."""
+        fields = questions.select("question", "v").schema.fields
+        marked = T.StructType([
+            *fields, T.StructField("least", T.DoubleType()), T.StructField("home", T.IntegerType()), T.StructField("opens", T.BinaryType())])
+        number, row_bytes = len(centres), (len(centres) + 7) // 8
+
+        small_batches(self.spark)
+
+        def mark(batches):
+            for batch in (b.slice(at, SENT) for b in batches for at in range(0, b.num_rows, SENT)):
+                least = batch.column(2).to_numpy(zero_copy_only=False)
+                unit = _unit(_matrix(batch.column(1), width))
+                opens = np.zeros((batch.num_rows, number), dtype=bool)
+                opens[choose(unit, least)] = True
+                # Questions without an open cell go no further.
+                kept = np.flatnonzero(opens.any(axis=1))
+                home = (unit @ centres.T).argmax(axis=1).astype(np.int32)
+                bits = pa.array([row.tobytes() for row in np.packbits(opens[kept], axis=1)], pa.binary())
+                chosen = batch.select(["question", "v", "least"]).take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(home[kept]), bits], ["question", "v", "least", "home", "opens"])
 
         def pack(batches):
-            for batch in batches:
-                cell = batch.column("cell").to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
-                for begin, end in zip(cuts, cuts[1:]):
-                    for at in range(begin, end, QUESTIONS):
-                        part = batch.slice(at, min(QUESTIONS, end - at))
-                        unit = _unit(_matrix(part.column("v"), width))
-                        names = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("question"))
-                        yield pa.RecordBatch.from_arrays(
-                            [names, pa.array([unit.tobytes()], pa.binary()), pa.array([int(cell[at])], pa.int32())], ["asked", "units", "for_cell"])
+            for batch in (b.slice(at, QUESTIONS) for b in batches for at in range(0, b.num_rows, QUESTIONS)):
+                if batch.num_rows == 0:
+                    continue
+                units = _unit(_matrix(batch.column("v"), width)).tobytes()
+                bits = b"".join(batch.column("opens").to_pylist())
+                any_ = np.unpackbits(np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, row_bytes), axis=0), count=number)
+                names = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("question"))
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array([units], pa.binary()), pa.array([batch.column("least").to_numpy().tobytes()], pa.binary()),
+                     pa.array([bits], pa.binary()), pa.array([np.flatnonzero(any_).astype(np.int32)], pa.list_(pa.int32()))],
+                    ["asked", "units", "least", "opens", "cells"])
 
         packed = T.StructType([
-            T.StructField("asked", T.ArrayType(question)), T.StructField("units", T.BinaryType()), T.StructField("for_cell", T.IntegerType())])
-        # A cell that all questions ask for is cut, like one that holds many rows.
-        asked = sent.hint("rebalance", "cell").sortWithinPartitions("cell").mapInArrow(pack, packed)
+            T.StructField("asked", T.ArrayType(fields[0].dataType)), T.StructField("units", T.BinaryType()), T.StructField("least", T.BinaryType()),
+            T.StructField("opens", T.BinaryType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+        # Questions of one cell lie together, so that a block opens few cells if cells are apart.
+        dealt = questions.select("question", "v", "least").mapInArrow(mark, marked).hint("rebalance", "home").sortWithinPartitions("home")
+        blocks = dealt.mapInArrow(pack, packed).withColumn("of", F.monotonically_increasing_id())
+        return stored(blocks, "questions")
+
+    def _answers(self, questions: DataFrame, centres: np.ndarray, width: int, precise: bool, k: int, choose) -> DataFrame:
+        """``question, key, score``: the best k rows of ``questions (question, v, least)`` in
+        the cells that ``choose`` names, none below ``least``.
+
+        A question is written once, however many cells it opens: its block meets the blocks
+        of rows in a nested loop, which shuffles neither. A task keeps the scores of its
+        questions' best rows, and gives out what reaches the k-th of them.
+        """
+        asked = self._asked(questions, centres, width, choose)
+        cells = [r[0] for r in asked.select(F.explode("cells").alias("cell")).distinct().limit(MAX_CELLS + 1).collect()]
+        # Every task gives out rows for every question: cells share a number of tasks that
+        # the cluster sets, not the rows.
+        blocks = self.blocks(cells).coalesce(_TASKS * self.spark.sparkContext.defaultParallelism)
+        question = questions.schema["question"].dataType
+        kind, row_bytes = np.float64 if precise else np.float32, (len(centres) + 7) // 8
+        few = small_side(asked, _SMALL_BLOCKS)
         met = blocks.select("cell", "keys", "vectors").join(
-            small_side(stored(asked, "questions"), _SMALL_BLOCKS), F.col("cell") == F.col("for_cell"))
+            few if few is not asked else asked.hint("shuffle_replicate_nl"), F.array_contains(F.col("cells"), F.col("cell")))
         out = T.StructType([
             T.StructField("question", question), T.StructField("key", blocks.schema["keys"].dataType.elementType),
             T.StructField("score", T.DoubleType())])
         key_type, question_type = to_arrow_type(out["key"].dataType), to_arrow_type(question)
 
         def best(batches):
+            tops: dict[int, np.ndarray] = {}
             for batch in batches:
                 for at in range(batch.num_rows):
+                    of, cell = batch.column("of")[at].as_py(), batch.column("cell")[at].as_py()
+                    opens = np.frombuffer(batch.column("opens")[at].as_py(), np.uint8).reshape(-1, row_bytes)
+                    who = np.flatnonzero(opens[:, cell >> 3] & (128 >> (cell & 7)))
                     rows = _unit(np.frombuffer(batch.column("vectors")[at].as_py(), kind).reshape(-1, width))
-                    units = np.frombuffer(batch.column("units")[at].as_py()).reshape(-1, width)
+                    units = np.frombuffer(batch.column("units")[at].as_py()).reshape(-1, width)[who]
                     keys, asked_ = batch.column("keys")[at].values, batch.column("asked")[at].values
                     scores = units @ rows.T
-                    if scores.shape[1] > k:
-                        # All that reach the k-th score: ties are told apart later, by key.
-                        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
-                        who, which = np.nonzero(scores >= least)
-                    else:
-                        who, which = np.nonzero(np.ones_like(scores, dtype=bool))
+                    if of not in tops:
+                        tops[of] = np.repeat(np.frombuffer(batch.column("least")[at].as_py())[:, None], k, axis=1)
+                    top = np.concatenate([tops[of][who], scores], axis=1)
+                    top = -np.partition(-top, k - 1, axis=1)[:, :k]
+                    tops[of][who] = top
+                    # All that reach the k-th score: ties are told apart later, by key.
+                    place, which = np.nonzero(scores >= top.min(axis=1, keepdims=True))
                     yield pa.RecordBatch.from_arrays(
-                        [asked_.take(pa.array(who)).cast(question_type), keys.take(pa.array(which)).cast(key_type), pa.array(scores[who, which])],
+                        [asked_.take(pa.array(who[place])).cast(question_type), keys.take(pa.array(which)).cast(key_type), pa.array(scores[place, which])],
                         ["question", "key", "score"])
 
-        found = met.select("keys", "vectors", "asked", "units").mapInArrow(best, out)
+        found = met.select("of", "cell", "keys", "vectors", "asked", "units", "least", "opens").mapInArrow(best, out)
         return _first(found, k)
 
     def search(
@@ -284,25 +322,29 @@ class VectorIndex:
         width, precise = facts["width"], facts["precise"]
         usable = _direction(F.col(vector)) & (F.size(vector) == width)
         asked = stored(questions.where(usable).select(F.col(question).alias("question"), F.col(vector).alias("v")), "asked")
-        found = self._answers(self.probed(asked, probes), width, precise, k)
+        number = min(probes or facts["probes"], len(centres))
+        found = self._answers(asked.withColumn("least", F.lit(-2.0)), centres, width, precise, k, _nearest(centres, number))
         if exact:
             found = stored(found, "found")
             found = _first(found.unionByName(self._answers(
-                self._open(asked, found, centres, facts, probes, k), width, precise, k)), k)
+                self._known(asked, found, k), centres, width, precise, k, self._able(centres, number))), k)
         rank = F.row_number().over(_order())
         ranked = found.withColumn("rank", rank).select("question", "rank", "key.*", "score")
         return ranked if question == "question" else ranked.withColumnRenamed("question", question)
 
-    def _open(self, asked: DataFrame, found: DataFrame, centres: np.ndarray, facts: dict, probes: int | None, k: int) -> DataFrame:
-        """Questions with the cells left that can still hold one of their best rows."""
+    def _known(self, asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+        """Questions with the score that a further row has to reach."""
         counted = found.groupBy("question").agg(F.count("*").alias("got"), F.min("score").alias("least"))
         counted = counted.select(F.col("question").alias("of"), F.when(F.col("got") >= k, F.col("least")).otherwise(-2.0).alias("least"))
         known = asked.join(counted, F.col("question").eqNullSafe(F.col("of")), "left")
-        known = known.select("question", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        return known.select("question", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
+
+    def _able(self, centres: np.ndarray, number: int):
+        """Names the cells, beside the ``number`` nearest, that can still hold one of the
+        best rows of a question."""
         reach = np.full(len(centres), -1.0)
         for row in self.cells().collect():
             reach[row["cell"]] = math.acos(max(-1.0, min(1.0, row["near"]))) + _SLACK
-        number = min(probes or facts["probes"], len(centres))
 
         def able(unit: np.ndarray, least: np.ndarray):
             likeness = unit @ centres.T
@@ -312,7 +354,16 @@ class VectorIndex:
             np.put_along_axis(open_, done, False, axis=1)
             return np.nonzero(open_)
 
-        return self._sent(known, facts["width"], able)
+        return able
+
+
+def _nearest(centres: np.ndarray, number: int):
+    """Names the ``number`` nearest cells of every question of a batch."""
+    def nearest(unit: np.ndarray, _):
+        order = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :number]
+        return np.repeat(np.arange(len(unit)), number), order.ravel()
+
+    return nearest
 
 
 def _order() -> Window:

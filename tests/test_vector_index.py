@@ -127,3 +127,36 @@ def test_cells_are_learned_from_the_sample():
     centres = learn_centres(unit, 40)
     assert (unit @ centres.T).max(axis=1).mean() > 0.85
     assert 1 <= measured_probes(unit, centres, 0.95, 10) <= 12
+
+
+def test_a_question_is_written_once_whatever_it_probes(spark, built, monkeypatch):
+    from mailspark.operators import vector_index
+
+    index, rows = built
+    asked, questions = asked_of(spark, rows, 20)
+    written = []
+    keep = vector_index.stored
+
+    def stored(frame, label):
+        written.append(keep(frame, label))
+        return written[-1]
+
+    monkeypatch.setattr(vector_index, "stored", stored)
+    cells = index.cells().count()
+    assert answers(index.search(questions, 10, probes=cells)) == brute(rows, asked, 10)
+    width, sizes = 16, [sum(len(v) for r in frame.collect() for v in r if isinstance(v, (bytes, bytearray))) for frame in written]
+    # Unit vectors, a score and a bit per cell.
+    assert max(sizes) <= len(asked) * (8 * width + 8 + (cells + 7) // 8 + 8)
+    assert sum(frame.count() for frame in written) <= 2 * len(asked)
+
+
+def test_many_blocks_of_questions_meet_without_a_broadcast(spark, built, monkeypatch):
+    from mailspark.operators import vector_index
+
+    index, rows = built
+    asked, questions = asked_of(spark, rows, 20)
+    monkeypatch.setattr(vector_index, "QUESTIONS", 16)
+    monkeypatch.setattr(vector_index, "_SMALL_BLOCKS", 2)
+    found = index.search(questions, 10, exact=True)
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    assert answers(found) == brute(rows, asked, 10)
