@@ -219,8 +219,9 @@ class ThreadChunks:
         wanted = wanted.distinct()
         near = self._since(emails, points, order, wanted)
         mails = stored(threads.inside(KeySet(wanted, "id", cfg.small_keys).inside(near)), "mails")
-        texts = strip_quotes(mails, cfg).join(
-            scope.select(F.col("id").alias("_scope"), "n", "resumed"), F.col("id") == F.col("_scope"))
+        # Stored, since the heads and the pieces read it and the diff should run once.
+        texts = stored(strip_quotes(mails, cfg).join(
+            scope.select(F.col("id").alias("_scope"), "n", "resumed"), F.col("id") == F.col("_scope")), "texts")
         files = None
         if attachments is not None:
             files = KeySet(scope.select(F.col("id").alias("email_id")).distinct(), "email_id", cfg.small_keys).inside(attachments)
@@ -229,7 +230,7 @@ class ThreadChunks:
             F.min(F.struct("date", "id")).alias("first"))
         subjects = mails.join(roots.withColumnRenamed("id", "_root"), F.col("id") == F.col("_root")).select(
             F.col("thread_id").alias("_of"), document_head(F.col("subject")).alias("head"))
-        heads = opening.join(subjects, _same("thread_id", "_of")).select(F.col("first.id").alias("_head_id"), "head")
+        heads = stored(opening.join(subjects, _same("thread_id", "_of")).select(F.col("first.id").alias("_head_id"), "head"), "heads")
         pieces = stored(mail_pieces(texts, files, heads), "pieces")
         self._write_batch(batch, points, pieces, emails, attachments, size)
 

@@ -113,3 +113,24 @@ def test_threads_in_segments_have_the_same_chunks(spark, tmp_path):
     store.update(0, table(spark, mails[:58]).select("thread_id", "id"), table(spark, mails[:58]))
     store.update(1, table(spark, mails[58:]).select("thread_id", "id"), table(spark, mails))
     assert current(store) == rebuilt(table(spark, mails), None)
+
+
+def test_quotes_are_stripped_once_per_update(spark, tmp_path, monkeypatch):
+    from mailspark.plans import resume
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    keep = resume.strip_quotes
+    monkeypatch.setattr(resume, "strip_quotes", lambda mails, cfg: keep(mails, cfg).withColumn("text", counted("text")))
+    rng = random.Random(9)
+    rows = [mail(f"t{t}", n, body(rng, 60), f"t{t}-{n - 1}" if n else None) for t in range(3) for n in range(4)]
+    emails = table(spark, rows)
+    store = ThreadChunks(spark, str(tmp_path / "chunks"), CFG)
+    store.update(0, emails.select("thread_id", "id"), emails)
+    assert current(store) == rebuilt(emails, None)
+    assert seen.value == len(rows)
